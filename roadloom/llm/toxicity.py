@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_
     terms = rows.select("text", (F.col("toxic") == 1).cast("double").alias("toxic")).mapInArrow(_term_counts, "name long, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = (F.col("bad") + F.col("good")) / max(bad + good, 1)
     z = (F.col("bad") / max(bad, 1) - F.col("good") / max(good, 1)) / F.sqrt(share * (1 - share) * (1 / max(bad, 1) + 1 / max(good, 1)) + 1e-12)
-    often = (F.col("bad") + 0.5) / (bad + 1) >= 5 * (F.col("good") + 0.5) / (good + 1)
+    often = (F.col("bad") + 0.5) / (bad + 1) >= 15 * (F.col("good") + 0.5) / (good + 1)
     chosen = terms.withColumn("z", z).where((F.col("bad") >= 3) & often & (F.col("z") >= least_z)).orderBy(F.col("z").desc(), "name").limit(most_terms)
     vocabulary = Vocabulary(np.array([r["name"] for r in chosen.select("name").collect()], dtype=np.int64))
     shared = spark.sparkContext.broadcast(vocabulary)
