@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 KEYS = ("source_file", "id")
-#: All rows of a vehicle in one recording; ids repeat across recordings.
-TRACK = Window.partitionBy(*KEYS)
-IN_ORDER = TRACK.orderBy("frame")
 
 MAX_TTC_S, LANE_TOLERANCE_M, LANE_WIDTH_M, ALONGSIDE_M, NEAR_STILL_MPS = 30.0, 1.8, 3.5, 5.0, 1.0
 
 
+def whole_track() -> WindowSpec:
+    """All rows of a vehicle in one recording; ids repeat across recordings."""
+    return Window.partitionBy(*KEYS)
+
+
+def in_order() -> WindowSpec:
+    return whole_track().orderBy("frame")
+
+
 def position() -> Column:
     """0-based place of a row in its track."""
-    return (F.row_number().over(IN_ORDER) - 1).cast("long")
+    return (F.row_number().over(in_order()) - 1).cast("long")
 
 
 def finite(c: str | Column) -> Column:
@@ -26,8 +33,8 @@ def finite(c: str | Column) -> Column:
 
 def gradient(c: str, dt: float) -> Column:
     """Central differences inside a track, one-sided at its ends, 0 for a single row."""
-    before, after, here = F.lag(c).over(IN_ORDER), F.lead(c).over(IN_ORDER), F.col(c)
-    n, p = F.count("*").over(TRACK), F.row_number().over(IN_ORDER)
+    before, after, here = F.lag(c).over(in_order()), F.lead(c).over(in_order()), F.col(c)
+    n, p = F.count("*").over(whole_track()), F.row_number().over(in_order())
     return F.when(n < 2, 0.0).when(p == 1, (after - here) / dt).when(p == n, (here - before) / dt).otherwise((after - before) / (2 * dt))
 
 

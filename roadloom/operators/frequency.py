@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tracks import IN_ORDER, KEYS
+from ..functions.tracks import KEYS
 
 #: Candidate rates in Hz, and rates that recordings are known to have.
 CANDIDATES, KNOWN = (10.0, 25.0, 30.0, 50.0), (10.0, 25.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.savgol import checked_length, weights, window_length
-from ..functions.tracks import IN_ORDER, TRACK
+from ..functions.tracks import in_order, whole_track
 
 FARTHEST = 1e10
 
@@ -14,8 +14,8 @@ FARTHEST = 1e10
 def unsafe_reason(c: str) -> Column:
     """Why a track's coordinate must not be smoothed, over the whole track: missing, constant or far values; NULL if none."""
     x = F.col(c)
-    missing = F.count(F.when(x.isNotNull() & ~F.isnan(x), 1)).over(TRACK) < F.count("*").over(TRACK)
-    largest, spread = F.max(F.abs(x)).over(TRACK), F.min(x).over(TRACK) == F.max(x).over(TRACK)
+    missing = F.count(F.when(x.isNotNull() & ~F.isnan(x), 1)).over(whole_track()) < F.count("*").over(whole_track())
+    largest, spread = F.max(F.abs(x)).over(whole_track()), F.min(x).over(whole_track()) == F.max(x).over(whole_track())
     return F.when(missing | (largest == float("inf")), "not_finite").when(spread, "constant").when(largest > FARTHEST, "too_far")
 
 
@@ -29,9 +29,9 @@ def smooth_positions(tracks: DataFrame, hz: float, seconds: float = 0.3, polyord
     full = checked_length(length or window_length(hz, seconds, polyorder), polyorder)
     reach = full - 1
     axes = ("x", "y")
-    near = {f"_{c}{k}": (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(IN_ORDER) for c in axes for k in range(-reach, reach + 1) if k}
+    near = {f"_{c}{k}": (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(in_order()) for c in axes for k in range(-reach, reach + 1) if k}
     n, p = F.col("_n"), F.col("_p")
-    rows = tracks.withColumns({"_n": F.count("*").over(TRACK), "_p": F.row_number().over(IN_ORDER) - 1, "_safe": F.coalesce(unsafe_reason("x"), unsafe_reason("y")).isNull(), **near})
+    rows = tracks.withColumns({"_n": F.count("*").over(whole_track()), "_p": F.row_number().over(in_order()) - 1, "_safe": F.coalesce(unsafe_reason("x"), unsafe_reason("y")).isNull(), **near})
 
     def smoothed(c: str) -> Column:
         out = F.col(c)
@@ -57,7 +57,7 @@ def smooth_positions(tracks: DataFrame, hz: float, seconds: float = 0.3, polyord
 
 def track_quality(tracks: DataFrame) -> DataFrame:
     """source_file, reason, tracks: how many tracks are smoothed ('processed'), too short, or unsafe and why."""
-    reason = F.when(F.count("*").over(TRACK) < 3, "too_short").otherwise(F.coalesce(unsafe_reason("x"), unsafe_reason("y"), F.lit("processed")))
+    reason = F.when(F.count("*").over(whole_track()) < 3, "too_short").otherwise(F.coalesce(unsafe_reason("x"), unsafe_reason("y"), F.lit("processed")))
     per_track = tracks.select("source_file", "id", reason.alias("reason")).groupBy("source_file", "id").agg(F.first("reason").alias("reason"))
     return per_track.groupBy("source_file", "reason").agg(F.count("*").alias("tracks"))
 
@@ -72,8 +72,8 @@ def smoothing_report(smoothed: DataFrame, hz: float, seconds: float = 0.3, polyo
     fine = F.lit(True)
     for c in (*base, *after):
         fine = fine & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    kept = smoothed.withColumn("_ok", F.min(fine.cast("int")).over(TRACK) == 1).withColumn("_n", F.count("*").over(TRACK)).where("_ok and _n >= 4")
-    rate = lambda c: (F.col(c) - F.lag(c).over(IN_ORDER)) * float(hz)
+    kept = smoothed.withColumn("_ok", F.min(fine.cast("int")).over(whole_track()) == 1).withColumn("_n", F.count("*").over(whole_track())).where("_ok and _n >= 4")
+    rate = lambda c: (F.col(c) - F.lag(c).over(in_order())) * float(hz)
     v = kept.withColumns({f"_v{c}": rate(c) for c in (*base, *after)})
     a = v.withColumns({f"_a{c}": rate(f"_v{c}") for c in (*base, *after)})
     names = {"x": "vx_std_before", "x_smooth": "vx_std_after", "y": "vy_std_before", "y_smooth": "vy_std_after"}

@@ -6,11 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from ..functions.tracks import IN_ORDER, KEYS, TRACK, LANE_WIDTH_M
+from ..functions.tracks import KEYS, LANE_WIDTH_M, in_order, whole_track
 
 INDEX_COLUMNS = ("window_id", "source_file", "dataset_name", "vehicle_id", "segment_id", "start_frame", "end_frame", "start_time_sec", "end_time_sec", "n_frames_hist", "n_frames_fut", "source_freq_hz", "target_freq_hz")
-SEGMENT = Window.partitionBy(*KEYS, "segment_id")
+
+
+def segment() -> WindowSpec:
+    return Window.partitionBy(*KEYS, "segment_id")
 
 
 def frames(seconds: float, hz: float) -> int:
@@ -49,16 +53,16 @@ class Shape:
 
 def segments(tracks: DataFrame) -> DataFrame:
     """tracks with frame_gap, mode_gap (the track's commonest, ties to the smallest) and segment_id, which rises where a gap is another."""
-    gaps = tracks.withColumn("frame_gap", F.col("frame") - F.lag("frame").over(IN_ORDER))
-    moded = gaps.withColumn("mode_gap", F.mode("frame_gap", True).over(TRACK))
+    gaps = tracks.withColumn("frame_gap", F.col("frame") - F.lag("frame").over(in_order()))
+    moded = gaps.withColumn("mode_gap", F.mode("frame_gap", True).over(whole_track()))
     jump = F.coalesce((F.col("frame_gap") != F.col("mode_gap")).cast("long"), F.lit(0))
-    return moded.withColumn("segment_id", F.sum(jump).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    return moded.withColumn("segment_id", F.sum(jump).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def window_starts(segmented: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """Rows at which a complete window begins, with start_frame, the row's place in the whole track; complete windows only."""
-    order = SEGMENT.orderBy("frame")
-    p, n = F.row_number().over(order) - 1, F.count("*").over(SEGMENT)
+    order = segment().orderBy("frame")
+    p, n = F.row_number().over(order) - 1, F.count("*").over(segment())
     return segmented.withColumns({"_q": p, "_n": n}).where((F.col("_q") % shape.stride == 0) & (F.col("_q") + shape.length <= F.col("_n"))).drop("_q", "_n")
 
 
@@ -79,7 +83,7 @@ def lane_changes(segmented: DataFrame, shape: Shape = Shape(), lane_width: float
 
     A window never leaves its sub-track, so its rows are the next ones there and no join is needed.
     """
-    span = SEGMENT.orderBy("frame").rowsBetween(0, shape.length - 1)
+    span = segment().orderBy("frame").rowsBetween(0, shape.length - 1)
     y = "y_smooth" if "y_smooth" in segmented.columns else "y"
     lanes = F.size(F.collect_set("laneId").over(span)) > 1 if "laneId" in segmented.columns else F.lit(False)
     step = F.abs(F.last(y, True).over(span) - F.first(y, True).over(span))
