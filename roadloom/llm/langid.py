@@ -28,7 +28,7 @@ UNDETERMINED = "und"
 def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
     """Transitions of the suffix automaton of a text, flat: [state * alphabet + code] is next state * 2 + (1 if a phrase ends here).
 
-    Where no transition exists, the walk restarts at the root with the same code, or stays there if the code is unknown.
+    Where no transition exists, a phrase ends and the next one begins with the same code.
     """
     link, length, moves = [-1], [0], [{}]
     last = 0
@@ -55,8 +55,11 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    root = np.array([moves[0].get(c, 0) * 2 + 1 for c in range(alphabet)], dtype=np.int32)
-    table = np.tile(root, len(moves))
+    # A last state holds a phrase of one unknown code. Only at the root, where a text begins, no phrase is there to end.
+    unknown = len(moves)
+    begin = np.array([moves[0].get(c, unknown) * 2 for c in range(alphabet)], dtype=np.int32)
+    table = np.tile(begin + 1, unknown + 1)
+    table[:alphabet] = begin
     for s, out in enumerate(moves):
         for c, t in out.items():
             table[s * alphabet + c] = t * 2

@@ -31,3 +31,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {}
+
+#: Targets in order of cap / weight: those before the first fair share that fits its cap take their caps.
+ORACLES["op2_mix_sources"] = """WITH sized AS (
+  SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CASE l.quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS weight
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source),
+tried AS (SELECT k.source AS from_source, (SELECT sum(source_size) FROM sources) - coalesce((SELECT sum(3 * source_size) FROM sources b WHERE 3 * b.source_size * k.w < 3 * k.source_size * b.w), 0) AS rest,
+  (SELECT sum(w) FROM sources) - coalesce((SELECT sum(w) FROM sources b WHERE 3 * b.source_size * k.w < 3 * k.source_size * b.w), 0) AS weights, k.source_size, k.w FROM sources k),
+level AS (SELECT rest, weights FROM tried WHERE rest * w <= 3 * source_size * weights ORDER BY CAST(source_size AS DOUBLE) / w LIMIT 1),
+targets AS (SELECT s.source, s.source_size, CASE WHEN l.rest * s.w <= 3 * s.source_size * l.weights THEN CAST(l.rest AS DOUBLE) * s.w / CAST(l.weights AS BIGINT) ELSE CAST(3 * s.source_size AS DOUBLE) END AS target FROM sources s CROSS JOIN level l),
+keyed AS (SELECT z.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
+  -ln((CAST(('0x' || substr(md5(CAST(z.doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE)) / CAST(z.weight AS DOUBLE) AS k
+  FROM sized z JOIN targets t ON t.source IS NOT DISTINCT FROM z.source),
+run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, target - CAST(epochs * source_size AS DOUBLE) AS rest FROM keyed)
+SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS taken FROM run"""
+
+_DOT = "list_reduce(list_transform(range(1, len({a}.v) + 1), lambda i: {a}.v[i] * {b}.v[i]), lambda p, q: p + q)"
+_AS_DOUBLE = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+ORACLES["op7_nearest_neighbours"] = f"""WITH e AS ({_AS_DOUBLE}), n AS (SELECT e.vec_id, e.v, sqrt({_DOT.format(a='e', b='e')}) AS norm FROM e),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT.format(a='a', b='b')} / (a.norm * b.norm) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+ORACLES["op6_embedding_dedup"] = f"""WITH RECURSIVE e AS ({_AS_DOUBLE}), n AS (SELECT e.vec_id, e.v, sqrt({_DOT.format(a='e', b='e')}) AS norm FROM e),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE {_DOT.format(a='a', b='b')} / (a.norm * b.norm) >= CAST(0.95 AS DOUBLE)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT n.vec_id, (SELECT count(*) FROM links WHERE a = n.vec_id) AS n_links, least(n.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = n.vec_id), n.vec_id)) AS component_id,
+  n.vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = n.vec_id), n.vec_id) AS kept FROM n"""

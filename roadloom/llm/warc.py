@@ -46,16 +46,20 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (rest[cut:] or "/")
 
 
+def _escaped(url: str) -> str:
+    return _CONTROLS.sub(lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def capture_key(url: str | None, page_id: int | None) -> str:
     """What the index sorts by: the reversed-host URL without control characters, then the page."""
-    return _CONTROLS.sub(lambda m: f"%{ord(m[0]):02X}", surt(url)) + " " + ("-" if page_id is None else f"{page_id:020d}")
+    return surt(url and _escaped(url)) + " " + ("-" if page_id is None else f"{page_id:020d}")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record as a gzip member."""
     head = [f"WARC/1.1\r\nWARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_CONTROLS.sub(lambda m: f'%{ord(m[0]):02X}', url)}")
+        head.append(f"WARC-Target-URI: {_escaped(url)}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
