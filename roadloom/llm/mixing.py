@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
+#: Sources' figures are broadcast up to so many sources.
+MOST_BROADCAST = 20_000
 #: No source is taken more often than this.
 MOST_EPOCHS = 3
 
@@ -55,7 +57,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return level.withColumn("target", F.when(F.col("_first").isNotNull() & after, share).otherwise(F.col("_cap").cast("double"))).drop("_cap", "_left", "_weights", "_first", "_fits")
 
 
-def mix(docs: DataFrame, weight: str = "weight", rows_per_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weight: str = "weight", rows_per_bucket: int = 2_000) -> DataFrame:
     """docs(doc_id, source, size long, weight double > 0) -> all columns and source_size, target, taken.
 
     taken is size times the number of copies in the mix. Targets follow source_targets(); a document in the last, partial
@@ -72,11 +74,15 @@ def mix(docs: DataFrame, weight: str = "weight", rows_per_bucket: int = 20_000)
         F.ceil(F.col("_rows") / rows_per_bucket).cast("long").alias("_buckets"),
     ).withColumn("_rest", F.col("target") - (F.col("_epochs") * F.col("source_size")).cast("double"))
     bucket = F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")).cast("long")
+    # One row per source: broadcast up to a checked number of them, else joined by sort and merge.
+    few = totals.count() <= MOST_BROADCAST
+    spec = F.broadcast(spec) if few else spec
     dealt = keyed.join(spec, keyed["source"].eqNullSafe(spec["_source"])).withColumn("_bucket", bucket)
     sums = dealt.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"), F.first("_rest").alias("_rest"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = sums.withColumn("_before", before).where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_sum") >= F.col("_rest")))
     cut = cut.groupBy("_source").agg(F.min(F.struct("_bucket", "_before")).alias("_c")).select(F.col("_source").alias("_cut_source"), F.col("_c._bucket").alias("_cut"), F.col("_c._before").alias("_before"))
+    cut = F.broadcast(cut) if few else cut
     placed = dealt.join(cut, dealt["_source"].eqNullSafe(cut["_cut_source"]), "left")
     inside = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     # Only the rows of a source's cut bucket are sorted, about rows_per_bucket of them.
