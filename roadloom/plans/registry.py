@@ -32,6 +32,12 @@ def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return processed, windows.window_index(processed, HZ)
 
 
+def _kept(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """As _both, with the 5 Hz tracks written between the workloads, since features and samples read them several times."""
+    processed = recordings.kept(_processed(spark, sf), "tracks")
+    return processed, windows.window_index(processed, HZ)
+
+
 def _around(spark: SparkSession, sf: str) -> DataFrame:
     processed, index = _both(spark, sf)
     return neighbors.surroundings(index, processed)
@@ -99,12 +105,12 @@ def scene_density(spark, sf):
 
 
 def window_features(spark, sf):
-    processed, index = _both(spark, sf)
+    processed, index = _kept(spark, sf)
     return _rounded(features.window_features(index, processed))
 
 
 def feature_summary(spark, sf):
-    processed, index = _both(spark, sf)
+    processed, index = _kept(spark, sf)
     return features.feature_summary(features.window_features(index, processed), index)
 
 
@@ -143,7 +149,7 @@ def ego_arrays(spark, sf):
 
 
 def neighbor_history(spark, sf):
-    processed, index = _both(spark, sf)
+    processed, index = _kept(spark, sf)
     slots = neighbors.slot_table(neighbors.surroundings(index, processed))
     return _rounded(_states(samples.neighbor_histories(index, slots, processed), "hist", "window_id", "slot_no"), 3)
 
@@ -155,15 +161,15 @@ def interaction_features(spark, sf):
 
 
 def _samples(spark, sf):
-    processed, index = _both(spark, sf)
-    slots = neighbors.slot_table(neighbors.surroundings(index, processed))
+    processed, index = _kept(spark, sf)
+    slots = recordings.kept(neighbors.slot_table(neighbors.surroundings(index, processed)), "slots")
     return samples.samples(index, slots, features.window_features(index, processed), processed)
 
 
 def normalized_samples(spark, sf):
     """Sums over time of each agent's normalised states; agent 0 is ego, -1 its future."""
     total = lambda a, i: F.aggregate(F.transform(a, lambda s: F.round(s[i].cast("double"), 3)), F.lit(0.0), lambda x, y: x + y)
-    made = _samples(spark, sf).select("window_id", "fut", F.posexplode("hist").alias("agent", "h"))
+    made = recordings.kept(_samples(spark, sf).select("window_id", "fut", "hist"), "samples").select("window_id", "fut", F.posexplode("hist").alias("agent", "h"))
     agents = made.select("window_id", "agent", *[total("h", i).alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))])
     none = F.lit(None).cast("double")
     future = made.where("agent = 0").select("window_id", F.lit(-1).alias("agent"), total("fut", 0).alias("x"), total("fut", 1).alias("y"), none.alias("vx"), none.alias("vy"))

@@ -20,6 +20,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back, for a result that several steps read."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_raw(spark: SparkSession, paths: list[str], schema: T.StructType = RAW, name: str = r"([^/]+)\.csv$") -> DataFrame:
     """All recordings in one DataFrame; source_file is what `name` finds in a row's path.
 
