@@ -197,13 +197,14 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, seed: int = 7,
     spread = F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")
     every = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
     occupied = members.select("table", "cell").distinct().join(crowded, ["table", "cell"], "left")
-    own = signed.select("*", F.posexplode("own").alias("table", "cell")).join(crowded, ["table", "cell"], "left").withColumn("mine", spread)
+    own = members.join(crowded, ["table", "cell"], "left").withColumn("mine", spread)
     own = own.select("*", F.explode(every).alias("part")).withColumn("role", F.when(F.col("part") == F.col("mine"), 0).otherwise(1))
-    visits = signed.select("*", F.posexplode("near").alias("slot", "cell")).withColumn("table", F.floor(F.col("slot") / PROBES).cast("int"))
-    # Only cells that hold someone are visited.
+    visits = signed.select("id", F.posexplode("near").alias("slot", "cell")).withColumn("table", F.floor(F.col("slot") / PROBES).cast("int"))
+    # Only cells that hold someone are visited. Vectors join once it is known where they go.
     visits = visits.join(occupied, ["table", "cell"]).select("*", F.explode(every).alias("part"), F.lit(2).alias("role"))
-    columns = ["table", "cell", "part", "role", "id", "n", "x", "own", "near"]
-    met = own.select(columns).unionByName(visits.select(columns)).repartition("table", "cell", "part").sortWithinPartitions("table", "cell", "part", "role")
+    places = ["table", "cell", "part", "role", "id"]
+    met = own.select(places).unionByName(visits.select(places)).join(signed, "id").select(*places, "n", "x", "own", "near")
+    met = met.repartition("table", "cell", "part").sortWithinPartitions("table", "cell", "part", "role")
 
     def verify(batches):
         now: _Cell | None = None
