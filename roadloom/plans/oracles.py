@@ -106,11 +106,11 @@ ids AS (SELECT p.source_file, p.split, count(*) AS shared_ids FROM (SELECT DISTI
 _SUMMED = lambda c: f"round(sum(round(CAST({c} AS DOUBLE), 3)), 3) + CAST(0 AS DOUBLE)"
 _TURNED = """frame_of AS (SELECT window_id, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(vx AS DOUBLE) / (sqrt(CAST(vx AS DOUBLE) * CAST(vx AS DOUBLE) + CAST(vy AS DOUBLE) * CAST(vy AS DOUBLE)) + CAST(0.000001 AS DOUBLE)) AS c,
   CAST(vy AS DOUBLE) / (sqrt(CAST(vx AS DOUBLE) * CAST(vx AS DOUBLE) + CAST(vy AS DOUBLE) * CAST(vy AS DOUBLE)) + CAST(0.000001 AS DOUBLE)) AS s FROM ego WHERE t = 14),
-agents AS (SELECT window_id, 0 AS agent, t, x, y, vx, vy FROM ego WHERE t < 15 UNION ALL SELECT window_id, n.slot_no + 1, t, x, y, vx, vy FROM near_hist JOIN slot_names n USING (slot)
-  UNION ALL SELECT w.window_id, n.slot_no + 1, i.t, CAST(0 AS FLOAT), CAST(0 AS FLOAT), CAST(0 AS FLOAT), CAST(0 AS FLOAT) FROM win w CROSS JOIN slot_names n CROSS JOIN range(15) i(t) WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.window_id = w.window_id AND b.slot = n.slot)
+agents AS (SELECT window_id, 0 AS agent, t, x, y, vx, vy FROM ego WHERE t < 15 UNION ALL SELECT window_id, CAST(list_position(['left_preceding', 'left_alongside', 'left_following', 'right_preceding', 'right_alongside', 'right_following'], slot) AS INTEGER), t, x, y, vx, vy FROM near_hist
+  UNION ALL SELECT e.window_id, e.slot_no + 1, CAST(i.t AS BIGINT), CAST(0 AS FLOAT), CAST(0 AS FLOAT), CAST(0 AS FLOAT), CAST(0 AS FLOAT) FROM slots e CROSS JOIN range(15) i(t) WHERE e.mask = 0
   UNION ALL SELECT window_id, -1, t, x, y, NULL, NULL FROM ego WHERE t >= 15),
 turned AS (SELECT a.window_id, a.agent, CAST(c * (CAST(x AS DOUBLE) - x0) + s * (CAST(y AS DOUBLE) - y0) AS FLOAT) AS x, CAST(c * (CAST(y AS DOUBLE) - y0) - s * (CAST(x AS DOUBLE) - x0) AS FLOAT) AS y,
-  CAST(c * CAST(vx AS DOUBLE) + s * CAST(vy AS DOUBLE) AS FLOAT) AS vx, CAST(c * CAST(vy AS DOUBLE) - s * CAST(vx AS DOUBLE) AS FLOAT) AS vy FROM agents a JOIN frame_of USING (window_id))"""
+  CAST(c * CAST(vx AS DOUBLE) + s * CAST(vy AS DOUBLE) AS FLOAT) AS vx, CAST(c * CAST(vy AS DOUBLE) - s * CAST(vx AS DOUBLE) AS FLOAT) AS vy FROM agents a JOIN frame_of f ON concat(f.window_id, '') = concat(a.window_id, ''))"""
 _WIDE = ", ".join(
     f"max(CASE WHEN slot = '{s}' THEN {f} END) AS {s}_{f}" if f in ("mask", "id", "lane", "ttc", "ttc_valid") else f"max(CASE WHEN slot = '{s}' THEN {r(f)} END) AS {s}_{f}"
     for s in ("left_preceding", "left_alongside", "left_following", "right_preceding", "right_alongside", "right_following")
@@ -155,7 +155,7 @@ ORACLES = {
     "ego_arrays": _from_win("SELECT window_id, t, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CASE WHEN t < 15 THEN CAST(vx AS DOUBLE) END AS vx, CASE WHEN t < 15 THEN CAST(vy AS DOUBLE) END AS vy FROM ego".replace("CAST(x AS DOUBLE)", r("CAST(x AS DOUBLE)", 3)).replace("CAST(y AS DOUBLE)", r("CAST(y AS DOUBLE)", 3)).replace("CAST(vx AS DOUBLE)", r("CAST(vx AS DOUBLE)", 3)).replace("CAST(vy AS DOUBLE)", r("CAST(vy AS DOUBLE)", 3)), SCENE, STATES),
     "neighbor_history": _from_win(f"SELECT window_id, slot_no, t, {r('CAST(x AS DOUBLE)', 3)} AS x, {r('CAST(y AS DOUBLE)', 3)} AS y, {r('CAST(vx AS DOUBLE)', 3)} AS vx, {r('CAST(vy AS DOUBLE)', 3)} AS vy FROM near_hist JOIN slot_names USING (slot)", SCENE, STATES),
     "interaction_features": _from_win(f"SELECT window_id, slot_no, CAST(0 AS DOUBLE) AS ttc, {r('CAST(CAST(coalesce(thw, 0) AS FLOAT) AS DOUBLE)', 4)} AS thw, {r('CAST(CAST(coalesce(rel_vx, 0) AS FLOAT) AS DOUBLE)', 4)} AS rel_vx, {r('CAST(CAST(coalesce(rel_vy, 0) AS FLOAT) AS DOUBLE)', 4)} AS rel_vy, CAST(0 AS DOUBLE) AS ttc_valid, CAST(1 AS DOUBLE) AS mask FROM slots WHERE mask = 1", SCENE),
-    "normalized_samples": _from_win(f"SELECT window_id, agent, {_SUMMED('x')} AS x, {_SUMMED('y')} AS y, {_SUMMED('vx')} AS vx, {_SUMMED('vy')} AS vy FROM turned GROUP BY ALL", SCENE, STATES, _TURNED),
+    "normalized_samples": _from_win(f"SELECT window_id, agent, {_SUMMED('x')} AS x, {_SUMMED('y')} AS y, {_SUMMED('vx')} AS vx, {_SUMMED('vy')} AS vy FROM turned GROUP BY window_id, agent", SCENE, STATES, _TURNED),
     "sink_round_trip": _from_win("SELECT split, count(*) AS windows, CAST(sum(start_frame) AS BIGINT) AS start_frames FROM kept GROUP BY split", SPLIT),
     "input_quarantine": _sql("SELECT source_file, count(*) AS good_rows, count_if(frame % 100 = 0) AS bad_rows FROM tracks GROUP BY source_file", TRACKS),
 }

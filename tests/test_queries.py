@@ -6,11 +6,8 @@ from compare import difference, duck
 from roadloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="module")
-def con():
-    return duck(SF)
+#: DuckDB 2.0.0 stops with an internal error (dictionary caching) on this SQL at the smallest size.
+LARGER = {"normalized_samples": "/root/testdata/sf0.01"}
 
 
 def test_every_query_has_sql():
@@ -18,5 +15,6 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_same_as_sql(spark, con, name):
-    assert difference(QUERIES[name], ORACLES[name], spark, SF, con) == ""
+def test_same_as_sql(spark, name):
+    sf = LARGER.get(name, SF)
+    assert difference(QUERIES[name], ORACLES[name], spark, sf, duck(sf)) == ""
