@@ -5,13 +5,20 @@ Fingerprints within two bits are found by equality joins on deletion variants. A
 the short segment as it is (all differing bits are in the long one, so one of its three parts is equal too), the long
 segment as it is, and the short segment with one bit deleted (a wildcard) next to either half of the long one. Every pair
 that shares a key is verified. Equal fingerprints are one row before the join, so copies are never paired.
+
+Texts of similarity 0.8 differ in about 15 of 100 bits, which no cut of 64 bits finds. drop_near_duplicates() therefore
+takes fingerprints of 576 bits, cut into 24 segments of 24 bits. A segment of such a pair differs in one bit at most with
+a chance of 0.10, so one of the 24 does with a chance of 0.93 (0.99 at similarity 0.85). Its variants are made after the
+shuffle: one half of the segment is equal then, by which rows are dealt, and one bit of the other half is deleted.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -20,20 +27,41 @@ from .components import connected_components
 
 _BITS = np.arange(64, dtype=np.uint64)
 _LONG, _PART, _HALF = (1 << 48) - 1, (1 << 16) - 1, (1 << 24) - 1
+#: Wide fingerprints: 64-bit words, segments and bits of a segment.
+WORDS, SEGMENTS, SEGMENT_BITS = 9, 24, 24
+_ODD = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of one text; no words: 0."""
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> list[int]:
+    """XXH64 of each shingle of words, repeats included; fewer words than width are one shingle, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        hashes = [xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = memoryview(b" ".join(words))
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = np.concatenate(([0], ends[: -width])).tolist()
-        hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+        return [xxh64_intdigest(b" ".join(words), seed)]
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[: -width])).tolist()
+    return [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+
+
+def wide_fingerprint(hashes: list[int]) -> list[int]:
+    """WORDS signed 64-bit words; each hash is mixed anew for every word. A bit is 1 if set in over half of them."""
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 12):
+        h = np.array(hashes[i : i + (1 << 12)], dtype=np.uint64)[:, None] + _ODD
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(31))).astype("<u8")
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The signed 64-bit fingerprint of one text; no words: 0."""
+    hashes = shingle_hashes(text, width, seed)
+    if not hashes:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 14):
         h = np.array(hashes[i : i + (1 << 14)], dtype="<u8")
@@ -95,15 +123,72 @@ def simhash_documents(docs: DataFrame, width: int = 3, max_bits: int = 2) -> Dat
     return fps.join(fingerprint_components(fps, max_bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 2) -> DataFrame:
+def with_wide_fingerprint(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
+    """docs without the text and with wide (array of WORDS longs) and shingles (their number); one pass, no shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            hashes = [shingle_hashes(t, width) for t in batch.column(at).to_pylist()]
+            rest = batch.drop_columns([text])
+            wide = pa.array([wide_fingerprint(h) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, wide, pa.array(list(map(len, hashes)), pa.int32())], names=[*rest.schema.names, "wide", "shingles"])
+
+    return docs.mapInArrow(run, extended(docs.drop(text), wide="array<long>", shingles="int"))
+
+
+def most_bits(similarity: float, bits: int = 64 * WORDS, slack: float = 1.0) -> int:
+    """Differing bits expected at a Jaccard similarity of two texts of equal length, and slack standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def linked_wide(classes: DataFrame, similarity: float = 0.8, rows_per_task: int = 2_000_000) -> DataFrame:
+    """classes(node long, wide, shingles), one row per fingerprint -> pairs (a, b), a < b, of linked nodes.
+
+    Rows that share a variant are put in order of their number of shingles, which near-duplicates nearly share, and each is
+    compared with the one before it and with the first one. So a group of any size costs two comparisons per row and
+    variant, and its members, which meet in many variants, are linked through one another. A pair is compared by the bits
+    of another word first and verified by all bits.
+    """
+    half = SEGMENT_BITS // 2
+    mask, keys = (1 << half) - 1, 2 * SEGMENTS * half
+    at = f"((k div 2) * {SEGMENT_BITS})"
+    segment = f"shiftrightunsigned(wide[{at} div 64], cast({at} % 64 as int)) | if({at} % 64 > {64 - SEGMENT_BITS}, shiftleft(wide[({at} div 64) + 1], cast(64 - {at} % 64 as int)), 0L)"
+    dealt = classes.select("node", "shingles", "wide", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENTS - 1))).alias("k"))
+    dealt = dealt.select("node", "shingles", "k", F.expr(f"wide[(({at} div 64) + {WORDS // 2}) % {WORDS}]").alias("check"), F.expr(segment).alias("segment"))
+    low, high = F.col("segment").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("segment", half).bitwiseAND(F.lit(mask))
+    first = F.col("k") % 2 == 0
+    part = (F.col("k") * (1 << half) + F.when(first, low).otherwise(high)).cast("int")
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * keys / rows_per_task))
+    dealt = dealt.select("node", "shingles", "check", part.alias("part"), F.when(first, high).otherwise(low).cast("int").alias("other")).repartition(tasks, "part")
+    variants = F.array(*[F.col("other").bitwiseAND(F.lit(mask & ~(1 << j))).bitwiseOR(F.lit(j << half)) for j in range(half)])
+    same = Window.partitionBy("part", "variant").orderBy("shingles", "node")
+    me = F.struct("node", "check")
+    met = dealt.select("node", "shingles", "check", "part", F.explode(variants).alias("variant"))
+    met = met.select("node", "check", F.lag(me).over(same).alias("before"), F.first(me).over(same).alias("leader")).where(F.col("before").isNotNull())
+    met = met.select("node", "check", F.explode(F.array("before", "leader")).alias("o"))
+    alike = F.bit_count(F.col("check").bitwiseXOR(F.col("o.check"))) <= most_bits(similarity, 64, 4.0)
+    pairs = met.where(alike & (F.col("node") != F.col("o.node"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("wide").alias(f"wide_{n}"))
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most_bits(similarity)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id, of repeated ids the first by text.
 
-    Two differing bits of 64 stand for an estimated similarity above 0.95. Rows with a null doc_id that are alone in their group stay.
-    All columns are kept as they are.
+    Groups are connected through links between texts whose fingerprints stand for a similarity of word shingles of at least
+    the given one (estimated: pairs within 0.03 of it may fall on either side). Texts with equal wide fingerprints are one
+    class, known by a 64-bit hash. Texts without words are alike. All columns are kept as they are. Rows with a null doc_id
+    that are alone in their group stay. An empty table gives an empty result.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.withColumns({"_row": row, "_key": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))})
-    fps = stored(with_fingerprint(keyed.select("_key", "doc_id", "text", "_row"), out="fp", width=width).drop("text"), "fingerprints")
-    groups = fingerprint_components(fps.select("doc_id", "fp"), max_bits)
-    best = fps.join(groups, "fp").groupBy("label").agg(F.min(F.struct("_key", "_row")).alias("_b")).select("_b.*")
+    fps = with_wide_fingerprint(keyed.select("_key", "_row", "text"), width=width).withColumn("node", F.xxhash64("wide"))
+    fps = stored(fps, "fingerprints")
+    classes = stored(fps.groupBy("node").agg(F.first("wide").alias("wide"), F.first("shingles").alias("shingles"), F.min(F.struct("_key", "_row")).alias("best")), "classes")
+    labels = connected_components(linked_wide(classes.select("node", "wide", "shingles"), similarity)).withColumnRenamed("node", "_node")
+    grouped = classes.select("node", "best").join(labels, F.col("node") == F.col("_node"), "left")
+    best = grouped.groupBy(F.coalesce("component", "node").alias("label")).agg(F.min("best").alias("_b")).select("_b.*")
     return keyed.join(best, ["_row", "_key"]).dropDuplicates(["_row", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -119,8 +119,53 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert len(got) == len(ODD) and {c for d, f, c in got if f == "0" * 16} == {1}
     assert {d: c for d, _, c in got if d in (6, 7)} == {6: 6, 7: 6}
     assert simhash.simhash_documents(empty).count() == 0
-    kept = sorted((r.doc_id or -1) for r in simhash.drop_near_duplicates(odd.drop("score")).collect())
+    kept = sorted((r.doc_id or -1) for r in simhash.drop_near_duplicates(odd).collect())
     assert kept == [-1, 1, 4, 5, 6]
+    assert simhash.drop_near_duplicates(odd).columns == odd.columns and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def jaccard(a, b, width=5):
+    a, b = ({*simhash.shingle_hashes(t, width)} for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"edit{rng.randrange(10**9)}"
+    return out
+
+
+def near_copies():
+    """Sixty pairs of texts with a few words changed, one group of 150 copies of a text, and unrelated texts."""
+    rng = random.Random(7)
+    make = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = []
+    for i in range(60):
+        base = make(200)
+        texts += [" ".join(base), " ".join(edited(rng, base, 1 + i % 6))]
+    hot = make(300)
+    texts += [" ".join(hot)] + [" ".join(edited(rng, hot, 3)) for _ in range(150)]
+    return texts + [" ".join(make(rng.randrange(1, 300))) for _ in range(150)]
+
+
+def test_near_duplicates_against_exact_similarity(spark):
+    texts = near_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    near = [(i, jaccard(texts[i], texts[i + 1])) for i in range(0, 120, 2)]
+    assert kept >= set(range(0, 120, 2)) and 120 in kept and kept >= set(range(271, len(texts)))
+    alike = [i for i, j in near if j >= 0.8]
+    assert len(alike) > 30 and sum(i + 1 not in kept for i in alike) >= 0.9 * len(alike)
+    assert all(i + 1 in kept for i, j in near if j < 0.7)
+    assert not kept & set(range(121, 271))
+
+
+def test_wide_links_have_the_similarity(spark):
+    texts = near_copies()[:200]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    links = [(r.a, r.b) for r in simhash.linked_wide(simhash.with_wide_fingerprint(df)).collect()]
+    assert links and all(a < b and jaccard(texts[a], texts[b]) > 0.7 for a, b in links)
 
 
 def test_components(spark):
