@@ -149,14 +149,15 @@ def linked_wide(classes: DataFrame, similarity: float = 0.8, rows_per_task: int
     Rows that share a variant are put in order of their number of shingles, which near-duplicates nearly share, and each is
     compared with the one before it and with the first one. So a group of any size costs two comparisons per row and
     variant, and its members, which meet in many variants, are linked through one another. A pair is compared by the bits
-    of another word first and verified by all bits.
+    of three other words first, so that few are joined with their whole fingerprints, and verified by all bits.
     """
     half = SEGMENT_BITS // 2
+    others = (3, 5, 7)  # words from the segment's first one on; a segment reaches into the next one at most
     mask, keys = (1 << half) - 1, 2 * SEGMENTS * half
     at = f"((k div 2) * {SEGMENT_BITS})"
     segment = f"shiftrightunsigned(wide[{at} div 64], cast({at} % 64 as int)) | if({at} % 64 > {64 - SEGMENT_BITS}, shiftleft(wide[({at} div 64) + 1], cast(64 - {at} % 64 as int)), 0L)"
     dealt = classes.select("node", "shingles", "wide", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENTS - 1))).alias("k"))
-    dealt = dealt.select("node", "shingles", "k", F.expr(f"wide[(({at} div 64) + {WORDS // 2}) % {WORDS}]").alias("check"), F.expr(segment).alias("segment"))
+    dealt = dealt.select("node", "shingles", "k", F.expr(f"struct({', '.join(f'wide[(({at} div 64) + {i}) % {WORDS}] as c{i}' for i in others)})").alias("check"), F.expr(segment).alias("segment"))
     low, high = F.col("segment").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("segment", half).bitwiseAND(F.lit(mask))
     first = F.col("k") % 2 == 0
     part = (F.col("k") * (1 << half) + F.when(first, low).otherwise(high)).cast("int")
@@ -168,7 +169,8 @@ def linked_wide(classes: DataFrame, similarity: float = 0.8, rows_per_task: int
     met = dealt.select("node", "shingles", "check", "part", F.explode(variants).alias("variant"))
     met = met.select("node", "check", F.lag(me).over(same).alias("before"), F.first(me).over(same).alias("leader")).where(F.col("before").isNotNull())
     met = met.select("node", "check", F.explode(F.array("before", "leader")).alias("o"))
-    alike = F.bit_count(F.col("check").bitwiseXOR(F.col("o.check"))) <= most_bits(similarity, 64, 4.0)
+    differing = sum((F.bit_count(F.col(f"check.c{i}").bitwiseXOR(F.col(f"o.check.c{i}"))) for i in others), F.lit(0))
+    alike = differing <= most_bits(similarity, 64 * len(others), 3.0)
     pairs = met.where(alike & (F.col("node") != F.col("o.node"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
     side = lambda n: classes.select(F.col("node").alias(n), F.col("wide").alias(f"wide_{n}"))
     differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
