@@ -219,7 +219,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, seed: int = 7,
                 role = int(key[a, 3])
                 if now is None or now.key != tuple(key[a, :3].tolist()):
                     now = _Cell(tuple(key[a, :3].tolist()), threshold)
-                if role == 0 and b - a == 1 and b < len(key) and key[b, 3] == 0:
+                if role == 0 and b - a == 1 and b < len(key) and key[b, 3] == 0 and not now.parts:
                     continue  # alone in its cell, and nobody visits
                 x, own, near = (f[p[a] : p[b]].reshape(b - a, -1) for f, p in zip(flat, begins))
                 part = (ids[a:b], n[a:b], x, own, near.reshape(b - a, TABLES, PROBES))
