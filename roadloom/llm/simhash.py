@@ -7,9 +7,10 @@ segment as it is, and the short segment with one bit deleted (a wildcard) next t
 that shares a key is verified. Equal fingerprints are one row before the join, so copies are never paired.
 
 Texts of similarity 0.8 differ in about 15 of 100 bits, which no cut of 64 bits finds. drop_near_duplicates() therefore
-takes fingerprints of 576 bits, cut into 24 segments of 24 bits. A segment of such a pair differs in one bit at most with
-a chance of 0.10, so one of the 24 does with a chance of 0.93 (0.99 at similarity 0.85). Its variants are made after the
-shuffle: one half of the segment is equal then, by which rows are dealt, and one bit of the other half is deleted.
+needs no fingerprints: it puts the distinct shingles of all texts in one order and joins texts over the first of them. Two
+sets of n shingles with a Jaccard similarity of t share one of their first n - ceil(t n) + 1, so no pair is missed, and
+each candidate is verified by its whole texts. linked_wide(), the approximate search by fingerprints of 576 bits that the
+pipeline used before, is no longer called by it.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import extended, stored
+from .common import extended, sample_order, stored
 from .components import connected_components
 
 _BITS = np.arange(64, dtype=np.uint64)
 _LONG, _PART, _HALF = (1 << 48) - 1, (1 << 16) - 1, (1 << 24) - 1
 #: Wide fingerprints: 64-bit words, segments and bits of a segment.
 WORDS, SEGMENTS, SEGMENT_BITS = 9, 24, 24
+#: 64-bit words of the parities of a set's hashes.
+PARITY_WORDS = 16
 _ODD = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,20 +180,147 @@ def linked_wide(classes: DataFrame, similarity: float = 0.8, rows_per_task: int
     return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most_bits(similarity)).select("a", "b")
 
 
+def distinct_shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+
+
+def common_shingles(docs: DataFrame, width: int, most_rows: int = 10_000, least: int = 5, most: int = 100_000) -> np.ndarray:
+    """Shingles of least or more texts of a sample, sorted; they go last in the order of shingles.
+
+    Any order finds all pairs, this one with fewer candidates: the sample sets the cost only.
+    """
+    sample = docs.where(sample_order("_key", "_row") < min(1.0, most_rows / max(docs.count(), 1))).select("text").distinct()
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(text, width).astype(np.int64))], names=["h"])
+
+    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()], dtype=np.int64).view(np.uint64))
+
+
+def with_prefix(docs: DataFrame, common: np.ndarray, similarity: float, width: int, text: str = "text") -> DataFrame:
+    """docs without the text and with node, shingles, prefix and parity; one pass, no shuffle.
+
+    node is a hash of the set of shingles, shingles its size n and prefix the first n - ceil(similarity * n) + 1 in the order
+    of shingles. Two sets of the given Jaccard similarity share a shingle of their prefixes. parity has a bit for each class
+    of hashes, set if the class holds an odd number: two sets differ in as many shingles as their parities at least.
+    """
+    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(common)
+
+    def prefix(h):
+        n = len(h)
+        at = np.searchsorted(shared.value, h)
+        late = shared.value[np.minimum(at, len(shared.value) - 1)] == h if len(shared.value) else np.zeros(n, dtype=bool)
+        return np.concatenate((h[~late], h[late]))[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
+
+    def parity(h):
+        odd = np.bincount((h % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+    def run(batches):
+        for batch in batches:
+            sets = [distinct_shingles(t, width) for t in batch.column(at).to_pylist()]
+            rest = batch.drop_columns([text])
+            node = pa.array(np.array([xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64))
+            first = pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            bits = pa.array([parity(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, node, pa.array([len(h) for h in sets], pa.int32()), first, bits], names=[*rest.schema.names, "node", "shingles", "prefix", "parity"])
+
+    return docs.mapInArrow(run, extended(docs.drop(text), node="long", shingles="int", prefix="array<long>", parity="array<long>"))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """pairs(a, b) of nodes, texts(node, text) -> those whose sets of distinct shingles have the Jaccard similarity; whole texts."""
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = distinct_shingles(x.as_py(), width), distinct_shingles(y.as_py(), width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _may_be_similar(similarity: float, a: str = "a", b: str = "b"):
+    """Whether two sets can have the similarity if their first common shingle is at these places of theirs."""
+    size, other, at, there = (F.col(f"{x}.{c}") for c in ("shingles", "at") for x in (a, b))
+    need = similarity / (1 + similarity) * (size + other) - 1e-6
+    return F.least(size - at, other - there) >= need
+
+
+def _parities_allow(similarity: float, a: str = "a", b: str = "b"):
+    """Whether the parities of two sets of the similarity can differ in so many bits."""
+    differ = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    return differ <= (1 - similarity) / (1 + similarity) * (F.col(f"{a}.shingles") + F.col(f"{b}.shingles")) + 1e-6
+
+
+def similar_components(classes: DataFrame, texts: DataFrame, similarity: float, width: int, block: int = 256, rounds: int = 3) -> DataFrame:
+    """classes(node, shingles, prefix, parity), texts(node, text), a row per set -> (node, component) of the graph of all similar pairs.
+
+    Rows that share a shingle of their prefixes are a bucket. First each row is compared with one leader of its buckets and
+    linked if similar, a few times with other leaders while buckets are crowded, so that groups of copies become one
+    component without being paired off. Then all pairs of a bucket that are not yet in one component are compared, crowded buckets dealt by blocks: pairs
+    that are skipped are connected already, so the components are those of all pairs.
+    """
+    met = classes.select("node", "shingles", F.posexplode("prefix").alias("at", "shingle"))
+    met = met.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1").drop("n")
+    met = stored(met, "buckets")
+    rows = met.count()
+    texts = stored(texts.join(met.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
+    links = None
+    left = met.withColumn("component", F.col("node"))
+    for r in range(rounds):
+        if (left.groupBy("shingle").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0) <= rows:
+            break
+        same = Window.partitionBy("shingle")
+        order = F.struct(F.xxhash64("component", F.lit(r)), F.xxhash64("node", F.lit(r)), "node", "shingles", "at", "component")
+        led = left.select("node", "component", F.struct("shingles", "at").alias("a"), F.min(order).over(same).alias("b"))
+        led = led.where((F.col("component") != F.col("b.component")) & _may_be_similar(similarity)).groupBy("node", F.col("b.node").alias("leader")).agg(F.count("*").alias("n"))
+        best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("o"))
+        pairs = best.select(F.least("node", "o.leader").alias("a"), F.greatest("node", "o.leader").alias("b")).distinct()
+        pairs = stored(pairs, f"pairs-{r}")
+        new = stored(similar_pairs(pairs, texts, similarity, width), f"links-{r}")
+        links = new if links is None else links.unionByName(new)
+        label = stored(connected_components(links), f"labels-{r}")
+        left = met.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("_node")
+        mixed = (F.min("component").over(same) != F.max("component").over(same)).alias("mixed")
+        left = stored(left.select("*", mixed).where("mixed").drop("mixed"), f"left-{r}")
+        if 10 * new.count() < pairs.count():
+            break  # buckets of strangers, which leaders don't connect
+    parts = left.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    left = left.join(classes.select("node", "parity"), "node")
+    dealt = left.join(parts, "shingle").select("shingle", F.struct("node", "shingles", "at", "component", "parity").alias("x"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    one = dealt.select("shingle", F.col("x").alias("a"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    two = dealt.select("shingle", F.col("x").alias("b"), F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), "part")).alias("i"))
+    apart = (F.col("a.component") != F.col("b.component")) & ((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node")))
+    pairs = one.join(two, ["shingle", "i", "j"]).where(apart & _may_be_similar(similarity) & _parities_allow(similarity)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    new = stored(similar_pairs(stored(pairs, "pairs"), texts, similarity, width), "links")
+    return connected_components(new if links is None else links.unionByName(new))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id, of repeated ids the first by text.
 
-    Groups are connected through links between texts whose fingerprints stand for a similarity of word shingles of at least
-    the given one (estimated: pairs within 0.03 of it may fall on either side). Texts with equal wide fingerprints are one
-    class, known by a 64-bit hash. Texts without words are alike. All columns are kept as they are. Rows with a null doc_id
-    that are alone in their group stay. An empty table gives an empty result.
+    Groups are connected through links between texts whose sets of distinct word shingles have at least the given Jaccard
+    similarity; all such pairs are found and each link is verified. Texts with the same set are one class, known by a
+    64-bit hash. Texts without words are alike. All columns are kept as they are. Rows with a null doc_id that are alone in
+    their group stay. An empty table gives an empty result.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.withColumns({"_row": row, "_key": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))})
-    fps = with_wide_fingerprint(keyed.select("_key", "_row", "text"), width=width).withColumn("node", F.xxhash64("wide"))
-    fps = stored(fps, "fingerprints")
-    classes = stored(fps.groupBy("node").agg(F.first("wide").alias("wide"), F.first("shingles").alias("shingles"), F.min(F.struct("_key", "_row")).alias("best")), "classes")
-    labels = connected_components(linked_wide(classes.select("node", "wide", "shingles"), similarity)).withColumnRenamed("node", "_node")
+    rows = keyed.select("_key", "_row", "text")
+    sets = stored(with_prefix(rows, common_shingles(rows, width), similarity, width), "shingles")
+    classes = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.min(F.struct("_key", "_row")).alias("best")), "classes")
+    texts = rows.join(classes.select("node", "best._key", "best._row"), ["_key", "_row"]).select("node", "text")
+    labels = similar_components(classes.select("node", "shingles", "prefix", "parity"), texts, similarity, width).withColumnRenamed("node", "_node")
     grouped = classes.select("node", "best").join(labels, F.col("node") == F.col("_node"), "left")
     best = grouped.groupBy(F.coalesce("component", "node").alias("label")).agg(F.min("best").alias("_b")).select("_b.*")
     return keyed.join(best, ["_row", "_key"]).dropDuplicates(["_row", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
