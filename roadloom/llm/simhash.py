@@ -232,6 +232,12 @@ def with_prefix(docs: DataFrame, common: np.ndarray, similarity: float, width: i
     return docs.mapInArrow(run, extended(docs.drop(text), node="long", shingles="int", prefix="array<long>", parity="array<long>"))
 
 
+def possible_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """pairs(a, b) of nodes of classes(node, shingles, parity) -> those that the parities allow, all similar ones among them."""
+    side = lambda n, out: classes.select(F.col("node").alias(n), F.struct("shingles", "parity").alias(out))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_parities_allow(similarity, "x", "y")).select("a", "b")
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """pairs(a, b) of nodes, texts(node, text) -> those whose sets of distinct shingles have the Jaccard similarity; whole texts."""
     side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
@@ -245,6 +251,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width:
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # Only texts of a pair are dealt.
+    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")
 
@@ -287,7 +295,7 @@ def similar_components(classes: DataFrame, texts: DataFrame, similarity: float,
         best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("o"))
         pairs = best.select(F.least("node", "o.leader").alias("a"), F.greatest("node", "o.leader").alias("b")).distinct()
         pairs = stored(pairs, f"pairs-{r}")
-        new = stored(similar_pairs(pairs, texts, similarity, width), f"links-{r}")
+        new = stored(similar_pairs(stored(possible_pairs(pairs, classes, similarity), f"possible-{r}"), texts, similarity, width), f"links-{r}")
         links = new if links is None else links.unionByName(new)
         label = stored(connected_components(links), f"labels-{r}")
         left = met.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("_node")
