@@ -14,10 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset and Spark is local (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
@@ -49,6 +52,33 @@ def sample_order(*cols: str) -> Column:
     return (F.xxhash64(F.lit("sample"), *[F.col(c) for c in cols]).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a list of ids that is broadcast; a longer one is joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def without(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """df without the rows whose keys are in ids, a stored table; df is not shuffled while ids has MOST_BROADCAST rows at most."""
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, keys, "left_anti")
+
+
+def matching(df: DataFrame, ids: DataFrame, keys: list[str], extra: list[str] = []) -> DataFrame:
+    """The rows of df whose keys are in ids, with ids' extra columns; df is not shuffled while ids has MOST_BROADCAST rows at most."""
+    ids = ids.select(*keys, *extra)
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    return df.join(ids, keys, "inner" if extra else "left_semi")
+
+
 def extended(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of df with more fields; types as DDL names."""
     more = T.StructType.fromDDL(", ".join(f"`{c}` {k}" for c, k in kinds.items()))

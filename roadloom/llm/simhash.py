@@ -6,71 +6,27 @@ the short segment as it is (all differing bits are in the long one, so one of it
 segment as it is, and the short segment with one bit deleted (a wildcard) next to either half of the long one. Every pair
 that shares a key is verified. Equal fingerprints are one row before the join, so copies are never paired.
 
-Texts of similarity 0.8 differ in about 15 of 100 bits, which no cut of 64 bits finds. drop_near_duplicates() therefore
-needs no fingerprints: it puts the distinct shingles of all texts in one order and joins texts over the first of them. Two
-sets of n shingles with a Jaccard similarity of t share one of their first n - ceil(t n) + 1, so no pair is missed, and
-each candidate is verified by its whole texts. linked_wide(), the approximate search by fingerprints of 576 bits that the
-pipeline used before, is no longer called by it.
+Texts of similarity 0.8 differ in about 15 of 100 bits, which no cut of 64 bits finds, so drop_near_duplicates() goes on
+with an exact way for what the variants don't connect.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import extended, sample_order, stored
+from .common import extended, fresh, matching, stored, without
 from .components import connected_components
+from .shingles import common_shingles, majority, possible_pairs, shingle_hashes, similar_components, similar_pairs, with_sets
 
-_BITS = np.arange(64, dtype=np.uint64)
 _LONG, _PART, _HALF = (1 << 48) - 1, (1 << 16) - 1, (1 << 24) - 1
-#: Wide fingerprints: 64-bit words, segments and bits of a segment.
-WORDS, SEGMENTS, SEGMENT_BITS = 9, 24, 24
-#: 64-bit words of the parities of a set's hashes.
-PARITY_WORDS = 16
-_ODD = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> list[int]:
-    """XXH64 of each shingle of words, repeats included; fewer words than width are one shingle, no words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return []
-    if len(words) <= width:
-        return [xxh64_intdigest(b" ".join(words), seed)]
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate(([0], ends[: -width])).tolist()
-    return [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
-
-
-def wide_fingerprint(hashes: list[int]) -> list[int]:
-    """WORDS signed 64-bit words; each hash is mixed anew for every word. A bit is 1 if set in over half of them."""
-    ones = np.zeros(64 * WORDS, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 12):
-        h = np.array(hashes[i : i + (1 << 12)], dtype=np.uint64)[:, None] + _ODD
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = (h ^ (h >> np.uint64(31))).astype("<u8")
-        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The signed 64-bit fingerprint of one text; no words: 0."""
-    hashes = shingle_hashes(text, width, seed)
-    if not hashes:
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        h = np.array(hashes[i : i + (1 << 14)], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint64)
-    return int(np.bitwise_or.reduce(bits << _BITS).astype(np.int64))
+    return majority(np.array(shingle_hashes(text, width, seed), dtype=np.uint64))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp", width: int = 3) -> DataFrame:
@@ -79,7 +35,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp", widt
 
     def run(batches):
         for batch in batches:
-            fps = pa.array([fingerprint(t, width) for t in batch.column(at).to_pylist()], pa.int64())
+            fps = pa.array([fingerprint(t.as_py(), width) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, extended(docs, **{out: "long"}))
@@ -126,209 +82,52 @@ def simhash_documents(docs: DataFrame, width: int = 3, max_bits: int = 2) -> Dat
     return fps.join(fingerprint_components(fps, max_bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def with_wide_fingerprint(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
-    """docs without the text and with wide (array of WORDS longs) and shingles (their number); one pass, no shuffle."""
-    at = docs.columns.index(text)
-
-    def run(batches):
-        for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in batch.column(at).to_pylist()]
-            rest = batch.drop_columns([text])
-            wide = pa.array([wide_fingerprint(h) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, wide, pa.array(list(map(len, hashes)), pa.int32())], names=[*rest.schema.names, "wide", "shingles"])
-
-    return docs.mapInArrow(run, extended(docs.drop(text), wide="array<long>", shingles="int"))
-
-
-def most_bits(similarity: float, bits: int = 64 * WORDS, slack: float = 1.0) -> int:
-    """Differing bits expected at a Jaccard similarity of two texts of equal length, and slack standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-
-
-def linked_wide(classes: DataFrame, similarity: float = 0.8, rows_per_task: int = 2_000_000) -> DataFrame:
-    """classes(node long, wide, shingles), one row per fingerprint -> pairs (a, b), a < b, of linked nodes.
-
-    Rows that share a variant are put in order of their number of shingles, which near-duplicates nearly share, and each is
-    compared with the one before it and with the first one. So a group of any size costs two comparisons per row and
-    variant, and its members, which meet in many variants, are linked through one another. A pair is compared by the bits
-    of three other words first, so that few are joined with their whole fingerprints, and verified by all bits.
-    """
-    half = SEGMENT_BITS // 2
-    others = (3, 5, 7)  # words from the segment's first one on; a segment reaches into the next one at most
-    mask, keys = (1 << half) - 1, 2 * SEGMENTS * half
-    at = f"((k div 2) * {SEGMENT_BITS})"
-    segment = f"shiftrightunsigned(wide[{at} div 64], cast({at} % 64 as int)) | if({at} % 64 > {64 - SEGMENT_BITS}, shiftleft(wide[({at} div 64) + 1], cast(64 - {at} % 64 as int)), 0L)"
-    dealt = classes.select("node", "shingles", "wide", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENTS - 1))).alias("k"))
-    dealt = dealt.select("node", "shingles", "k", F.expr(f"struct({', '.join(f'wide[(({at} div 64) + {i}) % {WORDS}] as c{i}' for i in others)})").alias("check"), F.expr(segment).alias("segment"))
-    low, high = F.col("segment").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("segment", half).bitwiseAND(F.lit(mask))
-    first = F.col("k") % 2 == 0
-    part = (F.col("k") * (1 << half) + F.when(first, low).otherwise(high)).cast("int")
-    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * keys / rows_per_task))
-    dealt = dealt.select("node", "shingles", "check", part.alias("part"), F.when(first, high).otherwise(low).cast("int").alias("other")).repartition(tasks, "part")
-    variants = F.array(*[F.col("other").bitwiseAND(F.lit(mask & ~(1 << j))).bitwiseOR(F.lit(j << half)) for j in range(half)])
-    same = Window.partitionBy("part", "variant").orderBy("shingles", "node")
-    me = F.struct("node", "check")
-    met = dealt.select("node", "shingles", "check", "part", F.explode(variants).alias("variant"))
-    met = met.select("node", "check", F.lag(me).over(same).alias("before"), F.first(me).over(same).alias("leader")).where(F.col("before").isNotNull())
-    met = met.select("node", "check", F.explode(F.array("before", "leader")).alias("o"))
-    differing = sum((F.bit_count(F.col(f"check.c{i}").bitwiseXOR(F.col(f"o.check.c{i}"))) for i in others), F.lit(0))
-    alike = differing <= most_bits(similarity, 64 * len(others), 3.0)
-    pairs = met.where(alike & (F.col("node") != F.col("o.node"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-    side = lambda n: classes.select(F.col("node").alias(n), F.col("wide").alias(f"wide_{n}"))
-    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most_bits(similarity)).select("a", "b")
-
-
-def distinct_shingles(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, sorted."""
-    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
-
-
-def common_shingles(docs: DataFrame, width: int, most_rows: int = 10_000, least: int = 5, most: int = 100_000) -> np.ndarray:
-    """Shingles of least or more texts of a sample, sorted; they go last in the order of shingles.
-
-    Any order finds all pairs, this one with fewer candidates: the sample sets the cost only.
-    """
-    sample = docs.where(sample_order("_key", "_row") < min(1.0, most_rows / max(docs.count(), 1))).select("text").distinct()
-
-    def run(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(text, width).astype(np.int64))], names=["h"])
-
-    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()], dtype=np.int64).view(np.uint64))
-
-
-def with_prefix(docs: DataFrame, common: np.ndarray, similarity: float, width: int, text: str = "text") -> DataFrame:
-    """docs without the text and with node, shingles, prefix and parity; one pass, no shuffle.
-
-    node is a hash of the set of shingles, shingles its size n and prefix the first n - ceil(similarity * n) + 1 in the order
-    of shingles. Two sets of the given Jaccard similarity share a shingle of their prefixes. parity has a bit for each class
-    of hashes, set if the class holds an odd number: two sets differ in as many shingles as their parities at least.
-    """
-    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(common)
-
-    def prefix(h):
-        n = len(h)
-        at = np.searchsorted(shared.value, h)
-        late = shared.value[np.minimum(at, len(shared.value) - 1)] == h if len(shared.value) else np.zeros(n, dtype=bool)
-        return np.concatenate((h[~late], h[late]))[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
-
-    def parity(h):
-        odd = np.bincount((h % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-        return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-    def run(batches):
-        for batch in batches:
-            sets = [distinct_shingles(t, width) for t in batch.column(at).to_pylist()]
-            rest = batch.drop_columns([text])
-            node = pa.array(np.array([xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64))
-            first = pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            bits = pa.array([parity(h) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, node, pa.array([len(h) for h in sets], pa.int32()), first, bits], names=[*rest.schema.names, "node", "shingles", "prefix", "parity"])
-
-    return docs.mapInArrow(run, extended(docs.drop(text), node="long", shingles="int", prefix="array<long>", parity="array<long>"))
-
-
-def possible_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b) of nodes of classes(node, shingles, parity) -> those that the parities allow, all similar ones among them."""
-    side = lambda n, out: classes.select(F.col("node").alias(n), F.struct("shingles", "parity").alias(out))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_parities_allow(similarity, "x", "y")).select("a", "b")
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """pairs(a, b) of nodes, texts(node, text) -> those whose sets of distinct shingles have the Jaccard similarity; whole texts."""
-    side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = distinct_shingles(x.as_py(), width), distinct_shingles(y.as_py(), width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # Only texts of a pair are dealt.
-    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
-
-
-def _may_be_similar(similarity: float, a: str = "a", b: str = "b"):
-    """Whether two sets can have the similarity if their first common shingle is at these places of theirs."""
-    size, other, at, there = (F.col(f"{x}.{c}") for c in ("shingles", "at") for x in (a, b))
-    need = similarity / (1 + similarity) * (size + other) - 1e-6
-    return F.least(size - at, other - there) >= need
-
-
-def _parities_allow(similarity: float, a: str = "a", b: str = "b"):
-    """Whether the parities of two sets of the similarity can differ in so many bits."""
-    differ = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
-    return differ <= (1 - similarity) / (1 + similarity) * (F.col(f"{a}.shingles") + F.col(f"{b}.shingles")) + 1e-6
-
-
-def similar_components(classes: DataFrame, texts: DataFrame, similarity: float, width: int, block: int = 256, rounds: int = 3) -> DataFrame:
-    """classes(node, shingles, prefix, parity), texts(node, text), a row per set -> (node, component) of the graph of all similar pairs.
+def led_fingerprints(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
+    """distinct(fp) -> pairs (a, b) of fingerprints within max_bits, each with the smallest fingerprint of a bucket it is in.
 
-    Rows that share a shingle of their prefixes are a bucket. First each row is compared with one leader of its buckets and
-    linked if similar, a few times with other leaders while buckets are crowded, so that groups of copies become one
-    component without being paired off. Then all pairs of a bucket that are not yet in one component are compared, crowded buckets dealt by blocks: pairs
-    that are skipped are connected already, so the components are those of all pairs.
+    A crowded bucket costs a comparison per row, not per pair; pairs that it leaves out are for the caller to find.
     """
-    met = classes.select("node", "shingles", F.posexplode("prefix").alias("at", "shingle"))
-    met = met.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1").drop("n")
-    met = stored(met, "buckets")
-    rows = met.count()
-    texts = stored(texts.join(met.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
-    links = None
-    left = met.withColumn("component", F.col("node"))
-    for r in range(rounds):
-        if (left.groupBy("shingle").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0) <= rows:
-            break
-        same = Window.partitionBy("shingle")
-        order = F.struct(F.xxhash64("component", F.lit(r)), F.xxhash64("node", F.lit(r)), "node", "shingles", "at", "component")
-        led = left.select("node", "component", F.struct("shingles", "at").alias("a"), F.min(order).over(same).alias("b"))
-        led = led.where((F.col("component") != F.col("b.component")) & _may_be_similar(similarity)).groupBy("node", F.col("b.node").alias("leader")).agg(F.count("*").alias("n"))
-        best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("o"))
-        pairs = best.select(F.least("node", "o.leader").alias("a"), F.greatest("node", "o.leader").alias("b")).distinct()
-        pairs = stored(pairs, f"pairs-{r}")
-        new = stored(similar_pairs(stored(possible_pairs(pairs, classes, similarity), f"possible-{r}"), texts, similarity, width), f"links-{r}")
-        links = new if links is None else links.unionByName(new)
-        label = stored(connected_components(links), f"labels-{r}")
-        left = met.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("_node")
-        mixed = (F.min("component").over(same) != F.max("component").over(same)).alias("mixed")
-        left = stored(left.select("*", mixed).where("mixed").drop("mixed"), f"left-{r}")
-        if 10 * new.count() < pairs.count():
-            break  # buckets of strangers, which leaders don't connect
-    parts = left.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    left = left.join(classes.select("node", "parity"), "node")
-    dealt = left.join(parts, "shingle").select("shingle", F.struct("node", "shingles", "at", "component", "parity").alias("x"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    one = dealt.select("shingle", F.col("x").alias("a"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
-    two = dealt.select("shingle", F.col("x").alias("b"), F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), "part")).alias("i"))
-    apart = (F.col("a.component") != F.col("b.component")) & ((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node")))
-    pairs = one.join(two, ["shingle", "i", "j"]).where(apart & _may_be_similar(similarity) & _parities_allow(similarity)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    new = stored(similar_pairs(stored(pairs, "pairs"), texts, similarity, width), "links")
-    return connected_components(new if links is None else links.unionByName(new))
+    keyed = distinct.select(F.col("fp").alias("a"), F.explode(variant_keys("fp")).alias("key"))
+    led = keyed.select("a", F.min("a").over(Window.partitionBy("key")).alias("b"))
+    return led.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id, of repeated ids the first by text.
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """One document of each group stays: the one with the smallest doc_id, of repeated ids the first by its columns' hash.
 
     Groups are connected through links between texts whose sets of distinct word shingles have at least the given Jaccard
-    similarity; all such pairs are found and each link is verified. Texts with the same set are one class, known by a
-    64-bit hash. Texts without words are alike. All columns are kept as they are. Rows with a null doc_id that are alone in
-    their group stay. An empty table gives an empty result.
+    similarity; all such pairs are found and each link is verified by whole texts. Equal texts become one by their SHA-256
+    first, texts with the same set are one class, known by a 64-bit hash. Candidates come from the classes' SimHash
+    fingerprints by deletion variants first, which connect groups of copies cheaply, and then, as pairs of similarity 0.8
+    differ in about ten of 64 bits, from the exact join of shingles.similar_components() for all that isn't connected yet.
+    Texts without words are alike. All columns are kept as they are. Rows with a null doc_id that are alone in their group
+    stay; of rows equal in all columns one stays. An empty table gives an empty result.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumns({"_row": row, "_key": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))})
-    rows = keyed.select("_key", "_row", "text")
-    sets = stored(with_prefix(rows, common_shingles(rows, width), similarity, width), "shingles")
-    classes = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.min(F.struct("_key", "_row")).alias("best")), "classes")
-    texts = rows.join(classes.select("node", "best._key", "best._row"), ["_key", "_row"]).select("node", "text")
-    labels = similar_components(classes.select("node", "shingles", "prefix", "parity"), texts, similarity, width).withColumnRenamed("node", "_node")
-    grouped = classes.select("node", "best").join(labels, F.col("node") == F.col("_node"), "left")
-    best = grouped.groupBy(F.coalesce("component", "node").alias("label")).agg(F.min("best").alias("_b")).select("_b.*")
-    return keyed.join(best, ["_row", "_key"]).dropDuplicates(["_row", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, row, digest = fresh(docs, "key", "row", "digest")
+    known = docs.withColumns({key: F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), row: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+    ids = stored(known.select(F.col(key).alias("key"), F.col(row).alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "ids")
+    firsts = ids.groupBy("digest").agg(F.min(F.struct("key", "row")).alias("best")).select("best.*")
+    copies = stored(ids.select("key", "row").distinct().join(firsts, ["key", "row"], "left_anti"), "copies")
+    repeated = stored(ids.groupBy("key", "row").count().where("count > 1").select("key", "row"), "repeated")
+    rows = known.select(F.col(key).alias("key"), F.col(row).alias("row"), "text")
+    texts = without(rows, copies, ["key", "row"])
+    sets = stored(with_sets(texts, common_shingles(texts, width), similarity, width), "sets")
+    classes = stored(sets.where("prefix IS NOT NULL").dropDuplicates(["node"]), "classes")
+    verified = lambda pairs: similar_pairs(pairs, classes, rows, similarity, width)
+    prints = stored(classes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    led = led_fingerprints(prints.select("fp"), max_bits)
+    name = lambda x: prints.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}"))
+    pairs = led.join(name("a"), "a").join(name("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    alike = classes.join(prints, "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    pairs = stored(possible_pairs(pairs.unionByName(alike), classes, similarity), "variants")
+    links = stored(verified(pairs), "variant-links")
+    labels = similar_components(classes.select("node", "size", "prefix", "parity"), verified, similarity, links).withColumnRenamed("node", "n")
+    best = sets.groupBy("node").agg(F.min(F.struct("key", "row")).alias("best"))
+    best = best.join(labels, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("label")).agg(F.min("best").alias("best"))
+    near = sets.select("key", "row").distinct().join(best.select("best.*"), ["key", "row"], "left_anti")
+    gone = stored(copies.unionByName(near), "gone").select(F.col("key").alias(key), F.col("row").alias(row))
+    kept = without(known, gone, [key, row])
+    if not repeated.isEmpty():
+        repeated = repeated.select(F.col("key").alias(key), F.col("row").alias(row))
+        kept = without(kept, repeated, [key, row]).unionByName(matching(kept, repeated, [key, row]).dropDuplicates([key, row]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

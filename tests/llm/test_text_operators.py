@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roadloom.llm import chat, langid, packing, secrets, simhash, toxicity
+from roadloom.llm import chat, common, langid, packing, secrets, simhash, toxicity
 from roadloom.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -124,6 +124,14 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.drop_near_duplicates(odd).columns == odd.columns and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    rows = [(i, f"words of text {i} that no other text here has at all", f"k{i}", i * 10, "n") for i in range(5)] + [(9, "words of text 3 that no other text here has at all", "k9", 90, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, `Row` long, digest string")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect())) == rows[:5]
+    again = df.unionByName(df)
+    assert sorted(map(tuple, simhash.drop_near_duplicates(again).collect())) == rows[:5]
+
+
 def jaccard(a, b, width=5):
     a, b = ({*simhash.shingle_hashes(t, width)} for t in (a, b))
     return len(a & b) / len(a | b) if a | b else 1.0
@@ -149,6 +157,14 @@ def near_copies():
     return texts + [" ".join(make(rng.randrange(1, 300))) for _ in range(150)]
 
 
+def test_near_duplicates_beyond_the_broadcast(spark, monkeypatch):
+    texts = near_copies()[100:200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, simhash.drop_near_duplicates(df.unionByName(df)).collect()))
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df.unionByName(df)).collect())) == want
+
+
 def test_near_duplicates_against_exact_similarity(spark):
     texts = near_copies()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -161,13 +177,6 @@ def test_near_duplicates_against_exact_similarity(spark):
     assert not kept & set(range(121, 271))
 
 
-def test_wide_links_have_the_similarity(spark):
-    texts = near_copies()[:200]
-    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    links = [(r.a, r.b) for r in simhash.linked_wide(simhash.with_wide_fingerprint(df)).collect()]
-    assert links and all(a < b and jaccard(texts[a], texts[b]) > 0.7 for a, b in links)
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from roadloom.llm import simhash
+from roadloom.llm import shingles, simhash
 
 
 def groups(sets, similarity=0.8):
@@ -42,19 +42,30 @@ def test_crowded_buckets_lose_no_pairs(spark):
 
 def test_blocks_and_leaders_change_nothing(spark):
     texts = crowded()
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_key long, text string").withColumn("_row", F.col("_key"))
-    rows = simhash.with_prefix(df, simhash.common_shingles(df, 5), 0.8, 5)
-    ids = {r.node: r._key for r in rows.collect()}
-    named = df.join(rows.select("_key", "node"), "_key").select("node", "text")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string").withColumn("row", F.col("key"))
+    rows = shingles.with_sets(df, shingles.common_shingles(df, 5), 0.8, 5)
+    ids = {r.node: r.key for r in rows.collect()}
+    verified = lambda pairs: shingles.similar_pairs(pairs, rows, df, 0.8, 5)
     root = groups([{*simhash.shingle_hashes(t, 5)} for t in texts])
     want = {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
     for block, rounds in ((256, 0), (3, 0), (5, 3)):
         got = {}
-        for r in simhash.similar_components(rows.select("node", "shingles", "prefix", "parity"), named, 0.8, 5, block, rounds).collect():
+        for r in shingles.similar_components(rows, verified, 0.8, None, block, rounds).collect():
             got.setdefault(r.component, set()).add(ids[r.node])
         assert {frozenset(g) for g in got.values()} == {w for w in want if len(w) > 1}
 
 
+def test_the_given_documents_against_exact_similarity(spark):
+    """All pairs of texts of sf0.01 that share a shingle, by exact sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    order = sorted(texts)
+    root = groups([{*simhash.shingle_hashes(texts[i], 5)} for i in order])
+    want = {order[i] for i, r in enumerate(root) if r == i}
+    got = simhash.drop_near_duplicates(docs).collect()
+    assert {r.doc_id for r in got} == want and len(got) == len(want) < len(order)
+
+
 def test_repeated_lines_link_nothing(spark):
     line = " ".join(f"r{i}" for i in range(17))
     texts = [" ".join([line] * 50 + [f"{x}{i}" for i in range(60)]) for x in "abc"]
