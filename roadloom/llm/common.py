@@ -29,16 +29,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    rows_per_batch is the most rows that Python workers get at once while df is made, for rows of long texts.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_BATCH)
+    if rows_per_batch:
+        spark.conf.set(_BATCH, str(rows_per_batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if rows_per_batch:
+            spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

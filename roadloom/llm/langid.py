@@ -4,9 +4,11 @@ A suffix automaton of labelled text per language gives the longest match at ever
 greedily into the longest phrases that occur in the language's text. Fewer phrases per character mean a closer language;
 phrase counts are normalised by the text's length and the bits that one pointer into the training text costs.
 
-The automata are trained on a bounded sample: at most ``docs_per_lang`` labelled documents and ``train_chars`` characters
-of each language, chosen by a hash of doc_id, so the model's size is fixed by these parameters and not by the corpus.
-Every text is parsed whole, in blocks of ``block`` characters that are walked side by side.
+The automata are trained on a bounded sample: ``train_chars`` characters from the middles of ``docs_per_lang`` labelled
+documents at most, of each of the ``most_langs`` languages with the most labelled texts, chosen by a hash of doc_id, so the
+model's size is fixed by these parameters and not by the corpus. Each language has the alphabet of its own sample, however
+large; letters that it lacks are phrases of their own. Every text is parsed whole, in blocks of ``block`` characters that
+are walked side by side.
 """
 
 from __future__ import annotations
@@ -25,11 +27,36 @@ from .text_codes import SPACE, CodeTable, by_size
 UNDETERMINED = "und"
 
 
-def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a text, flat: [state * alphabet + code] is next state * 2 + (1 if a phrase ends here).
+#: An automaton's transitions are held as a full table up to this alphabet, else as a sorted list; results are the same.
+DENSE = 128
+
+
+class Automaton:
+    """Transitions of a suffix automaton: next state * 2 + (1 if a phrase ends here), by state * alphabet + code.
 
     Where no transition exists, a phrase ends and the next one begins with the same code.
     """
+
+    def __init__(self, begin: np.ndarray, keys: np.ndarray, values: np.ndarray, states: int):
+        self.alphabet, self.begin = len(begin), begin
+        if self.alphabet <= DENSE:
+            self.table = np.tile(begin + 1, states)
+            self.table[: self.alphabet] = begin  # at the root no phrase is there to end
+            self.table[keys] = values
+        else:
+            order = np.argsort(keys)
+            self.table, self.keys, self.values = None, keys[order], values[order]
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.alphabet + code
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.begin[code] + (state != 0))
+
+
+def suffix_automaton(codes: list[int], alphabet: int) -> Automaton:
+    """The suffix automaton of a text of codes below alphabet."""
     link, length, moves = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -58,12 +85,20 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
     # A last state holds a phrase of one unknown code. Only at the root, where a text begins, no phrase is there to end.
     unknown = len(moves)
     begin = np.array([moves[0].get(c, unknown) * 2 for c in range(alphabet)], dtype=np.int32)
-    table = np.tile(begin + 1, unknown + 1)
-    table[:alphabet] = begin
-    for s, out in enumerate(moves):
-        for c, t in out.items():
-            table[s * alphabet + c] = t * 2
-    return table
+    flat = [(s * alphabet + c, t * 2) for s, out in enumerate(moves) for c, t in out.items()]
+    keys, values = np.array(flat, dtype=np.int64).reshape(-1, 2).T
+    return Automaton(begin, keys, values.astype(np.int32), unknown + 1)
+
+
+def middles(texts: list[str], chars: int) -> list[str]:
+    """The middle of each text, cut to one length so that they have about so many characters together; short ones are whole."""
+    left, most, sizes = chars, 0, sorted(len(t) for t in texts)
+    for i, n in enumerate(sizes):
+        most = max(left // (len(sizes) - i), 1)
+        if n > most:
+            break
+        left -= n
+    return [t if len(t) <= most else t[(len(t) - most) // 2 :][:most] for t in texts]
 
 
 @dataclass
@@ -72,26 +107,28 @@ class LanguageModel:
 
     codes: CodeTable
     langs: list[str]
-    tables: list[np.ndarray]
+    own: list[np.ndarray]  # from the common codes to a language's
+    automata: list[Automaton]
     bits: list[float]
     block: int = 512
 
     @classmethod
     def train(cls, texts: dict[str, list[str]], train_chars: int, block: int = 512) -> LanguageModel:
-        codes = CodeTable.learned(t for ts in texts.values() for t in ts)
-        langs, tables, bits = [], [], []
-        for lang in sorted(texts):
-            seq: list[int] = []
-            for t in texts[lang]:
-                seq += codes.encode([t])[0].tolist()
-                if len(seq) >= train_chars:
-                    break
-            if sum(c != SPACE for c in seq):
-                seq = seq[:train_chars]
-                langs.append(lang)
-                tables.append(suffix_automaton(seq, codes.size))
-                bits.append(math.log2(len(seq) + 1))
-        return cls(codes, langs, tables, bits, block)
+        parts = {lang: middles(ts, train_chars) for lang, ts in sorted(texts.items())}
+        codes = CodeTable.learned(t for ts in parts.values() for t in ts)
+        langs, own, automata, bits = [], [], [], []
+        for lang, ts in parts.items():
+            seq = codes.encode(ts)[0]
+            letters = np.setdiff1d(seq, [SPACE])
+            if not len(letters):
+                continue
+            to = np.full(codes.size, len(letters) + 1, dtype=np.int64)  # the last code is for letters that it lacks
+            to[SPACE], to[letters] = SPACE, np.arange(1, len(letters) + 1)
+            langs.append(lang)
+            own.append(to)
+            automata.append(suffix_automaton(to[seq].tolist(), len(letters) + 2))
+            bits.append(math.log2(len(seq) + 1))
+        return cls(codes, langs, own, automata, bits, block)
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) phrase bits per character, and the number of letters of each text."""
@@ -108,12 +145,10 @@ class LanguageModel:
         going = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
         phrases = np.ones((len(self.langs), len(start)), dtype=np.int32)  # the last phrase of a block
         state = np.zeros((len(self.langs), len(start)), dtype=np.int32)
-        a = self.codes.size
-        for t, m in enumerate(going):
-            at = codes[start[:m] + t]
-            for i, table in enumerate(self.tables):
-                s = state[i, :m]
-                got = table[s * a + at]
+        for i, (to, automaton) in enumerate(zip(self.own, self.automata)):
+            mine = to[codes]
+            for t, m in enumerate(going):
+                got = automaton.step(state[i, :m], mine[start[:m] + t])
                 phrases[i, :m] += got & 1
                 state[i, :m] = got >> 1
         out = np.zeros((len(texts), len(self.langs)))
@@ -142,24 +177,25 @@ class LanguageModel:
         return langs, scores
 
 
-def labelled_sample(labelled: DataFrame, text: str, lang: str, key: str, docs_per_lang: int) -> dict[str, list[str]]:
-    """At most docs_per_lang whole texts of each language, by a hash of key; every language with a labelled text is there."""
+def labelled_sample(labelled: DataFrame, text: str, lang: str, key: str, docs_per_lang: int, chars: int, most_langs: int) -> dict[str, list[str]]:
+    """The middles, of chars characters at most, of docs_per_lang texts at most of each language, by a hash of key."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.col(key).alias("_key")).withColumn("_u", sample_order("_key"))
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(most_langs).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * docs_per_lang / n))])
     near = rows.where(F.col("_u") < share[F.col("_lang")])
     first = Window.partitionBy("_lang").orderBy("_u", "_key", "_text")
-    some = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= docs_per_lang).select("_lang", "_r", "_text").collect()
+    begin = F.greatest(F.floor((F.length("_text") - chars) / 2), F.lit(0)).cast("int")
+    some = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= docs_per_lang).select("_lang", "_r", F.substring("_text", begin + 1, F.lit(chars)).alias("_text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(some, key=lambda r: (r["_lang"], r["_r"])):
         out.setdefault(r["_lang"], []).append(r["_text"])
     return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 40, train_chars: int = 16_000) -> LanguageModel:
-    return LanguageModel.train(labelled_sample(labelled, text, lang, key, docs_per_lang), train_chars)
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 40, train_chars: int = 16_000, most_langs: int = 256) -> LanguageModel:
+    return LanguageModel.train(labelled_sample(labelled, text, lang, key, docs_per_lang, train_chars, most_langs), train_chars)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

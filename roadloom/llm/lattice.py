@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import connected_components
-from .vectors import lists_to_rows, usable
+from .vectors import lists_to_rows, scaled, usable
 
 TABLES, BLOCKS, PROBES, SCALE = 6, 2, 2, 0.36
 
@@ -168,10 +168,11 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, seed: int = 7,
 
     Vectors that are null, empty or zero or hold null or non-finite components, and rows with a null vec_id, link with
     nothing: n_links 0, their own component. Vectors of different dimensions are never linked. Repeated rows are vectors of
-    their own. An empty table gives an empty result.
+    their own. Components of any finite size take part: vectors are scaled by a power of two first. An empty table gives an
+    empty result.
     """
     fit = usable("embedding") & F.col("vec_id").isNotNull()
-    rows = stored(vectors.select("vec_id", F.when(fit, F.col("embedding").cast("array<double>")).alias("v")), "embeddings")
+    rows = stored(vectors.select("vec_id", F.when(fit, scaled("embedding")).alias("v")), "embeddings")
     groups = stored(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vector_classes")
 
     def hashed(batches):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, fresh, stored
 
 #: Sources' figures are broadcast up to so many sources.
 MOST_BROADCAST = 20_000
@@ -63,11 +63,13 @@ def mix(docs: DataFrame, weight: str = "weight", rows_per_bucket: int = 2_000) -
     taken is size times the number of copies in the mix. Targets follow source_targets(); a document in the last, partial
     epoch is chosen if its middle lies within the target, so a source misses its target by half a document at most. Null
     sources are one source. Null or non-positive weights count as 1. Documents of size 0 take 0. Repeated rows are rows of
-    their own. Ties of keys fall to the smaller doc_id, then to the smaller size. An empty table gives an empty result.
+    their own. Ties of keys fall to the smaller doc_id, then to the smaller size. Columns of docs of any other names stay as
+    they are; those named source_size, target or taken are replaced. An empty table gives an empty result.
     """
     w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(1.0)
-    keyed = docs.withColumn("_key", -F.log(unit_hash("doc_id")) / w)
-    totals = source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
+    kept = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), "doc_id", "source", "size", (-F.log(unit_hash("doc_id")) / w).alias("_key"))
+    totals = source_targets(docs.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
     spec = totals.select(
         F.col("source").alias("_source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("_epochs"),
@@ -92,14 +94,15 @@ def mix(docs: DataFrame, weight: str = "weight", rows_per_bucket: int = 2_000) -
     # Without a cut bucket the rest is 0, or it is all of the source.
     away = placed.where(~inside).withColumn("_in", F.coalesce(F.col("_bucket") < F.col("_cut"), F.col("_rest") >= F.col("source_size")))
     taken = F.when(F.col("size") > 0, F.col("size") * (F.col("_epochs") + F.col("_in").cast("long"))).otherwise(0)
-    return at_cut.unionByName(away).withColumn("taken", taken).select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", "taken")
+    return at_cut.unionByName(away).withColumn("taken", taken).select("_doc.*", "source_size", "target", "taken")
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, ...) with weight: 2 where labels mark the document as good (quality 1), 0.5 where as bad (0), else 1."""
-    by_doc = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").alias("_quality"))
-    weight = F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
-    return docs.join(by_doc, docs["doc_id"] == by_doc["_doc"], "left").withColumn("weight", weight).drop("_doc", "_quality")
+    doc, quality = fresh(docs, "labelled", "quality")
+    by_doc = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(doc)).agg(F.max("quality").alias(quality))
+    weight = F.when(F.col(quality) == 1, 2.0).when(F.col(quality) == 0, 0.5).otherwise(1.0)
+    return docs.join(by_doc, docs["doc_id"] == by_doc[doc], "left").withColumn("weight", weight).drop(doc, quality)
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -109,14 +112,20 @@ def mix_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, its columns unchanged."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumn("_row", row)
-    slim = keyed.select("doc_id", "source", "_row", word_count("text").alias("size"))
+    """The mix itself: each row of docs as often as it is taken, its columns unchanged, whatever their names.
+
+    Rows of null or empty text are never taken, as they have no words. Rows equal in all columns are taken as often as they
+    are together; null doc_ids and sources are ids and sources like others. An empty table gives an empty result.
+    """
+    row, times, same = fresh(docs, "row", "times", "same")
+    keyed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    slim = keyed.select("doc_id", "source", F.col(row).alias("row"), word_count("text").alias("size"))
     # Repeated rows are told apart by nothing, so they are counted and their copies summed.
     sized = stored(quality_weights(slim, labels.select("doc_id", "quality")), "sized")
-    copies = mix(sized, **params).groupBy("_row", "doc_id").agg(F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_sum"), F.count("*").cast("int").alias("_n"))
-    copies = copies.where("_sum > 0").select("_row", F.col("doc_id").alias("_id"), "_sum", "_n")
-    joined = keyed.join(copies, (keyed["_row"] == copies["_row"]) & keyed["doc_id"].eqNullSafe(copies["_id"])).drop(copies["_row"])
-    once = joined.where("_n = 1").unionByName(joined.where("_n > 1").dropDuplicates(["_row", "_id"]))
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_sum")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = mix(sized, **params).groupBy("row", "doc_id").agg(F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias(times), F.count("*").cast("int").alias(same))
+    id_, number = fresh(keyed, "taken_id", "taken_row")
+    copies = copies.where(F.col(times) > 0).select(F.col("row").alias(number), F.col("doc_id").alias(id_), times, same)
+    joined = keyed.join(copies, (F.col(row) == F.col(number)) & keyed["doc_id"].eqNullSafe(F.col(id_)))
+    once = joined.where(F.col(same) == 1).unionByName(joined.where(F.col(same) > 1).dropDuplicates([row, id_]))
+    (copy,) = fresh(once, "copy")
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

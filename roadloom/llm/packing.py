@@ -85,7 +85,7 @@ def ranges(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, i
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, rows_per_rank_group: int = 5_000) -> DataFrame:
-    """pieces(doc_id, start, length, ...) -> all columns and sequence_id, offset.
+    """pieces(doc_id, start, length, ...) -> all columns and sequence_id, offset, in place of columns of those names.
 
     pieces should be a stored table, as it is read more than once. Lengths must lie between 1 and window. The histogram
     that reaches the driver has at most `window` rows, the ranges that are broadcast at most 64 for each of them.
@@ -95,16 +95,18 @@ def pack(pieces: DataFrame, window: int = WINDOW, rows_per_rank_group: int = 5_0
     rows = ranges(plan(histogram, window))
     schema = "_length long, _from long, _to long, _times long, _first long, _slot long"
     groups = max(1, -(-max(histogram.values(), default=0) // rows_per_rank_group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    kept = [F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")]
+    order = ["doc_id", "start", *[c for c in ("ids_crc32",) if c in pieces.columns]]
+    dealt = pieces.select(F.struct(*kept).alias("_piece"), "length", *order, F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("_group"))
     sizes = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "start", *[c for c in ("ids_crc32",) if c in pieces.columns])) - 1)
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy(*order)) - 1)
     ranked = ranked.join(before, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     places = F.broadcast(spark.createDataFrame(rows, schema))
     hit = (ranked["length"] == places["_length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     k = F.col("_rank") - F.col("_from")
     return ranked.join(places, hit).select(
-        *[F.col(f"`{c}`") for c in pieces.columns],
+        "_piece.*",
         (F.col("_first") + k % F.col("_times")).alias("sequence_id"),
         (F.col("_slot") + F.floor(k / F.col("_times")).cast("long") * F.col("length")).alias("offset"),
     )

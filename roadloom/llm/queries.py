@@ -60,3 +60,19 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT n.vec_id, (SELECT count(*) FROM links WHERE a = n.vec_id) AS n_links, least(n.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = n.vec_id), n.vec_id)) AS component_id,
   n.vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = n.vec_id), n.vec_id) AS kept FROM n"""
+
+ORACLES["op10_warc"] = """WITH d AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first_page FROM d WHERE bytes >= 100 GROUP BY digest)
+SELECT d.page_id, d.bytes AS payload_bytes, d.digest AS payload_digest, CASE WHEN f.first_page <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first_page <> d.page_id THEN f.first_page END AS refers_to
+FROM d LEFT JOIN f ON f.digest = d.digest AND d.bytes >= 100"""
+
+#: Known roles have names of their own; a text with a control string has each of them escaped by one more code point.
+ORACLES["op1_chat_format"] = """WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+sized AS (SELECT *, length('### ') + length(CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN role ELSE to_json(role) END) + length(': ') + length(text) + length(chr(10) || '</turn>' || chr(10))
+  + len(regexp_extract_all(text, '###|</turn>')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""

@@ -1,11 +1,19 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on other candidate strings. DataFrame functions only.
 
-Candidates are long strings of letters and digits (both occur). Each is read in the smallest encoding that holds it (hex,
-lower or upper base36, or base64) and tested for being uniform random text in it: chi-squared of its symbol counts, runs
-above and below the middle of the alphabet, and serial correlation of neighbouring symbols. The three p values are
-combined (three times the least, 1 at most). Within each encoding and band of lengths, a Benjamini-Hochberg cut controls
-the false discovery of strings that are *not* random; what it does not reject, and is long enough for the tests to have
-power, is reported as a secret. The cut needs p values by rank only, so it is taken from a histogram of them.
+Candidates are all runs of 20 or more letters, digits and ``+ / _ -``. Each is read in the smallest encoding that holds it
+(hex, lower or upper base36, or base64). Two hypotheses are tested in it:
+
+- uniform random symbols: chi-squared of the symbol counts, runs above and below the middle of the alphabet, and serial
+  correlation of neighbouring symbols. The p value is three times the least of the three, 1 at most; a string with less
+  than ``LEAST_UNIFORM`` is none.
+- ordinary text, such as identifiers, paths and numbers: the same chi-squared statistic, which counts pairs of equal
+  symbols, against the many that such strings have, and runs of one kind of symbol (lower, upper, digit, other) against
+  how seldom they change kind. The p value is the tail of the sum of the two normal scores: how likely ordinary text
+  looks as random as this. What ordinary text is like is in ENCODINGS, by encoding.
+
+Within each encoding and band of lengths, a Benjamini-Hochberg cut on the second p value over the candidates of all
+documents bounds the share of ordinary strings among those that are reported as secrets. Short strings have little
+evidence and so need many like them, or are left. The cut needs p values by rank only, so it is taken from a histogram.
 """
 
 from __future__ import annotations
@@ -15,17 +23,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, stored
+
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Encoding: symbols in order, pattern of the whole string, least length at which the tests have power.
+#: Encoding: symbols in order, pattern of the whole string, then of ordinary text in it: the probabilities that two and
+#: that three of its symbols are equal, and that neighbours are of different kinds; last, where kinds of symbols end.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", r"^[0-9a-fA-F]+$", 24),
-    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", 24),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", r"^[A-Za-z0-9+/_-]+$", 24),
+    "hex": ("0123456789abcdef", r"^[0-9a-fA-F]+$", 0.1, 0.012, 0.25, (10,)),
+    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", 0.06, 0.0045, 0.25, (10,)),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", r"^[A-Za-z0-9+/_-]+$", 0.055, 0.0037, 0.4, (26, 52, 62)),
 }
+LEAST_UNIFORM = 0.001
+#: Matches that are numbered off together; a text's matches cost the square of this number only.
+CHUNK = 64
 #: p values are counted in bins of their decimal logarithm, this many to a power of ten, down to 1e-16.
 BINS_PER_TEN, MOST_TENS = 50, 16
 
@@ -34,14 +48,24 @@ def _begin_end(text: Column, pattern: str) -> Column:
     """Array of (start, end, group) of a pattern's leftmost non-overlapping matches in code points, end exclusive; none of them empty."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"), found.alias("text"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    kind = "array<struct<start:int,end:int,text:string>>"
 
     def step(acc, m):
         begin = acc["at"] + m["gap"]
         end = begin + m["size"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), m["text"].alias("text")))).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def placed(matches):
+        # Each chunk counts from its own begin, and is moved by the lengths of those before it.
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int")), lambda i: F.slice(matches, i * CHUNK + 1, CHUNK))
+        parts = F.transform(parts, lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step))
+        ahead = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        begins = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), ahead, lambda acc: acc["out"])
+        moved = lambda x, by: F.transform(x["out"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["text"].alias("text")))
+        return F.flatten(F.zip_with(parts, begins, moved))
+
+    # A one-element array names the matches, so that they are found once.
+    return F.element_at(F.transform(F.array(both), lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(F.array().cast(kind))), 1)
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -74,65 +98,71 @@ def _upper(z: Column) -> Column:
 
 
 def _tested(hits: Column) -> Column:
-    """Candidates (start, end, text) with encoding number, length band and p value under uniform random symbols of the encoding.
+    """Candidates (start, end, text) with encoding number, length band, p value under uniform random symbols and under ordinary text.
 
-    The p value is three times the least of three tests', 1 at most. Each step names what the next one uses more than once.
+    Each step names what the next one uses more than once.
     """
-    shapes = [(i, shape, least) for i, (_, shape, least) in enumerate(ENCODINGS.values())]
-    alphabets = F.array(*[F.lit(symbols) for symbols, _, _ in ENCODINGS.values()])
+    known = list(ENCODINGS.values())
+    of = lambda m, values: F.element_at(F.array(*map(F.lit, values)), m["encoding"] + 1)
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
     neighbours = lambda x, f: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), f)
-    place = lambda m: [m["start"].alias("start"), m["end"].alias("end")]
-    kept = lambda m: [*place(m), m["encoding"].alias("encoding"), m["n"].alias("n")]
+    place = lambda m: [m["start"].alias("start"), m["end"].alias("end"), m["encoding"].alias("encoding")]
 
     def encoded(m):
-        number = F.lit(None).cast("int")
-        for i, shape, least in reversed(shapes):
-            number = F.when(m["text"].rlike(shape) & (F.length(m["text"]) >= least), F.lit(i)).otherwise(number)
-        return F.struct(*place(m), number.alias("encoding"), m["text"].alias("text"))
+        number = F.lit(len(known) - 1)
+        for i in reversed(range(len(known) - 1)):
+            number = F.when(m["text"].rlike(known[i][1]), F.lit(i)).otherwise(number)
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), number.alias("encoding"), m["text"].alias("text"))
 
     def coded(m):
-        text = F.when(m["encoding"] == len(shapes) - 1, m["text"]).otherwise(F.lower(m["text"]))
-        symbols = F.element_at(alphabets, m["encoding"] + 1)
-        # Symbols as numbers, centred at the middle of the alphabet.
-        code = F.transform(F.split(text, ""), lambda c: F.instr(symbols, c).cast("double") - (F.length(symbols) + 1) / 2)
+        text = F.when(m["encoding"] == len(known) - 1, m["text"]).otherwise(F.lower(m["text"]))
+        symbols = of(m, [k[0] for k in known])
+        code = F.transform(F.split(text, ""), lambda c: F.instr(symbols, c).cast("double"))
         squares = F.transform(F.split(symbols, ""), lambda c: F.pow(F.length(text) - F.length(F.replace(text, c, F.lit(""))), F.lit(2.0)))
-        return F.struct(*place(m), m["encoding"].alias("encoding"), F.length(text).cast("double").alias("n"), F.length(symbols).cast("double").alias("size"), code.alias("code"), total(squares).alias("squares"))
+        return F.struct(*place(m), F.length(text).cast("double").alias("n"), F.length(symbols).cast("double").alias("size"), code.alias("code"), total(squares).alias("squares"))
 
     def counted(m):
+        middle = (m["size"] + 1) / 2
+        ends = F.array(*[F.array(*map(F.lit, (*k[5], 99, 99, 99)[:3])) for k in known])
+        kind = lambda x: sum(((x > F.element_at(F.element_at(ends, m["encoding"] + 1), i)).cast("int") for i in (1, 2, 3)), F.lit(0))
         return F.struct(
-            *kept(m), m["size"].alias("size"),
-            (m["squares"] * m["size"] / m["n"] - m["n"]).alias("chi"),
-            total(F.transform(m["code"], lambda x: (x > 0).cast("double"))).alias("above"),
-            (1 + total(neighbours(m["code"], lambda a, b: ((a > 0) != (b > 0)).cast("double")))).alias("turns"),
+            *place(m), m["n"].alias("n"), m["size"].alias("size"), m["squares"].alias("squares"),
+            total(F.transform(m["code"], lambda x: (x > middle).cast("double"))).alias("above"),
+            (1 + total(neighbours(m["code"], lambda a, b: ((a > middle) != (b > middle)).cast("double")))).alias("turns"),
+            total(neighbours(m["code"], lambda a, b: (kind(a) != kind(b)).cast("double"))).alias("changes"),
             # Products of neighbours have mean 0 and variance ((size^2 - 1) / 12)^2 each.
-            (total(neighbours(m["code"], lambda a, b: a * b)) / (F.sqrt(m["n"] - 1) * ((m["size"] * m["size"] - 1) / 12))).alias("serial"),
+            (total(neighbours(m["code"], lambda a, b: (a - middle) * (b - middle))) / (F.sqrt(m["n"] - 1) * ((m["size"] * m["size"] - 1) / 12))).alias("serial"),
         )
 
     def scored(m):
+        n, two, three, change = m["n"], *(of(m, [k[i] for k in known]) for i in (2, 3, 4))
         # Wilson and Hilferty: the cube root of chi-squared over its freedom is nearly normal.
         spread = 2 / (9 * (m["size"] - 1))
-        uniform = (F.cbrt(F.greatest(m["chi"], F.lit(0.0)) / (m["size"] - 1)) - (1 - spread)) / F.sqrt(spread)
-        mean = 2 * m["above"] * (m["n"] - m["above"]) / m["n"]
-        variance = F.greatest(mean * (mean - 1) / (m["n"] - 1), F.lit(0.0))
+        chi = m["squares"] * m["size"] / n - n
+        uniform = (F.cbrt(F.greatest(chi, F.lit(0.0)) / (m["size"] - 1)) - (1 - spread)) / F.sqrt(spread)
+        mean = 2 * m["above"] * (n - m["above"]) / n
+        variance = F.greatest(mean * (mean - 1) / (n - 1), F.lit(0.0))
         runs = F.when(variance > 0, (m["turns"] - mean - 1) / F.sqrt(variance)).otherwise(40.0)
-        return F.struct(*kept(m), uniform.alias("uniform"), runs.alias("runs"), m["serial"].alias("serial"))
+        # Pairs of equal symbols and changes of kind, against those of ordinary text.
+        pairs = n * (n - 1) / 2
+        fewer = (pairs * two - (m["squares"] - n) / 2) / F.sqrt(pairs * two * (1 - two) + 2 * pairs * (n - 2) * (three - two * two))
+        more = (m["changes"] - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
+        return F.struct(*place(m), n.alias("n"), uniform.alias("uniform"), runs.alias("runs"), m["serial"].alias("serial"), ((fewer + more) / F.sqrt(F.lit(2.0))).alias("unlike"))
 
     def judged(m):
         p = F.least(F.lit(1.0), 3 * F.least(_upper(m["uniform"]), _two_sided(m["runs"]), _two_sided(m["serial"])))
-        return F.struct(*place(m), m["encoding"].alias("encoding"), F.floor(F.log2(m["n"])).cast("int").alias("band"), p.alias("p"))
+        return F.struct(*place(m), F.floor(F.log2(m["n"])).cast("int").alias("band"), p.alias("uniform"), _upper(m["unlike"]).alias("p"))
 
-    out = F.filter(F.transform(hits, encoded), lambda m: m["encoding"].isNotNull())
-    for step in (coded, counted, scored, judged):
+    out = hits
+    for step in (encoded, coded, counted, scored, judged):
         out = F.transform(out, step)
     return out
 
 
 def _candidates(text: Column) -> Column:
-    """Spans with encoding number, length band and p value, of strings that could be encoded random bytes."""
-    none = F.array().cast("array<struct<start:int,end:int,encoding:int,band:int,p:double>>")
-    hits = F.filter(_begin_end(text, CANDIDATE), lambda m: m["text"].rlike("[0-9]") & m["text"].rlike("[A-Za-z]"))
-    return F.when(text.rlike(CANDIDATE), _tested(hits)).otherwise(none)
+    """Spans with encoding number, length band and p value, of strings that the battery does not refute as random bytes."""
+    none = F.array().cast("array<struct<start:int,end:int,encoding:int,band:int,uniform:double,p:double>>")
+    return F.when(text.rlike(CANDIDATE), _tested(_begin_end(text, CANDIDATE))).otherwise(none)
 
 
 def _bin(p: Column) -> Column:
@@ -142,20 +172,20 @@ def _bin(p: Column) -> Column:
 
 @dataclass(frozen=True)
 class Cuts:
-    """For an encoding and length band, the least bin that the Benjamini-Hochberg procedure rejects as not random."""
+    """For an encoding and length band, the least bin that the Benjamini-Hochberg procedure rejects as ordinary text."""
 
     bins: tuple[tuple[int, int, int], ...]
 
-    def rejects(self, m: Column) -> Column:
+    def secret(self, m: Column) -> Column:
         out = F.lit(False)
         for encoding, band, least in self.bins:
             out = out | ((m["encoding"] == encoding) & (m["band"] == band) & (_bin(m["p"]) >= least))
-        return out
+        return out & (m["uniform"] >= LEAST_UNIFORM)
 
 
-def false_discovery_cuts(docs: DataFrame, text: str = "text", rate: float = 0.01) -> Cuts:
+def false_discovery_cuts(found: DataFrame, candidates: Column, rate: float = 0.01) -> Cuts:
     """Cuts over the candidates of all documents. At most (encodings x length bands) rows reach the driver."""
-    found = docs.select(F.explode(_candidates(F.coalesce(text, F.lit("")))).alias("m")).select("m.encoding", "m.band", _bin(F.col("m.p")).alias("bin"))
+    found = found.select(F.explode(candidates).alias("m")).select("m.encoding", "m.band", _bin(F.col("m.p")).alias("bin"))
     counts = found.groupBy("encoding", "band", "bin").agg(F.count("*").alias("n"))
     group = Window.partitionBy("encoding", "band")
     ranked = counts.withColumn("rank", F.sum("n").over(group.orderBy(F.col("bin").desc()))).withColumn("of", F.sum("n").over(group))
@@ -165,12 +195,15 @@ def false_discovery_cuts(docs: DataFrame, text: str = "text", rate: float = 0.01
     return Cuts(tuple(sorted((r["encoding"], r["band"], r["least"]) for r in rows)))
 
 
-def secret_spans(text: str, cuts: Cuts) -> Column:
-    """All spans (start, kind number, end) of a text column in order; null text has none."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.filter(_candidates(whole), lambda m: ~cuts.rejects(m))
-    random = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), m["end"].alias("end")))
-    return F.array_sort(F.concat(*[_spans(whole, k) for k in KINDS[:3]], random))
+def base_spans(text: Column) -> Column:
+    """Spans (start, kind number, end) of the fixed kinds, by kind."""
+    return F.concat(*[_spans(text, k) for k in KINDS[:3]])
+
+
+def all_spans(base: Column, candidates: Column, cuts: Cuts) -> Column:
+    """All spans (start, kind number, end) in order."""
+    random = F.transform(F.filter(candidates, cuts.secret), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), m["end"].alias("end")))
+    return F.array_sort(F.concat(base, random))
 
 
 def _joined(spans: Column) -> Column:
@@ -184,17 +217,24 @@ def scan_documents(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     Null text counts as empty and has no spans; base_sha256 is then that of the empty string. Repeated rows give equal
     results; an empty table gives an empty one.
     """
-    rows = docs.select("doc_id", "text")
-    spans = rows.select("doc_id", secret_spans("text", false_discovery_cuts(rows, rate=rate)).alias("s"))
+    text = F.coalesce("text", F.lit(""))
+    # One pass over the texts; what it finds is a narrow table.
+    found = stored(docs.select("doc_id", base_spans(text).alias("base"), _candidates(text).alias("found")), "secrets")
+    cuts = false_discovery_cuts(found, F.col("found"), rate)
+    spans = found.select("doc_id", all_spans(F.col("base"), F.col("found"), cuts).alias("s"))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("s", lambda x: x["kind"] < 3)
     return spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count("random"))
 
 
 def redacted(docs: DataFrame, rate: float = 0.01, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by a mark, and n_chars set anew where text changed; all rows stay."""
-    spans = secret_spans("text", false_discovery_cuts(docs.select("text"), rate=rate))
-    keyed = docs.withColumn("_spans", spans)
+    """docs with every secret in text replaced by a mark, and n_chars set anew where text changed; all rows and other columns stay.
+
+    Null, empty and clean texts stay as they are, as do their n_chars. An empty table gives an empty result.
+    """
+    whole, (name,) = F.coalesce("text", F.lit("")), fresh(docs, "spans")
+    spans = all_spans(base_spans(whole), _candidates(whole), false_discovery_cuts(docs, _candidates(whole), rate))
+    keyed = docs.withColumn(name, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda at: F.substring(F.col("text"), at + 1, F.length("text") - at)
 
@@ -204,9 +244,9 @@ def redacted(docs: DataFrame, rate: float = 0.01, mark: str = "[SECRET]") -> Dat
         # A span that begins inside the one before only makes it longer.
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], lead, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], rest(acc["at"])))
-    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
+    clean = F.aggregate(name, start, step, lambda acc: F.concat(acc["out"], rest(acc["at"])))
+    text = F.when(F.size(name) > 0, clean).otherwise(F.col("text"))
     out = keyed.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,7 +1,8 @@
 """Sets of word shingles: candidates by an exact join over the first shingles of a common order, verified by whole texts.
 
-Two sets of n shingles with a Jaccard similarity of t share one of their first n - ceil(t n) + 1 in any order of all
-shingles, so a join over these misses no pair. Candidates are dropped only by bounds that no similar pair breaks (sizes,
+Two sets of n shingles with a Jaccard similarity of t share k of their first n - ceil(t n) + k in any order of all
+shingles, so a join over these misses no pair. k grows with the set (kin()), so that long texts that share a passage are no
+candidates. Candidates are dropped only by bounds that no similar pair breaks (how many shingles of these are shared,
 places in the order, parities of hashes); the rest are verified by their whole texts.
 """
 
@@ -19,10 +20,12 @@ from xxhash import xxh64_intdigest
 from .common import extended, matching, sample_order, stored
 from .components import connected_components
 
-#: 64-bit words of the parities of a set's hashes.
-PARITY_WORDS = 16
+#: 64-bit words of the parities of a set's hashes, and of their short form.
+PARITY_WORDS, SHORT_WORDS = 16, 4
 #: Texts that are turned into sets at a time, and sets that a task remembers to tell repeats.
 SLICE, REMEMBERED = 256, 1 << 16
+#: Rows of whole texts that a Python worker gets at once.
+TEXTS_PER_BATCH = 500
 
 
 def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> list[int]:
@@ -52,12 +55,18 @@ def distinct_shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
 
 
-def common_shingles(docs: DataFrame, width: int, most_rows: int = 10_000, least: int = 5, most: int = 100_000) -> np.ndarray:
+def kin(size):
+    """How many shingles of their prefixes similar sets share at least, by the smaller size; a number or a column."""
+    return 1 + size // 25 if isinstance(size, int) else (1 + F.floor(size / 25)).cast("int")
+
+
+def common_shingles(docs: DataFrame, width: int, share: float = 0.04, least: int = 2, most: int = 1_000_000) -> np.ndarray:
     """docs(key, row, text) -> shingles of least or more texts of a sample, sorted; they go last in the order of shingles.
 
-    Any order finds all pairs, this one with fewer candidates: the sample sets the cost only.
+    Any order finds all pairs, this one with fewer candidates: the sample sets the cost only. As it is a share of the texts,
+    shingles of some hundred texts are found at every size; the commonest `most` of them are sent to the tasks, 8 bytes each.
     """
-    sample = docs.where(sample_order("key", "row") < min(1.0, most_rows / max(docs.count(), 1))).select("text")
+    sample = docs.where(sample_order("key", "row") < share).select("text")
 
     def run(batches):
         for batch in batches:
@@ -65,14 +74,15 @@ def common_shingles(docs: DataFrame, width: int, most_rows: int = 10_000, least:
                 yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(text.as_py(), width).astype(np.int64))], names=["h"])
 
     counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()], dtype=np.int64).view(np.uint64))
+    found = stored(counts, "common", TEXTS_PER_BATCH).orderBy(F.desc("count"), "h").limit(most).select("h").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def with_sets(docs: DataFrame, common: np.ndarray, similarity: float, width: int, text: str = "text") -> DataFrame:
     """docs without the text and with node, fp, size, prefix and parity of its set of shingles; one pass, no shuffle.
 
-    node is a hash of the set, fp its SimHash, size its number n of shingles and prefix the first n - ceil(similarity * n) + 1
-    in the order of shingles. parity has a bit for each class of hashes, set if the class holds an odd number: two sets
+    node is a hash of the set, fp its SimHash, size its number n of shingles and prefix the first
+    n - ceil(similarity * n) + kin(n) in the order of shingles. parity has a bit for each class of hashes, set if the class holds an odd number: two sets
     differ in as many shingles as their parities at least. A set that the task remembers from before has no prefix and no
     parity (null), so that many texts of one set, which spaces and case tell apart, cost what one costs.
     """
@@ -82,7 +92,7 @@ def with_sets(docs: DataFrame, common: np.ndarray, similarity: float, width: int
         n = len(h)
         at = np.searchsorted(shared.value, h)
         late = shared.value[np.minimum(at, len(shared.value) - 1)] == h if len(shared.value) else np.zeros(n, dtype=bool)
-        return np.concatenate((h[~late], h[late]))[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
+        return np.concatenate((h[~late], h[late]))[: n - math.ceil(similarity * n - 1e-9) + kin(n) if n else 0]
 
     def parity(h: np.ndarray) -> np.ndarray:
         odd = np.bincount((h % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
@@ -143,16 +153,21 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar
 
 
 def _may_be_similar(similarity: float, a: str = "a", b: str = "b"):
-    """Whether two sets can have the similarity if their first common shingle is at these places of theirs."""
+    """Whether two sets can have the similarity if they share a shingle at these places of theirs."""
     size, other, at, there = (F.col(f"{x}.{c}") for c in ("size", "at") for x in (a, b))
     need = similarity / (1 + similarity) * (size + other) - 1e-6
-    return F.least(size - at, other - there) >= need
+    return F.least(at, there) + F.least(size - at, other - there) >= need
+
+
+def _most_differing(similarity: float, a: str = "a", b: str = "b"):
+    """How many shingles, and so how many parities, two sets of the similarity can differ in."""
+    return (1 - similarity) / (1 + similarity) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
 
 
 def _parities_allow(similarity: float, a: str = "a", b: str = "b"):
     """Whether the parities of two sets of the similarity can differ in so many bits."""
     differ = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
-    return differ <= (1 - similarity) / (1 + similarity) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
+    return differ <= _most_differing(similarity, a, b)
 
 
 def _labelled(rows: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
@@ -164,11 +179,12 @@ def _labelled(rows: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
 
 
 def similar_components(
-    classes: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, links: DataFrame | None = None, block: int = 256, rounds: int = 3
+    classes: DataFrame, prefixes: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, links: DataFrame | None = None, block: int = 256, rounds: int = 3
 ) -> DataFrame:
-    """classes(node, size, prefix, parity), a row per set -> (node, component) of the graph of all similar pairs.
+    """classes(node, size, parity), a row per set, prefixes(node, size, prefix) -> (node, component) of the graph of all similar pairs.
 
-    verified turns pairs(a, b) into the similar ones among them; links are similar pairs known already. Rows that share a
+    verified turns pairs(a, b) into the similar ones among them; links are similar pairs known already. A set may have
+    several prefixes, all the same. Rows that share a
     shingle of their prefixes are a bucket. First each row is compared with one leader of its buckets and linked if
     similar, a few times with other leaders while buckets are crowded, so that groups of copies become one component
     without being paired off. Then all pairs of a bucket that are not yet in one component are compared, crowded buckets
@@ -176,31 +192,35 @@ def similar_components(
     """
     same = Window.partitionBy("shingle")
     mixed = F.min("component").over(same) != F.max("component").over(same)
-    left = _labelled(classes.select("node", "size", "prefix"), links, "labels").select("node", "component", "size", F.posexplode("prefix").alias("at", "shingle"))
-    left = stored(left.withColumn("mixed", mixed).where("mixed").drop("mixed"), "buckets")
+    left = _labelled(prefixes.select("node", "size", "prefix"), links, "labels").select("node", "component", "size", F.posexplode("prefix").alias("at", "shingle"))
+    left = stored(left.withColumn("mixed", mixed).where("mixed").drop("mixed").dropDuplicates(["shingle", "node"]), "buckets")
+    before = None
     for r in range(rounds):
         n = F.col("count")
         pairs_left, rows = left.groupBy("shingle").count().agg(F.sum(n * (n - 1) / 2), F.sum(n)).first()
-        if (pairs_left or 0) <= 2 * (rows or 0):
-            break
-        order = F.struct(F.xxhash64("component", F.lit(r)), F.xxhash64("node", F.lit(r)), "node", "size", "at", "component")
+        if (pairs_left or 0) <= 2 * (rows or 0) or before and rows > before * 2 / 3:
+            break  # few pairs are left, or buckets of strangers, which leaders don't connect
+        before = rows
+        # A text whose copies were edited has few shingles of its own, and so meets them at the first place: it leads first.
+        order = F.struct((F.col("at") if r == 0 else F.lit(0)).alias("place"), F.xxhash64("component", F.lit(r)), F.xxhash64("node", F.lit(r)), "node", "size", "at", "component")
         led = left.select("node", "component", F.struct("size", "at").alias("a"), F.min(order).over(same).alias("b"))
         led = led.where((F.col("component") != F.col("b.component")) & _may_be_similar(similarity)).groupBy("node", F.col("b.node").alias("leader")).agg(F.count("*").alias("n"))
         pairs = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("o")).select(F.col("node").alias("a"), F.col("o.leader").alias("b"))
-        pairs = stored(possible_pairs(stored(pairs, f"led-{r}"), classes, similarity), f"pairs-{r}")
-        new = stored(verified(pairs), f"links-{r}")
-        found, tried = new.count(), pairs.count()
-        if found:
-            links = new if links is None else links.unionByName(new)
-            left = stored(_labelled(left.drop("component"), links, f"labels-{r}").withColumn("mixed", mixed).where("mixed").drop("mixed"), f"buckets-{r}")
-        if 10 * found < tried:
-            break  # buckets of strangers, which leaders don't connect
+        new = stored(verified(stored(possible_pairs(pairs, classes, similarity), f"pairs-{r}")), f"links-{r}", TEXTS_PER_BATCH)
+        links = new if links is None else links.unionByName(new)
+        left = stored(_labelled(left.drop("component"), links, f"labels-{r}").withColumn("mixed", mixed).where("mixed").drop("mixed"), f"buckets-{r}")
     parts = left.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    left = left.join(classes.select("node", "parity"), "node")
-    dealt = left.join(parts, "shingle").select("shingle", F.struct("node", "size", "at", "component", "parity").alias("x"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    # Parities of fewer classes, as they go to every bucket of a set.
+    short = [F.reduce(F.transform(F.sequence(F.lit(i), F.lit(PARITY_WORDS - 1), F.lit(SHORT_WORDS)), lambda k: F.col("parity")[k]), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"p{i}") for i in range(SHORT_WORDS)]
+    left = left.join(classes.select("node", *short), "node")
+    dealt = left.join(parts, "shingle").select("shingle", F.struct("node", "size", "at", "component", *[f"p{i}" for i in range(SHORT_WORDS)]).alias("x"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
     one = dealt.select("shingle", F.col("x").alias("a"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
     two = dealt.select("shingle", F.col("x").alias("b"), F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), "part")).alias("i"))
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node")))
-    pairs = one.join(two, ["shingle", "i", "j"]).where(apart & _may_be_similar(similarity) & _parities_allow(similarity)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    new = stored(verified(stored(pairs, "pairs")), "links")
+    differ = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(SHORT_WORDS)), F.lit(0))
+    met = one.join(two, ["shingle", "i", "j"]).where(apart & _may_be_similar(similarity) & (differ <= _most_differing(similarity)))
+    pairs = met.groupBy(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("a.size", "b.size")).alias("size"))
+    pairs = stored(pairs.where(F.col("n") >= kin(F.col("size"))).select("a", "b"), "shared")
+    pairs = possible_pairs(pairs, classes, similarity)
+    new = stored(verified(stored(pairs, "pairs")), "links", TEXTS_PER_BATCH)
     return connected_components(new if links is None else links.unionByName(new))

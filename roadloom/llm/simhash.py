@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import extended, fresh, matching, stored, without
 from .components import connected_components
-from .shingles import common_shingles, majority, possible_pairs, shingle_hashes, similar_components, similar_pairs, with_sets
+from .shingles import TEXTS_PER_BATCH, common_shingles, majority, possible_pairs, shingle_hashes, similar_components, similar_pairs, with_sets
 
 _LONG, _PART, _HALF = (1 << 48) - 1, (1 << 16) - 1, (1 << 24) - 1
 
@@ -111,8 +111,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     repeated = stored(ids.groupBy("key", "row").count().where("count > 1").select("key", "row"), "repeated")
     rows = known.select(F.col(key).alias("key"), F.col(row).alias("row"), "text")
     texts = without(rows, copies, ["key", "row"])
-    sets = stored(with_sets(texts, common_shingles(texts, width), similarity, width), "sets")
-    classes = stored(sets.where("prefix IS NOT NULL").dropDuplicates(["node"]), "classes")
+    sets = stored(with_sets(texts, common_shingles(texts, width), similarity, width), "sets", TEXTS_PER_BATCH)
+    classes = stored(sets.where("prefix IS NOT NULL").drop("prefix").dropDuplicates(["node"]), "classes")
     verified = lambda pairs: similar_pairs(pairs, classes, rows, similarity, width)
     prints = stored(classes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
     led = led_fingerprints(prints.select("fp"), max_bits)
@@ -120,8 +120,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     pairs = led.join(name("a"), "a").join(name("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     alike = classes.join(prints, "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     pairs = stored(possible_pairs(pairs.unionByName(alike), classes, similarity), "variants")
-    links = stored(verified(pairs), "variant-links")
-    labels = similar_components(classes.select("node", "size", "prefix", "parity"), verified, similarity, links).withColumnRenamed("node", "n")
+    links = stored(verified(pairs), "variant-links", TEXTS_PER_BATCH)
+    labels = similar_components(classes, sets.where("prefix IS NOT NULL"), verified, similarity, links).withColumnRenamed("node", "n")
     best = sets.groupBy("node").agg(F.min(F.struct("key", "row")).alias("best"))
     best = best.join(labels, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("label")).agg(F.min("best").alias("best"))
     near = sets.select("key", "row").distinct().join(best.select("best.*"), ["key", "row"], "left_anti")

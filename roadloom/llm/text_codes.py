@@ -22,10 +22,10 @@ class CodeTable:
         self._table: np.ndarray | None = None
 
     @classmethod
-    def learned(cls, texts: Iterable[str], most: int = 61) -> CodeTable:
-        """The `most` commonest lower-case letters of the texts, ties by code point."""
+    def learned(cls, texts: Iterable[str]) -> CodeTable:
+        """All lower-case letters of the texts, the commonest first, ties by code point."""
         seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        return cls(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most])
+        return cls(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])))
 
     def __getstate__(self):
         return {"alphabet": self.alphabet, "size": self.size, "_table": None}
@@ -33,7 +33,7 @@ class CodeTable:
     @property
     def table(self) -> np.ndarray:
         if self._table is None:
-            t = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000).astype(np.uint8) * (self.size - 1)
+            t = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000).astype(np.uint8 if self.size < 256 else np.uint32) * (self.size - 1)
             for i, c in enumerate(self.alphabet, 1):
                 for x in {c, c.upper(), c.lower()}:
                     if len(x) == 1:
@@ -85,15 +85,20 @@ class Letters(CodeTable):
         return self._table
 
 
-def ngrams(codes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of all windows of n codes within a text, and the text each belongs to."""
-    if len(codes) < n:
+#: Powers that name a word by its letters; longer words are cut into pieces of so many letters.
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def words(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of all words (runs of codes other than 0, cut at 64 letters), and the text each belongs to."""
+    inside = codes != SPACE
+    place = np.arange(len(codes))
+    start = np.maximum.accumulate(np.where(inside, -1, place))  # of the space before; each text begins with one
+    place = place - start - 1
+    begins = np.flatnonzero(inside & (place % len(_POWERS) == 0))
+    if not len(begins):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    name = np.zeros(len(codes) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        name = name * np.uint64(0x9E3779B97F4A7C15 | 1) + codes[i : len(codes) - n + 1 + i].astype(np.uint64)
-        name ^= name >> np.uint64(31)
-    at = np.arange(len(name))
-    text = np.searchsorted(first, at, side="right") - 1
-    inside = at + n <= first[text + 1]
-    return name[inside].view(np.int64), text[inside]
+    part = np.where(inside, codes.astype(np.uint64) * _POWERS[place % len(_POWERS)], np.uint64(0))
+    name = np.add.reduceat(part, begins)
+    name ^= name >> np.uint64(29)
+    return (name * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), np.searchsorted(first, begins, side="right") - 1

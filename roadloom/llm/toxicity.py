@@ -1,11 +1,15 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are windows of five letters, with word ends, that labelled examples show to occur far more often in toxic documents;
-their document frequencies are counted over all documents. Examples sit in an inverted index whose postings are cut into
-blocks of examples, each with its largest weight per term. A document visits blocks in the order of their bound, the sum of
-its weights times the block's largest, and stops once no bound reaches the k-th best cosine, so its neighbours are exact.
-Votes weigh by cosine and are shrunk towards the share of toxic documents among examples; a document with no term has no
-neighbours and gets the share of toxic examples without terms.
+Terms are lower-cased words (runs of letters) that between ``least_df`` labelled documents and ``widest`` of them hold; all
+terms of an example are indexed, of clean examples too. A term weighs (1 + ln tf) * idf, with document frequencies counted
+over all documents, times its relevance g / (g + ``doubt``), g being the log-likelihood ratio statistic of the term and
+the label in the training rows: words that tell nothing about the label weigh next to nothing, but no term is dropped for it.
+
+Examples sit in an inverted index whose postings are cut into blocks of examples, each with its largest weight per term. A
+document visits blocks in the order of their bound, the sum of its weights times the block's largest, and stops once no
+bound reaches the k-th best cosine, so its neighbours are exact. Votes weigh by squared cosine and are shrunk towards the share
+of toxic examples. A logistic curve turns a vote into a calibrated score: it is fitted on a quarter of the labelled rows by
+a model that has neither indexed them nor used them for relevance; the model that scores is then made from all of them.
 
 Labelled rows are a sample of about ``most_labelled``, of which at most ``most_examples`` are indexed, chosen by a hash of
 doc_id: the model's size does not grow with the corpus. All documents are scored from their whole texts.
@@ -13,6 +17,7 @@ doc_id: the model's size does not grow with the corpus. All documents are scored
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import extended, held_out, sample_order, stored
-from .text_codes import Letters, by_size, ngrams
+from .text_codes import Letters, by_size, words
 
 BLOCK = 64
 
 
 class Vocabulary:
-    """Sorted n-gram names; finds the terms of texts."""
+    """Sorted names of words; finds the terms of texts."""
 
     def __init__(self, names: np.ndarray):
         self.names = np.sort(names)
@@ -42,10 +47,10 @@ class Vocabulary:
         if not len(self.names):
             return (np.zeros(0, np.int64),) * 3
         if self._seen is None:
-            self._seen = np.zeros(1 << 20, dtype=bool)
-            self._seen[self.names & 0xFFFFF] = True
-        name, text = ngrams(*self.letters.encode(texts))
-        likely = self._seen[name & 0xFFFFF]
+            self._seen = np.zeros(1 << 22, dtype=bool)
+            self._seen[self.names & 0x3FFFFF] = True
+        name, text = words(*self.letters.encode(texts))
+        likely = self._seen[name & 0x3FFFFF]
         name, text = name[likely], text[likely]
         at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
         hit = self.names[at] == name
@@ -53,121 +58,171 @@ class Vocabulary:
         return pair // len(self.names), pair % len(self.names), count
 
 
+def relevance(bad: np.ndarray, good: np.ndarray, all_bad: int, all_good: int, doubt: float = 100.0) -> np.ndarray:
+    """g / (g + doubt) for terms of so many toxic and other documents out of all, g the log-likelihood ratio statistic."""
+    both, n = bad + good, max(all_bad + all_good, 1)
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    g = 2 * (part(bad, both * all_bad / n) + part(good, both * all_good / n) + part(all_bad - bad, (n - both) * all_bad / n) + part(all_good - good, (n - both) * all_good / n))
+    return np.maximum(g, 0) / (np.maximum(g, 0) + doubt)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, steps: int = 50, hold: float = 1.0) -> tuple[float, float]:
+    """(slope, offset) of P(y) = 1 / (1 + exp(-(slope x + offset))) by Newton steps; slope is pulled towards 1 by hold."""
+    slope, offset = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+        d, w = y - p, np.maximum(p * (1 - p), 1e-9)
+        grad = np.array([d @ x - hold * (slope - 1), d.sum() - 1e-3 * offset])
+        curve = np.array([[w @ (x * x) + hold, w @ x], [w @ x, w.sum() + 1e-3]])
+        step = np.linalg.solve(curve, grad)
+        step = step / max(1.0, float(np.abs(step).max()))
+        slope, offset = slope + step[0], offset + step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(slope), 1e-3), float(offset)
+
+
 @dataclass
 class ToxicityModel:
     vocabulary: Vocabulary
-    idf: np.ndarray
+    weight_of: np.ndarray  # of terms: idf times relevance
     ids: np.ndarray  # of examples, in the order of the index
     toxic: np.ndarray
-    bound: np.ndarray  # blocks x terms: largest weight
-    key: np.ndarray  # block * terms + term of each posting, sorted
-    slot: np.ndarray  # example within its block
+    entry_of: np.ndarray  # of each term's entries, and their end; an entry is a term in a block
+    block: np.ndarray  # of each entry
+    bound: np.ndarray  # of each entry: largest weight of the term in the block
+    posting_of: np.ndarray  # of each entry's postings, and their end
+    example: np.ndarray  # of each posting, by term and example
     weight: np.ndarray
     prior: float
-    prior_without: float
+    slope: float = 1.0
+    offset: float = 0.0
     k: int = 15
     pull: float = 0.5
 
     @classmethod
-    def build(cls, vocabulary, idf, examples: list[tuple], without: tuple[int, int], **params) -> ToxicityModel:
-        """examples: (doc_id, toxic, terms, counts), each with a term; without: toxic and all labelled documents with no term."""
-        v, n = len(vocabulary.names), len(examples)
+    def build(cls, vocabulary, weight_of, examples: list[tuple], **params) -> ToxicityModel:
+        """examples: (doc_id, toxic, terms, counts); one without terms is nobody's neighbour but counts in the prior."""
+        n, blocks = len(examples), len(examples) // BLOCK + 1
+        ends = [(e, *_weights(np.asarray(e[2], np.int64), np.asarray(e[3]), weight_of)) for e in examples]
         # Like examples stand together, so that bounds are tight.
-        examples = sorted(examples, key=lambda e: (int(e[2][np.argmax(idf[np.asarray(e[2])])]), e[0]))
-        blocks = -(-n // BLOCK)
-        bound = np.zeros((blocks, v))
-        key, slot, weight = [], [], []
-        for i, (_, _, terms, counts) in enumerate(examples):
-            t, w = _weights(np.asarray(terms), np.asarray(counts), idf)
-            bound[i // BLOCK, t] = np.maximum(bound[i // BLOCK, t], w)
-            key.append(i // BLOCK * v + t)
-            slot.append(np.full(len(t), i % BLOCK))
-            weight.append(w)
+        ends.sort(key=lambda x: (int(x[1][np.argmax(x[2])]) if len(x[1]) else -1, x[0][0]))
         flat = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
-        key, slot, weight = flat(key, np.int64), flat(slot, np.int64), flat(weight, float)
-        order = np.argsort(key, kind="stable")
-        toxic = np.array([e[1] for e in examples], dtype=float)
-        bad, of = int(toxic.sum()) + without[0], n + without[1]
-        prior = (bad + 0.5) / (of + 10)
-        return cls(vocabulary, idf, np.array([e[0] for e in examples], dtype=np.int64), toxic, bound, key[order], slot[order], weight[order], prior, (without[0] + 10 * min(prior, 0.1)) / (without[1] + 10), **params)
+        term, weight = flat([t for _, t, _ in ends], np.int64), flat([w for _, _, w in ends], float)
+        example = np.repeat(np.arange(n), [len(t) for _, t, _ in ends])
+        order = np.lexsort((example, term))
+        term, weight, example = term[order], weight[order], example[order]
+        entry, first, at = np.unique(term * blocks + example // BLOCK, return_index=True, return_inverse=True)
+        bound = np.zeros(len(entry))
+        np.maximum.at(bound, at, weight)
+        toxic = np.array([x[0][1] for x in ends], dtype=float)
+        ids = np.array([x[0][0] for x in ends], dtype=np.int64)
+        return cls(vocabulary, weight_of, ids, toxic, np.searchsorted(entry // blocks, np.arange(len(weight_of) + 1)), entry % blocks, bound, np.append(first, len(term)), example, weight, float((toxic.sum() + 0.5) / (n + 10)), **params)
 
     def neighbours(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, nearest first, ties to the earlier; those of cosine 0 are left out."""
-        v = len(self.idf)
-        t, w = _weights(terms, counts, self.idf)
-        upper = self.bound[:, t] @ w
-        best, at = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(best) >= self.k and upper[b] < best[self.k - 1] - 1e-12:
-                break
-            lo, hi = np.searchsorted(self.key, b * v + t), np.searchsorted(self.key, b * v + t, side="right")
-            size = hi - lo
-            where = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            score = np.bincount(self.slot[where], weights=self.weight[where] * np.repeat(w, size), minlength=BLOCK)
-            new = np.flatnonzero(score > 0)
-            best, at = np.concatenate((best, score[new])), np.concatenate((at, b * BLOCK + new))
-            order = np.lexsort((at, -best))[: self.k]
-            best, at = best[order], at[order]
+        t, w = _weights(terms, counts, self.weight_of)
+        entry, which = _ranges(self.entry_of[t], self.entry_of[t + 1])
+        block, w = self.block[entry], w[which]
+        upper = np.bincount(block, weights=self.bound[entry] * w, minlength=len(self.ids) // BLOCK + 1)
+        order = np.argsort(-upper, kind="stable")
+        best, at, done = np.zeros(0), np.zeros(0, np.int64), 0
+        while done < len(order) and upper[order[done]] > 0 and (len(best) < self.k or upper[order[done]] >= best[self.k - 1] - 1e-12):
+            now = np.zeros(len(order), dtype=bool)
+            now[order[done : done + max(4, done)]] = True  # as many blocks again as were visited
+            done += max(4, done)
+            mine = np.flatnonzero(now[block])
+            posting, which = _ranges(self.posting_of[entry[mine]], self.posting_of[entry[mine] + 1])
+            score = np.bincount(self.example[posting], weights=self.weight[posting] * w[mine][which], minlength=len(self.ids))
+            new = np.flatnonzero(score > (best[self.k - 1] - 1e-12 if len(best) >= self.k else 0))
+            best, at = np.concatenate((best, score[new])), np.concatenate((at, new))
+            top = np.lexsort((at, -best))[: self.k]
+            best, at = best[top], at[top]
         return at, best
 
+    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
+        """The share of toxic neighbours by squared cosine, shrunk to the prior; and the neighbours' places."""
+        if not len(terms):
+            return self.prior, np.zeros(0, np.int64)
+        at, cosine = self.neighbours(terms, counts)
+        near = cosine**2
+        return float((near @ self.toxic[at] + self.pull * self.prior) / (near.sum() + self.pull)), at
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * _logit(votes) + self.offset, -30, 30)))
+
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
         """Scores from 0 to 1 and the ids of the nearest examples."""
-        scores, evidence = np.full(len(texts), self.prior_without), [[] for _ in texts]
-        known: dict[bytes, tuple] = {}
+        votes, evidence = np.full(len(texts), self.prior), [[] for _ in texts]
         for i, j in by_size(texts):
             text, term, count = self.vocabulary.find(texts[i:j])
             edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1)) if len(text) else []
             for a, b in zip(edges[:-1], edges[1:]):
-                same = term[a:b].tobytes() + count[a:b].tobytes()
-                if same not in known:
-                    at, cosine = self.neighbours(term[a:b], count[a:b])
-                    near = cosine**2
-                    known[same] = (float((near @ self.toxic[at] + self.pull * self.prior) / (near.sum() + self.pull)), self.ids[at].tolist())
-                scores[i + text[a]], evidence[i + text[a]] = known[same]
-        return np.clip(scores, 0, 1), evidence
+                votes[i + text[a]], at = self.vote(term[a:b], count[a:b])
+                evidence[i + text[a]] = self.ids[at].tolist()
+        return self.calibrated(votes), evidence
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ranges [lo, hi), and the range that each belongs to."""
+    size = hi - lo
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum()), np.repeat(np.arange(len(lo)), size)
+
+
+def _weights(terms: np.ndarray, counts: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(counts)) * weight_of[terms]
+    length = np.sqrt((w * w).sum())
+    return terms, w / length if length else w
 
 
-def _weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = (1 + np.log(counts)) * idf[terms]
-    return terms, w / np.sqrt((w * w).sum())
+_COUNTS = ("bad", "good", "bad_apart", "good_apart")
 
 
-def _term_counts(batches):
-    """(name, toxic documents, other documents) of the n-grams of each batch; columns text, toxic."""
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name and toxic and other documents of the words of each batch, those that calibrate apart; columns text, toxic, apart."""
     letters = Letters()
     for batch in batches:
-        texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+        texts = batch.column(0).to_pylist()
+        toxic, apart = (batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (1, 2))
         for i, j in by_size(texts):
-            name, text = ngrams(*letters.encode(texts[i:j]))
+            name, text = words(*letters.encode(texts[i:j]))
             order = np.lexsort((text, name))
             name, text = name[order], text[order]
             new = np.ones(len(name), dtype=bool)
             new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
             names, at = np.unique(name[new], return_inverse=True)
-            bad = np.bincount(at, weights=toxic[i:j][text[new]], minlength=len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(bad), pa.array(np.bincount(at, minlength=len(names)) - bad)], names=["name", "bad", "good"])
+            t, c = toxic[i:j][text[new]], apart[i:j][text[new]]
+            count = lambda kind: pa.array(np.bincount(at[kind], minlength=len(names)))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(names), count(t & ~c), count(~t & ~c), count(t & c), count(~t & c)], names=["name", *_COUNTS])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_examples: int = 3_000, most_terms: int = 2_000, least_z: float = 6.0, **params) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_examples: int = 3_000, least_df: int = 2, widest: float = 0.25, **params) -> ToxicityModel:
     """docs(doc_id, text), labels(doc_id, toxic); rows of labels with a null doc_id or label are left out, of repeated ones the larger counts."""
     spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_u", sample_order("doc_id"))
     total = marked.count()
     some = marked.where(F.col("_u") < min(1.0, most_labelled / max(total, 1)))
+    calibrates = (F.xxhash64(F.lit("calibrates"), "doc_id") % 4 == 0).alias("apart")
     # About most_labelled rows of 20 bytes: their number is set by that parameter.
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "labelled")
-    sizes = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
-    bad, good = int(sizes[0]), int(sizes[1])
-    terms = rows.select("text", (F.col("toxic") == 1).cast("double").alias("toxic")).mapInArrow(_term_counts, "name long, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    share = (F.col("bad") + F.col("good")) / max(bad + good, 1)
-    z = (F.col("bad") / max(bad, 1) - F.col("good") / max(good, 1)) / F.sqrt(share * (1 - share) * (1 / max(bad, 1) + 1 / max(good, 1)) + 1e-12)
-    often = (F.col("bad") + 0.5) / (bad + 1) >= 15 * (F.col("good") + 0.5) / (good + 1)
-    chosen = terms.withColumn("z", z).where((F.col("bad") >= 3) & often & (F.col("z") >= least_z)).orderBy(F.col("z").desc(), "name").limit(most_terms)
-    vocabulary = Vocabulary(np.array([r["name"] for r in chosen.select("name").collect()], dtype=np.int64))
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", (F.col("toxic") == 1).alias("toxic"), "_u", calibrates), "labelled")
+    sizes = np.array(rows.agg(*[F.count_if(F.expr(c)) for c in ("toxic and not apart", "not toxic and not apart", "toxic and apart", "not toxic and apart")]).first())
+    terms = rows.select("text", "toxic", "apart").mapInArrow(_term_counts, ", ".join(f"{c} long" for c in ("name", *_COUNTS))).groupBy("name").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    df = sum((F.col(c) for c in _COUNTS), F.lit(0))
+    # Words of the sample's texts: as bounded as the sample is.
+    chosen = terms.where((df >= least_df) & (df <= max(widest * int(sizes.sum()), least_df))).orderBy("name").toPandas()
+    vocabulary = Vocabulary(chosen["name"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(vocabulary)
     v = len(vocabulary.names)
 
-    def frequencies(batches):
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(v, dtype=np.int64), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -177,11 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], n))], names=["term", "n"])
 
-    counts = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    frequency = np.array([counts.get(t, 0) for t in range(v)], dtype=float)
-    idf = np.log((counts.get(-1, 0) + 1) / (frequency + 1)) + 1
+    counts = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(v + 1)
+    frequency[counts["term"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)  # -1, all documents, is the last
+    idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1
+    seen = chosen[[*_COUNTS]].to_numpy(float).T
+    part, whole = relevance(seen[0], seen[1], *sizes[:2]), relevance(seen[0] + seen[2], seen[1] + seen[3], *(sizes[:2] + sizes[2:]))
 
-    def vectors(batches):
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out = [([], []) for _ in texts]
@@ -189,25 +247,30 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_
                 for x, t, c in zip(*(a.tolist() for a in shared.value.find(texts[i:j]))):
                     out[i + x][0].append(t)
                     out[i + x][1].append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "_u", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "_u", "apart", "terms", "counts"])
 
-    vectored = stored(rows.select("doc_id", "text", "toxic", "_u").mapInArrow(vectors, "doc_id long, toxic int, _u double, terms array<long>, counts array<long>"), "examples")
-    without = vectored.where(F.size("terms") == 0).agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
-    examples = vectored.where(F.size("terms") > 0).orderBy("_u", "doc_id").limit(most_examples).collect()
-    return ToxicityModel.build(vocabulary, idf, [(r["doc_id"], int(r["toxic"] == 1), np.array(r["terms"]), np.array(r["counts"])) for r in examples], (int(without[0]), int(without[1])), **params)
+    vectored = stored(rows.select("doc_id", "text", "toxic", "_u", "apart").mapInArrow(vectors, "doc_id long, toxic boolean, _u double, apart boolean, terms array<long>, counts array<long>"), "examples")
+    examples = [(r["doc_id"], int(r["toxic"]), np.array(r["terms"], dtype=np.int64), np.array(r["counts"], dtype=np.int64), r["apart"]) for r in vectored.orderBy("_u", "doc_id").limit(most_examples).collect()]
+    check = [e for e in examples if e[4]]
+    model = ToxicityModel.build(vocabulary, idf * whole, examples, **params)
+    if any(e[1] for e in check) and not all(e[1] for e in check):
+        without = ToxicityModel.build(vocabulary, idf * part, [e for e in examples if not e[4]], **params)
+        votes = np.array([without.vote(e[2], e[3])[0] for e in check])
+        model.slope, model.offset = logistic_fit(_logit(votes), np.array([e[1] for e in check], dtype=float))
+    return model
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", least: float = 0.3) -> DataFrame:
     """docs with score, predicted and evidence (ids of the nearest examples) added in place of columns of those names; one pass, no shuffle.
 
-    Null and empty texts and texts without a known term get the same low score; all other columns pass through.
+    Null and empty texts and texts without a known term get the score of the prior; all other columns pass through.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted", "evidence")
     at = docs.columns.index(text)
     schema = extended(docs, score="double", predicted="int", evidence="array<bigint>")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, evidence = held.value.score(batch.column(at).to_pylist())
             added = [pa.array(scores, pa.float64()), pa.array((scores >= least).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))]

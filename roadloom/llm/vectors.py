@@ -14,6 +14,22 @@ def usable(v: str = "embedding") -> Column:
     return F.coalesce(x.isNotNull() & finite & F.exists(x, lambda c: c != 0), F.lit(False))
 
 
+def scaled(v: str = "embedding") -> Column:
+    """A usable vector as doubles times a power of two that brings its largest component near 1; cosines stay the same bits.
+
+    Sums of squares then neither overflow nor vanish, however large or small the components are.
+    """
+    x = F.transform(F.col(v), lambda c: c.cast("double"))
+    largest = F.array_max(F.transform(x, F.abs))
+    power = F.pow(F.lit(2.0), -F.greatest(F.least(F.floor(F.log2(largest)), F.lit(1000)), F.lit(-1000)).cast("double"))
+    return F.transform(F.arrays_zip(x.alias("c"), F.array_repeat(power, F.size(v)).alias("p")), lambda z: z["c"] * z["p"])
+
+
+def dot(a: str, b: str) -> Column:
+    """The product of two array columns of one length, added in the order of the components."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+
+
 def lists_to_rows(column, dtype) -> list[np.ndarray]:
     """An Arrow list column without nulls as one array per row."""
     values, at = column.flatten().to_numpy(zero_copy_only=False).astype(dtype), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))

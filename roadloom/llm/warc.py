@@ -3,7 +3,8 @@
 Pages are written as gzip members, one record each, in archives of a bounded size; a payload of 100 bytes or more that
 occurs again is written once, as a response, and other pages revisit it. The index sorts captures by their URL with the
 host reversed, and keeps them in compressed blocks; a sparse directory holds each block's first key, and a part's first
-key stands above it. A look-up searches the parts, then the block directory, then one block, and reads a range of one archive.
+key stands above it. A look-up searches the parts, then the block directory, then one block, and reads ranges of only those
+archives that hold what it found, by positioned reads.
 
 Archives are written by Spark's text writer, one archive a file: an archive's bytes are its only row, and the writer's line
 end after it is a zero byte, which gzip readers take as padding. So archives can be on any store that Spark can write.
@@ -13,12 +14,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +30,12 @@ from pyspark.sql import functions as F
 from .common import scratch, stored
 
 LEAST_SHARED, ARCHIVE_BYTES, BLOCK_ENTRIES, PART_ENTRIES = 100, 8 << 20, 256, 20_000
-#: Repeated payloads are joined by broadcast up to so many of them.
+#: The directory of parts has so many rows at most; beyond MOST_PARTS * PART_ENTRIES captures parts grow instead.
+MOST_PARTS = 100_000
+#: So many of the commonest repeated payloads are joined by broadcast, the others by a shuffle.
 MOST_BROADCAST = 50_000
+#: Ranges of an archive less than this apart are read at once.
+GAP = 1 << 16
 _CONTROLS = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -55,15 +63,20 @@ def capture_key(url: str | None, page_id: int | None) -> str:
     return surt(url and _escaped(url)) + " " + ("-" if page_id is None else f"{page_id:020d}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC/1.1 record as a gzip member."""
-    head = [f"WARC/1.1\r\nWARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, place: str, date: str) -> bytes:
+    """One WARC/1.1 record as a gzip member. place tells repeated rows apart; the page's number is a field of its own."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest} {place}")
+    head = [f"WARC/1.1\r\nWARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_escaped(url)}")
+    if page_id is not None:
+        head.append(f"X-Page: {page_id}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_escaped(refers_url)}")
         payload = b""
     body = http + payload
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
@@ -78,12 +91,11 @@ def read_record(data: bytes) -> tuple[int | None, str | None, int, str, str, int
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    page = lambda s: int(s[10:-1]) if len(s) > 11 else None  # noqa: E731  <urn:page:N>
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not what was written")
-    refers = fields.get("WARC-Refers-To")
-    return page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, digest, fields["WARC-Type"], page(refers) if refers else None
+    page = lambda name: int(fields[name]) if name in fields else None
+    return page("X-Page"), fields.get("WARC-Target-URI"), size, digest, fields["WARC-Type"], page("X-Refers-To-Page")
 
 
 def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -101,22 +113,42 @@ def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
         at = end
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """pages(page_id long, url, html) as archives under path; null html counts as empty. No payload is shuffled."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html")})
-    again = rows.where(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
-    again = stored(again, "payloads")
+def _again(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payloads that more than one of rows(page_id, url, digest, bytes) has: the commonest, to broadcast, and the others."""
+    shared = rows.where(F.col("bytes") >= LEAST_SHARED)
+    again = shared.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", F.struct("page_id", "url")).alias("first_url"), F.count("*").alias("n"))
+    again = stored(again.where("n > 1").select(F.col("digest").alias("_digest"), "first", "first_url", "n"), "payloads")
     if again.count() <= MOST_BROADCAST:
-        again = F.broadcast(again)
-    refers = F.when((F.col("bytes") >= LEAST_SHARED) & (F.col("first") != F.coalesce("page_id", F.lit(-1))), F.col("first"))
-    placed = rows.join(again, F.col("digest") == F.col("_digest"), "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+        return again, again.where("false")
+    common = stored(again.orderBy(F.desc("n"), "_digest").limit(MOST_BROADCAST), "common-payloads")
+    return common, again.join(F.broadcast(common.select("_digest")), "_digest", "left_anti")
+
+
+def write_archives(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """pages(page_id long, url, html) as archives under path; null html counts as empty.
+
+    No page is shuffled while MOST_BROADCAST payloads or fewer are repeated. Beyond that the commonest still stay where they
+    are, and only the other pages are joined by a shuffle, so that no common payload lands in one task.
+    """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html")})
+    common, others = _again(rows)
+    same = F.col("digest") == F.col("_digest")
+    refers = (F.col("bytes") >= LEAST_SHARED) & (F.col("first") != F.coalesce("page_id", F.lit(-1)))
+    columns = ["page_id", "url", "html", "digest", F.when(refers, F.col("first")).alias("refers_to"), F.when(refers, F.col("first_url")).alias("refers_url")]
+    placed = rows.join(F.broadcast(common), same, "left")
+    if others.isEmpty():
+        placed = placed.select(*columns)
+    else:
+        rest = placed.where("_digest is null").drop("_digest", "first", "first_url", "n").join(others, same, "left")
+        placed = placed.where("_digest is not null").select(*columns).unionByName(rest.select(*columns))
 
     def build(batches):
-        out, size = [], 0
+        out, size, number, part = [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                out.append(record(*row))
-                size += len(out[-1])
+            for row in zip(*batch.columns):
+                out.append(record(*(x.as_py() for x in row), f"{part} {number}", date))
+                number, size = number + 1, size + len(out[-1])
                 if size >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
                     out, size = [], 0
@@ -143,7 +175,7 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(archive, pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["key", "archive", "offset", "length"])
 
     entries = stored(archives(spark, path).mapInArrow(captures, "key string, archive string, offset long, length long"), "captures")
-    parts = -(-entries.count() // PART_ENTRIES) or 1
+    parts = min(-(-entries.count() // PART_ENTRIES) or 1, MOST_PARTS)
 
     def blocks(batches):
         part, number, held = TaskContext.get().partitionId(), 0, []
@@ -167,7 +199,7 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
 def look_up(keys: DataFrame, index: str) -> DataFrame:
     """keys(key) -> key, archive, offset, length of every capture of each distinct key.
 
-    The parts' first keys reach every task (one per PART_ENTRIES captures); blocks stay where their part is looked up.
+    The parts' first keys reach every task (MOST_PARTS at most); blocks stay where their part is looked up.
     """
     spark = keys.sparkSession
     blocks = spark.read.schema("part int, block int, first_key string, entries int, data binary").parquet(index)
@@ -220,20 +252,54 @@ def keys_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").mapInArrow(run, "key string")
 
 
-def read_ranges(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
-    """Records at found(archive, offset, length): page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    per_archive = found.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+def _ranges(ranges: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Runs of sorted (offset, length) with gaps of GAP at most, each of ARCHIVE_BYTES at most or of one range."""
+    run: list[tuple[int, int]] = []
+    for at, n in ranges:
+        if run and (at - sum(run[-1]) > GAP or at + n - run[0][0] > ARCHIVE_BYTES):
+            yield run
+            run = []
+        run.append((at, n))
+    if run:
+        yield run
+
+
+def read_ranges(spark: SparkSession, path: str, found: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
+    """Records at found(archive, offset, length): page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Each archive that found names is opened once by the task that has its ranges, and only these are read, in order.
+    Opening is by pyarrow's file systems (local, HDFS, S3, GCS, Azure), so path must be in one of these stores.
+    """
+    found = stored(found.select("archive", "offset", "length"), "found")
+    tasks = -(-(found.agg(F.sum("length")).first()[0] or 0) // bytes_per_task) or 1
+    tasks = max(tasks, spark.sparkContext.defaultParallelism)
 
     def read(batches):
+        name, held, file, base, fs = None, [], None, None, None
+
+        def out():
+            rows = []
+            for run in _ranges(held):
+                file.seek(run[0][0])
+                data = memoryview(file.read(sum(run[-1]) - run[0][0]))
+                rows += [read_record(zlib.decompress(data[at - run[0][0] : at - run[0][0] + n], 31)) for at, n in run]
+            page, _, size, digest, kind, refers = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(kind), pa.array(refers, pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
         for batch in batches:
-            for content, ranges in zip(batch.column(0), batch.column(1).to_pylist()):
-                view = memoryview(content.as_buffer())
-                rows = [read_record(zlib.decompress(view[r["offset"] : r["offset"] + r["length"]], 31)) for r in ranges]
-                page, _, size, digest, kind, refers = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(kind), pa.array(refers, pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    both = archives(spark, path).join(per_archive, "archive").select("content", "ranges")
-    return both.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            for archive, at, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if archive != name:
+                    if held:
+                        yield out()
+                    if fs is None:
+                        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+                    name, held, file = archive, [], fs.open_input_file(f"{base}/{archive}")
+                held.append((at, n))
+        if held:
+            yield out()
+
+    ordered = found.repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
+    return ordered.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def test_blocks_and_leaders_change_nothing(spark):
     want = {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
     for block, rounds in ((256, 0), (3, 0), (5, 3)):
         got = {}
-        for r in shingles.similar_components(rows, verified, 0.8, None, block, rounds).collect():
+        for r in shingles.similar_components(rows, rows.unionByName(rows), verified, 0.8, None, block, rounds).collect():
             got.setdefault(r.component, set()).add(ids[r.node])
         assert {frozenset(g) for g in got.values()} == {w for w in want if len(w) > 1}
 
