@@ -16,11 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told stay; those without a letter go. A null lang takes the prediction."""
+    """Documents in which a language can be told stay, with the predicted one as their lang; those without a letter go."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(~held_out("doc_id")))
     known = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
