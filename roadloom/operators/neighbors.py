@@ -17,12 +17,20 @@ def direction_groups(tracks: DataFrame) -> DataFrame:
     return by_sign.groupBy("source_file", "vx_sign").agg(F.count_distinct("id").alias("vehicles"), F.count("*").alias("rows"), F.when(F.percentile("xVelocity", 0.5) >= 0, 1).otherwise(-1).alias("direction"))
 
 
+def _carried(index: DataFrame) -> list[str]:
+    return [c for c in ("is_lane_change",) if c in index.columns]
+
+
 def anchors(index: DataFrame, tracks: DataFrame) -> DataFrame:
-    """window_id and ego's state (e_...) at the window's last history row; windows whose end lies beyond the track have none."""
+    """window_id and ego's state (e_...) at the window's last history row; windows whose end lies beyond the track have none.
+
+    is_lane_change is carried along where the index has it.
+    """
+    more = _carried(index)
     rows = tracks.select(F.col("source_file").alias("_file"), F.col("id").alias("e_id"), F.col("pos").alias("_pos"), F.col("frame").alias("e_frame"), *[F.col(c).alias(f"e_{c}") for c in _STATE])
-    place = index.select("window_id", "source_file", "vehicle_id", (F.col("start_frame") + F.col("n_frames_hist") - 1).alias("_at"))
+    place = index.select("window_id", "source_file", "vehicle_id", *more, (F.col("start_frame") + F.col("n_frames_hist") - 1).alias("_at"))
     joined = place.join(rows, (F.col("source_file") == F.col("_file")) & (F.col("vehicle_id") == F.col("e_id")) & (F.col("_at") == F.col("_pos")))
-    return joined.select("window_id", "source_file", "e_id", "e_frame", *[f"e_{c}" for c in _STATE], direction(F.col("e_xVelocity")).alias("e_dir"))
+    return joined.select("window_id", "source_file", *more, "e_id", "e_frame", *[f"e_{c}" for c in _STATE], direction(F.col("e_xVelocity")).alias("e_dir"))
 
 
 def scenes(index: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -42,7 +50,7 @@ def _nearest(when: Column, distance: Column) -> Column:
 
 
 def surroundings(index: DataFrame, tracks: DataFrame) -> DataFrame:
-    """One row per window: a struct per slot (NULL if empty), own_lead, scene_density, and ego's state.
+    """One row per window: a struct per slot (NULL if empty), own_lead, scene_density, ego's state, and source_file.
 
     The nearest vehicle of a slot is a conditional minimum, so partial aggregation shrinks the scenes before the shuffle;
     ties of distance fall to the lowest id. Ego without a velocity has no direction, no neighbours and density 0.
@@ -53,9 +61,10 @@ def surroundings(index: DataFrame, tracks: DataFrame) -> DataFrame:
     places = {"preceding": dx > ALONGSIDE_M, "alongside": F.abs(dx) <= ALONGSIDE_M, "following": dx < -ALONGSIDE_M}
     slots = [_nearest(other & sides[s.split("_")[0]] & places[s.split("_")[1]], F.abs(dx)).alias(s) for s in SLOTS]
     ego = F.first(F.struct(*[F.col(f"e_{c}").alias(c) for c in ("id", *_STATE, "dir")])).alias("ego")
+    more = [F.first(c).alias(c) for c in ("source_file", *_carried(index))]
     density = F.greatest(F.count_if(F.col("same_direction")) - 1, F.lit(0)).cast("int").alias("scene_density")
     lead = _nearest(other & (F.abs(dy) <= LANE_TOLERANCE_M) & (dx > 0), F.abs(dx)).alias("own_lead")
-    return scenes(index, tracks).groupBy("window_id").agg(*slots, lead, density, ego)
+    return scenes(index, tracks).groupBy("window_id").agg(*slots, lead, density, ego, *more)
 
 
 def slot_fields(slot: str) -> dict[str, Column]:
@@ -83,3 +92,13 @@ def own_lane_risk(around: DataFrame) -> DataFrame:
     o, e = F.col("own_lead"), F.col("ego")
     ttc = time_to_collision(o["dx"], (e["xVelocity"] - o["vx"]) * e["dir"])
     return around.where(o.isNotNull()).select("window_id", o["id"].alias("lead_id"), o["dx"].alias("gap"), ttc.alias("ttc"), ttc.isNotNull().cast("int").alias("ttc_valid"), headway(o["dx"], e["xVelocity"]).alias("thw"))
+
+
+def window_quality(around: DataFrame, still: float = 1e-3) -> DataFrame:
+    """Per recording: windows, those whose ego has no velocity (no direction, no neighbours), and those whose ego stands still.
+
+    A standing ego has no heading, so that normalised samples of its window are all 0.
+    """
+    vx, vy = F.col("ego")["xVelocity"], F.col("ego")["yVelocity"]
+    stands = F.sqrt(vx * vx + F.coalesce(vy, F.lit(0.0)) * F.coalesce(vy, F.lit(0.0))) < still
+    return around.groupBy("source_file").agg(F.count("*").alias("windows"), F.count_if(vx.isNull()).alias("without_velocity"), F.count_if(stands).alias("standing"))

@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tracks import KEYS, gradient, position
-
-
-def step_of(source_hz: float, target_hz: float) -> int:
-    """Rows per kept row; the ratio must be a whole number."""
-    ratio = source_hz / target_hz
-    if ratio < 1 or abs(ratio - round(ratio)) > 1e-6:
-        raise ValueError(f"{source_hz} Hz can't be thinned to {target_hz} Hz: {ratio} is no whole number")
-    return round(ratio)
+from ..functions.tracks import KEYS, gradient, position, step_of
 
 
 def downsample(tracks: DataFrame, source_hz: float, target_hz: float = 5.0) -> DataFrame:
@@ -55,5 +47,3 @@ def aligned(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out.withColumns({f"{c}{name}": F.coalesce(F.col(f"{c}{name}"), F.col(f"{made}{c}_recomputed")) for name, made in (("Velocity", "v"), ("Acceleration", "a")) for c in "xy"})
-
-

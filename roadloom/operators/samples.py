@@ -17,20 +17,20 @@ def track_arrays(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy(F.col("source_file").alias("_file"), F.col("id").alias("_id")).agg(F.transform(F.sort_array(F.collect_list(state)), lambda s: s["v"]).alias("states"))
 
 
-def ego_arrays(index: DataFrame, tracks: DataFrame, shape: Shape = Shape()) -> DataFrame:
+def ego_arrays(index: DataFrame, tracks: DataFrame, shape: Shape = Shape(), arrays: DataFrame | None = None) -> DataFrame:
     """window_id, ego_hist [15][4], ego_fut [25][2]; windows without all their rows are left out."""
-    joined = index.join(track_arrays(tracks), (F.col("source_file") == F.col("_file")) & (F.col("vehicle_id") == F.col("_id")))
+    joined = index.join(track_arrays(tracks) if arrays is None else arrays, (F.col("source_file") == F.col("_file")) & (F.col("vehicle_id") == F.col("_id")))
     cut = joined.select("window_id", F.slice("states", (F.col("start_frame") + 1).cast("int"), F.lit(shape.length)).alias("w")).where(F.size("w") == shape.length)
     return cut.select("window_id", F.slice("w", 1, shape.hist).alias("ego_hist"), F.transform(F.slice("w", shape.hist + 1, shape.fut), lambda s: F.slice(s, 1, 2)).alias("ego_fut"))
 
 
-def neighbor_histories(index: DataFrame, slots: DataFrame, tracks: DataFrame, shape: Shape = Shape(), align: str = "position") -> DataFrame:
+def neighbor_histories(index: DataFrame, slots: DataFrame, tracks: DataFrame, shape: Shape = Shape(), align: str = "position", arrays: DataFrame | None = None) -> DataFrame:
     """window_id, slot_no, hist [15][4] of every filled slot.
 
     align 'position' takes the neighbour's rows at ego's places in the track, or its last rows if it has fewer than the
     window's end; 'frame' takes the rows whose frames end at ego's anchor. Short histories are padded in front by their first row.
     """
-    arrays = track_arrays(tracks)
+    arrays = track_arrays(tracks) if arrays is None else arrays
     filled = slots.where("mask = 1 and id is not null").select("window_id", "slot_no", F.col("id").alias("_nid"))
     wanted = filled.join(index.select("window_id", "source_file", "vehicle_id", "start_frame", "end_frame"), "window_id")
     if align == "frame":
@@ -56,16 +56,17 @@ def interaction(slots: DataFrame) -> DataFrame:
     return slots.where("mask = 1").select("window_id", "slot_no", F.array(*[zero(c) for c in ("ttc", "thw", "rel_vx", "rel_vy", "ttc_valid", "mask")]).alias("f"))
 
 
-def samples(index: DataFrame, slots: DataFrame, features: DataFrame, tracks: DataFrame, shape: Shape = Shape(), normalise: bool = True, zero_masked: bool = False, align: str = "position") -> DataFrame:
+def samples(index: DataFrame, slots: DataFrame, features: DataFrame, tracks: DataFrame, shape: Shape = Shape(), normalise: bool = True, zero_masked: bool = False, align: str = "position", arrays: DataFrame | None = None) -> DataFrame:
     """One row per window: hist [7][15][4] with ego first, fut [25][2], mask_fixed6, interaction_feats [6][15][6],
     valid_ttc_mask, is_lane_change, scene_density, source_freq.
 
     normalise moves the origin to ego's last history position and turns ego's velocity onto the x axis. As speeds are
     divided by speed + 1e-6, a standing ego maps every position to 0. Empty slots are zero before that step, and after it
-    too with zero_masked.
+    too with zero_masked. arrays is track_arrays(tracks), where it has been written before; features need window_id,
+    is_lane_change and scene_density only, and windows that they lack have false and 0.
     """
-    ego = ego_arrays(index, tracks, shape)
-    near = neighbor_histories(index, slots, tracks, shape, align).join(interaction(slots), ["window_id", "slot_no"])
+    ego = ego_arrays(index, tracks, shape, arrays)
+    near = neighbor_histories(index, slots, tracks, shape, align, arrays).join(interaction(slots), ["window_id", "slot_no"])
     per_window = near.groupBy("window_id").agg(F.map_from_entries(F.collect_list(F.struct("slot_no", F.struct("hist", "f")))).alias("m"))
     zeros = lambda n, k: F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), k), n)
     slot = lambda i: F.try_element_at(F.col("m"), F.lit(i))

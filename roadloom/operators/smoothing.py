@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.savgol import checked_length, weights, window_length
-from ..functions.tracks import in_order, whole_track
+from ..functions.tracks import in_order, step_of, whole_track
 
 FARTHEST = 1e10
 
@@ -91,3 +91,12 @@ def smoothing_report(smoothed: DataFrame, hz: float, seconds: float = 0.3, polyo
         "pipeline_reduction": (floored("vx") + floored("vy")) / 2,
         "window_length": F.lit(window_length(hz, seconds, polyorder)),
     })
+
+
+def pipeline_info(smoothed: DataFrame, source_hz: float, target_hz: float = 5.0) -> DataFrame:
+    """Per recording, what was done to it: rates, rows per kept row, window length, and the reductions of its velocities."""
+    report = smoothing_report(smoothed, source_hz)
+    return report.select(
+        "source_file", F.lit(float(source_hz)).alias("source_freq_hz"), F.lit(float(target_hz)).alias("target_freq_hz"), F.lit(step_of(source_hz, target_hz)).alias("step"),
+        "window_length", "vx_reduction", "vy_reduction", "pipeline_reduction", "effect",
+    )

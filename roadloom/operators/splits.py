@@ -11,13 +11,14 @@ SPLITS = ("train", "val", "test")
 def labelled(index: DataFrame, train: float = 0.7, val: float = 0.1, gap_s: float = 8.0, time_basis: str = "track") -> DataFrame:
     """index with split: train, val, test, or gap where a window comes within gap_s / 2 of a cut.
 
-    time_basis 'track' takes a window's times within its vehicle's track; 'recording' takes anchor_time_sec, its history's
-    end on the recording's clock. A recording of no length is all train.
+    time_basis 'track' takes a window's times within its vehicle's track; 'recording' places the window by anchor_time_sec,
+    which window_index(anchor=True) gives: its history's end on the recording's clock. A recording of no length is all train.
     """
+    if time_basis not in ("track", "recording"):
+        raise ValueError(f"no time basis {time_basis}")
     start, end = ("start_time_sec", "end_time_sec") if time_basis == "track" else ("_start", "_end")
     if time_basis == "recording":
-        span = F.col("end_time_sec") - F.col("start_time_sec")
-        index = index.withColumn("_end", F.col("anchor_time_sec")).withColumn("_start", F.col("anchor_time_sec") - span)
+        index = with_recording_times(index, start, end)
     bounds = index.groupBy("source_file").agg(F.min(start).alias("_first"), F.max(end).alias("_last"))
     rows = index.join(bounds, "source_file")
     total, half = F.col("_last") - F.col("_first"), gap_s / 2
@@ -28,6 +29,13 @@ def labelled(index: DataFrame, train: float = 0.7, val: float = 0.1, gap_s: floa
     return rows.withColumn("split", split).drop("_first", "_last", "_start", "_end")
 
 
+def with_recording_times(index: DataFrame, start: str = "start_time_sec", end: str = "end_time_sec") -> DataFrame:
+    """A window's first and last time on the recording's clock, from anchor_time_sec, in the columns start and end."""
+    before = (F.col("n_frames_hist") - 1) / F.col("target_freq_hz")
+    span = F.col("end_time_sec") - F.col("start_time_sec")
+    return index.withColumns({start: F.col("anchor_time_sec") - before, end: F.col("anchor_time_sec") - before + span})
+
+
 def time_split(index: DataFrame, **params) -> DataFrame:
     """labelled() without the windows in dead zones."""
     return labelled(index, **params).where(F.col("split") != "gap")

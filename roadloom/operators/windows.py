@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -66,30 +66,46 @@ def window_starts(segmented: DataFrame, shape: Shape = Shape()) -> DataFrame:
     return segmented.withColumns({"_q": p, "_n": n}).where((F.col("_q") % shape.stride == 0) & (F.col("_q") + shape.length <= F.col("_n"))).drop("_q", "_n")
 
 
-def window_index(segmented: DataFrame, source_hz: float, shape: Shape = Shape()) -> DataFrame:
-    """One row per window of INDEX_COLUMNS. Windows are numbered by their place in the whole track, so their ids are unique."""
+def window_index(segmented: DataFrame, source_hz: float | str, shape: Shape = Shape(), anchor: bool = False, changes: bool = False) -> DataFrame:
+    """One row per window of INDEX_COLUMNS. Windows are numbered by their place in the whole track, so their ids are unique.
+
+    source_hz is a rate, or the name of a column that holds it. anchor adds anchor_frame, the frame of the last history row,
+    and anchor_time_sec, its time on the recording's clock; changes adds is_lane_change. Neither needs a join.
+    """
     dt = 1.0 / shape.hz
     start = F.col("pos")
+    hz = F.col(source_hz) if isinstance(source_hz, str) else F.lit(float(source_hz))
+    more = []
+    if anchor:
+        segmented = segmented.withColumn("anchor_frame", F.lead("frame", shape.hist - 1).over(segment().orderBy("frame")))
+        more += [F.col("anchor_frame"), (F.col("anchor_frame") / hz).alias("anchor_time_sec")]
+    if changes:
+        segmented = segmented.withColumn("is_lane_change", _changed(segmented, shape))
+        more.append(F.col("is_lane_change"))
     return window_starts(segmented, shape).select(
         F.concat_ws("_", "source_file", F.col("id").cast("string"), start.cast("string")).alias("window_id"), "source_file", "dataset_name",
         F.col("id").alias("vehicle_id"), "segment_id", start.alias("start_frame"), (start + shape.length).alias("end_frame"),
         (start * F.lit(dt)).alias("start_time_sec"), ((start + shape.length - 1) * F.lit(dt)).alias("end_time_sec"),
-        F.lit(shape.hist).alias("n_frames_hist"), F.lit(shape.fut).alias("n_frames_fut"), F.lit(float(source_hz)).alias("source_freq_hz"), F.lit(float(shape.hz)).alias("target_freq_hz"),
+        F.lit(shape.hist).alias("n_frames_hist"), F.lit(shape.fut).alias("n_frames_fut"), hz.alias("source_freq_hz"), F.lit(float(shape.hz)).alias("target_freq_hz"), *more,
     )
 
 
-def lane_changes(segmented: DataFrame, shape: Shape = Shape(), lane_width: float = LANE_WIDTH_M) -> DataFrame:
-    """source_file, id, start_frame, is_lane_change of every window: another lane id within it, or a side step of over half a lane.
-
-    A window never leaves its sub-track, so its rows are the next ones there and no join is needed.
-    """
+def _changed(segmented: DataFrame, shape: Shape, lane_width: float = LANE_WIDTH_M) -> Column:
     span = segment().orderBy("frame").rowsBetween(0, shape.length - 1)
     y = "y_smooth" if "y_smooth" in segmented.columns else "y"
     lanes = F.size(F.collect_set("laneId").over(span)) > 1 if "laneId" in segmented.columns else F.lit(False)
     step = F.abs(F.last(y, True).over(span) - F.first(y, True).over(span))
     moved = (F.count(y).over(span) >= 2) & (step > lane_width * 0.5)
-    changed = (lanes | F.coalesce(moved, F.lit(False))).cast("int")
-    return window_starts(segmented.withColumn("is_lane_change", changed), shape).select("source_file", "id", F.col("pos").alias("start_frame"), "is_lane_change")
+    return (lanes | F.coalesce(moved, F.lit(False))).cast("int")
+
+
+def lane_changes(segmented: DataFrame, shape: Shape = Shape(), lane_width: float = LANE_WIDTH_M) -> DataFrame:
+    """source_file, id, start_frame, is_lane_change of every window: another lane id within it, or a side step of over half a lane.
+
+    A window never leaves its sub-track, so its rows are the next ones there and no join is needed.
+    """
+    changed = segmented.withColumn("is_lane_change", _changed(segmented, shape, lane_width))
+    return window_starts(changed, shape).select("source_file", "id", F.col("pos").alias("start_frame"), "is_lane_change")
 
 
 def index_summary(index: DataFrame) -> DataFrame:

@@ -159,3 +159,25 @@ ORACLES = {
     "sink_round_trip": _from_win("SELECT split, count(*) AS windows, CAST(sum(start_frame) AS BIGINT) AS start_frames FROM kept GROUP BY split", SPLIT),
     "input_quarantine": _sql("SELECT source_file, count(*) AS good_rows, count_if(frame % 100 = 0) AS bad_rows FROM tracks GROUP BY source_file", TRACKS),
 }
+
+_F4 = lambda c: r(f"CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE)", 4)
+ORACLES["sample_rows"] = _from_win(f"""SELECT k.window_id, k.split, l.is_lane_change = 1 AS is_lane_change, CAST(d.scene_density AS BIGINT) AS scene_density, CAST(10 AS DOUBLE) AS source_freq, CAST(s.slot_no AS BIGINT) AS slot_no,
+  CAST(s.mask AS DOUBLE) AS mask, CAST(0 AS DOUBLE) AS valid_ttc, true AS constant, CAST(0 AS DOUBLE) AS ttc, {_F4('thw')} AS thw, {_F4('rel_vx')} AS rel_vx, {_F4('rel_vy')} AS rel_vy, CAST(0 AS DOUBLE) AS f_valid, CAST(s.mask AS DOUBLE) AS f_mask
+  FROM kept k JOIN slots s USING (window_id) JOIN density d USING (window_id) JOIN lanes l USING (window_id)""", SCENE, DENSITY, LANES, SPLIT)
+_CLOCK = """clocked AS (SELECT w.* EXCLUDE (start_time_sec, end_time_sec), s.frame AS anchor_frame, CAST(s.frame AS DOUBLE) / 10 AS anchor_time_sec, CAST(s.frame AS DOUBLE) / 10 - CAST(14 AS DOUBLE) / 5 AS start_time_sec,
+  CAST(s.frame AS DOUBLE) / 10 - CAST(14 AS DOUBLE) / 5 + (w.end_time_sec - w.start_time_sec) AS end_time_sec FROM win w JOIN seg s ON s.source_file = w.source_file AND s.id = w.vehicle_id AND s.pos = w.start_frame + 14)"""
+ORACLES["split_by_recording"] = _from_win(f"SELECT window_id, source_file, anchor_frame, {r('anchor_time_sec')} AS anchor_time_sec, split FROM kept", _CLOCK, SPLIT.replace("FROM win", "FROM clocked"))
+ORACLES["window_quality"] = _from_win("SELECT source_file, count(*) AS windows, count_if(evx IS NULL) AS without_velocity, count_if(sqrt(evx * evx + evy * evy) < CAST(0.001 AS DOUBLE)) AS standing FROM anc GROUP BY source_file", SCENE)
+ORACLES["pipeline_info"] = _sql(f"""SELECT source_file, CAST(10 AS DOUBLE) AS source_freq_hz, CAST(5 AS DOUBLE) AS target_freq_hz, 2 AS step, 5 AS window_length, {r('rvx', 4)} AS vx_reduction, {r('rvy', 4)} AS vy_reduction,
+  {r('(1 - va / vb + 1 - wa / wb) / 2', 4)} AS pipeline_reduction, CASE WHEN (rvx + rvy + rax + ray) / 4 < CAST(0.05 AS DOUBLE) THEN 'weak' WHEN (rvx + rvy + rax + ray) / 4 > CAST(0.5 AS DOUBLE) THEN 'strong' ELSE 'ok' END AS effect FROM cutback""", TRACKS, NUMBERED, SMOOTHED, _SPREADS)
+ORACLES["track_sink"] = _sql(f"SELECT dataset_name, source_file, count(*) AS rows, CAST(sum(pos) AS BIGINT) AS places, CAST(sum(segment_id) AS BIGINT) AS segments, {r('round(sum(round(x_smooth, 6)), 3)', 3)} AS x, {r('round(sum(round(ay_recomputed, 6)), 3)', 3)} AS ay FROM seg GROUP BY ALL", *CHAIN[:6])
+ORACLES["index_sink"] = _from_win("SELECT window_id, source_file, start_frame, end_frame, dataset_name FROM win WHERE dataset_name = 'corridor_a'")
+ORACLES["feature_sink"] = ORACLES["window_features"]
+ORACLES["resumed_features"] = _from_win("""SELECT w.window_id, l.is_lane_change, d.scene_density, CASE WHEN EXISTS (SELECT 1 FROM best b WHERE b.window_id = w.window_id AND b.slot = 'left_preceding') THEN 1 ELSE 0 END AS left_preceding_mask,
+  (SELECT o_id FROM best b WHERE b.window_id = w.window_id AND b.slot = 'right_following') AS right_following_id FROM win w JOIN lanes l USING (window_id) JOIN density d USING (window_id) WHERE w.vehicle_id % 2 = 1""", SCENE, DENSITY, LANES)
+_FORM = "CAST(regexp_extract(source_file, '[0-9]+') AS INTEGER) % 3"
+ORACLES["raw_recordings"] = _sql(f"""SELECT source_file, id, frame, CASE WHEN {_FORM} = 1 THEN CAST(global_time_ms AS DOUBLE) END AS timestamp, CASE WHEN {_FORM} = 1 THEN {r('xVelocity')} END AS speed,
+  {r(f'CASE WHEN {_FORM} = 1 THEN vx_recomputed ELSE xVelocity END')} AS xVelocity, {r(f'CASE WHEN {_FORM} = 1 THEN vy_recomputed ELSE yVelocity END')} AS yVelocity, CASE WHEN {_FORM} <> 1 THEN laneId END AS laneId, pos, segment_id, CAST(10 AS DOUBLE) AS source_freq_hz FROM seg""", *CHAIN[:6])
+ORACLES["detected_recordings"] = _from_win("SELECT source_file, CAST(10 AS DOUBLE) AS source_freq_hz, count(*) AS windows, CAST(sum(start_frame) AS BIGINT) AS starts FROM win GROUP BY source_file")
+ORACLES["recording_report"] = _sql("""SELECT source_file, 'partial' AS status, count(*) AS good_rows, count_if(frame % 100 = 0) + count_if(frame % 150 = 0) AS bad_rows, count_if(frame % 100 = 0) AS bad_x, count_if(frame % 150 = 0) AS bad_fields FROM tracks GROUP BY source_file
+  UNION ALL SELECT 'rec_lost', 'missing', 0, 0, 0, 0""", TRACKS)

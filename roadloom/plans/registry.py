@@ -12,7 +12,7 @@ from ..sources import recordings
 from ..sources.canonical import canonical, of_dataset
 from ..sources.track_view import track_view
 from .oracles import ORACLES
-from .workloads import processed_tracks
+from .workloads import features_to_samples, processed_recordings, processed_tracks, windows_to_features
 
 HZ = 10.0
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,13 +33,13 @@ def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _kept(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """As _both, with the 5 Hz tracks written between the workloads, since features and samples read them several times."""
+    """As _both, with 5 Hz tracks and index written between the workloads, since features and samples read them several times."""
     processed = recordings.kept(_processed(spark, sf), "tracks")
-    return processed, windows.window_index(processed, HZ)
+    return processed, recordings.kept(windows.window_index(processed, HZ, changes=True), "index")
 
 
 def _around(spark: SparkSession, sf: str) -> DataFrame:
-    processed, index = _both(spark, sf)
+    processed, index = _kept(spark, sf)
     return neighbors.surroundings(index, processed)
 
 
@@ -125,13 +125,13 @@ def time_split(spark, sf):
 
 
 def split_summary(spark, sf):
-    index = _both(spark, sf)[1]
+    index = recordings.kept(_both(spark, sf)[1], "index")
     return _rounded(splits.split_summary(splits.time_split(index), index))
 
 
 def split_overlap(spark, sf):
     """Splits with some train windows planted in val as well."""
-    kept = splits.time_split(_both(spark, sf)[1])
+    kept = recordings.kept(splits.time_split(_both(spark, sf)[1]), "split")
     planted = kept.where("split = 'train' and start_frame % 50 = 0").withColumn("split", F.lit("val"))
     return splits.split_overlap(kept.unionByName(planted))
 
@@ -162,18 +162,135 @@ def interaction_features(spark, sf):
 
 def _samples(spark, sf):
     processed, index = _kept(spark, sf)
-    slots = recordings.kept(neighbors.slot_table(neighbors.surroundings(index, processed)), "slots")
-    return samples.samples(index, slots, features.window_features(index, processed), processed)
+    around = recordings.kept(neighbors.surroundings(index, processed), "surroundings")
+    arrays = recordings.kept(samples.track_arrays(processed), "arrays")
+    return samples.samples(index, neighbors.slot_table(around), around, processed, arrays=arrays)
 
 
 def normalized_samples(spark, sf):
     """Sums over time of each agent's normalised states; agent 0 is ego, -1 its future."""
-    total = lambda a, i: F.aggregate(F.transform(a, lambda s: F.round(s[i].cast("double"), 3)), F.lit(0.0), lambda x, y: x + y)
-    made = recordings.kept(_samples(spark, sf).select("window_id", "fut", "hist"), "samples").select("window_id", "fut", F.posexplode("hist").alias("agent", "h"))
-    agents = made.select("window_id", "agent", *[total("h", i).alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))])
-    none = F.lit(None).cast("double")
-    future = made.where("agent = 0").select("window_id", F.lit(-1).alias("agent"), total("fut", 0).alias("x"), total("fut", 1).alias("y"), none.alias("vx"), none.alias("vy"))
-    return _rounded(agents.unionByName(future), 3)
+    total = lambda a, i: F.aggregate(a, F.lit(0.0), lambda x, s: x + F.round(s[i].cast("double"), 3))
+    sums = lambda a, n: F.struct(*[total(a, i).alias(c) if i < n else F.lit(None).cast("double").alias(c) for i, c in enumerate(("x", "y", "vx", "vy"))])
+    made = _samples(spark, sf).select("window_id", F.array_append(F.transform("hist", lambda h: sums(h, 4)), sums(F.col("fut"), 2)).alias("s"))
+    agents = made.select("window_id", F.posexplode("s").alias("agent", "s"))
+    return _rounded(agents.select("window_id", F.when(F.col("agent") == 7, -1).otherwise(F.col("agent")).alias("agent"), "s.*"), 3)
+
+
+def sample_rows(spark, sf):
+    """The split windows' samples but for their arrays of states: masks, scalars and interaction values of slots, at two times."""
+    processed, index = _kept(spark, sf)
+    made = features_to_samples(index, processed)
+    slots = F.posexplode(F.arrays_zip("mask_fixed6", "valid_ttc_mask", F.col("interaction_feats").alias("f")))
+    rows = made.select("window_id", "split", "is_lane_change", "scene_density", F.col("source_freq").cast("double").alias("source_freq"), slots.alias("slot_no", "s"))
+    at = lambda t, i: F.col("s.f")[t][i].cast("double")
+    same = F.forall("s.f", lambda f: f == F.col("s.f")[0])
+    values = [at(14, i).alias(n) for i, n in enumerate(("ttc", "thw", "rel_vx", "rel_vy", "f_valid", "f_mask"))]
+    return _rounded(rows.select("window_id", "split", "is_lane_change", "scene_density", "source_freq", F.col("slot_no").cast("long").alias("slot_no"), F.col("s.mask_fixed6").cast("double").alias("mask"), F.col("s.valid_ttc_mask").cast("double").alias("valid_ttc"), same.alias("constant"), *values), 4)
+
+
+def split_by_recording(spark, sf):
+    """Windows split along the recordings' clock instead of the tracks' own."""
+    index = windows.window_index(_processed(spark, sf), HZ, anchor=True)
+    return _rounded(splits.time_split(index, time_basis="recording").select("window_id", "source_file", "anchor_frame", "anchor_time_sec", "split"))
+
+
+def window_quality(spark, sf):
+    return neighbors.window_quality(_around(spark, sf))
+
+
+def pipeline_info(spark, sf):
+    return _rounded(smoothing.pipeline_info(smoothing.smooth_positions(track_view(spark, sf), HZ), HZ), 4)
+
+
+def track_sink(spark, sf):
+    """Processed tracks written in a folder per data set and recording and read back."""
+    path = recordings.work_folder(spark, "tracks")
+    recordings.write_partitioned(_processed(spark, sf), path, "dataset_name", "source_file")
+    rows = spark.read.parquet(path).groupBy("dataset_name", "source_file")
+    return _rounded(rows.agg(F.count("*").alias("rows"), F.sum("pos").alias("places"), F.sum("segment_id").alias("segments"), F.round(F.sum(F.round("x_smooth", 6)), 3).alias("x"), F.round(F.sum(F.round("yAcceleration", 6)), 3).alias("ay")), 3)
+
+
+def index_sink(spark, sf):
+    """The window index written in a folder per data set; of one data set only its folder is read back."""
+    path = recordings.work_folder(spark, "index")
+    recordings.write_partitioned(_both(spark, sf)[1], path, "dataset_name")
+    return of_dataset(spark.read.parquet(path), "corridor_a").select("window_id", "source_file", "start_frame", "end_frame", "dataset_name")
+
+
+def feature_sink(spark, sf):
+    """A feature table begun with the windows of even vehicles, resumed for the others, and read back whole."""
+    path = recordings.work_folder(spark, "features")
+    processed, index = _kept(spark, sf)
+    features.append_features(index.where("vehicle_id % 2 = 0"), processed, path)
+    features.append_features(index, processed, path, done=spark.read.parquet(path).select("window_id"))
+    return _rounded(spark.read.parquet(path))
+
+
+def resumed_features(spark, sf):
+    """The second workload for the windows that a feature table lacks."""
+    processed, index = _kept(spark, sf)
+    made = windows_to_features(index, processed, done=index.where("vehicle_id % 2 = 0"))
+    return made.select("window_id", "is_lane_change", "scene_density", "left_preceding_mask", "right_following_id")
+
+
+#: Three ways in which recordings name and order their columns; the second has neither velocities nor lanes.
+_FORMS = (
+    {"frame": "frame", "id": "id", "y": "y", "x": "x", "width": None, "xVelocity": "xVelocity", "yVelocity": "yVelocity", "laneId": "laneId"},
+    {"Vehicle_ID": "id", "Frame_ID": "frame", "Global_Time": "global_time_ms", "Local_X": "x", "Local_Y": "y", "v_Vel": "xVelocity"},
+    {"laneId": "laneId", "vx": "xVelocity", "v_y": "yVelocity", "trackId": "id", "Y": "y", "X": "x", "frameId": "frame"},
+)
+
+
+def _raw_files(spark, sf, path: str) -> DataFrame:
+    """Recordings as CSV of three forms, with rows that are cut off or hold no number; the rows that were written well."""
+    form = F.pmod(F.regexp_extract("source_file", r"(\d+)", 1).cast("int"), F.lit(3))
+    good = track_view(spark, sf).withColumn("form", form)
+    lines = None
+    for i, columns in enumerate(_FORMS):
+        value = lambda c, bad=None: F.lit("1.5") if c is None else F.lit(bad) if bad and c == "x" else F.col(c).cast("string")
+        some = good.where(F.col("form") == i)
+        line = F.concat_ws(",", *[value(c) for c in columns.values()])
+        odd = F.concat_ws(",", *[value(c, "far") for c in columns.values()])
+        cut = F.concat_ws(",", *[value(c) for c in list(columns.values())[:3]])
+        head = some.select("source_file").distinct().select("source_file", F.lit(-1).cast("long").alias("n"), F.lit(",".join(columns)).alias("value"))
+        body = some.select("source_file", F.col("frame").alias("n"), line.alias("value"))
+        bad = some.where("frame % 100 = 0").select("source_file", F.col("frame").alias("n"), odd.alias("value")).unionByName(some.where("frame % 150 = 0").select("source_file", F.col("frame").alias("n"), cut.alias("value")))
+        part = head.unionByName(body).unionByName(bad)
+        lines = part if lines is None else lines.unionByName(part)
+    one_file = lines.repartition("source_file").sortWithinPartitions("source_file", "n")
+    one_file.select("source_file", "value").write.partitionBy("source_file").text(path)
+    return good
+
+
+def raw_recordings(spark, sf):
+    """CSV files of different headers, through rate detection and processing, as one table of 5 Hz tracks."""
+    path = recordings.work_folder(spark, "raw")
+    _raw_files(spark, sf, path)
+    raw = recordings.read_raw(spark, [path], name=r"source_file=([^/]+)")
+    rates = track_view(spark, sf).select("source_file").distinct().select("source_file", F.lit(HZ).alias("source_freq_hz"))
+    made = processed_recordings(recordings.good_rows(raw), rates)
+    return _rounded(made.select("source_file", "id", "frame", "timestamp", "speed", "xVelocity", "yVelocity", "laneId", "pos", "segment_id", "source_freq_hz"))
+
+
+def detected_recordings(spark, sf):
+    """As raw_recordings, with rates detected from the rows: how many windows each recording gives."""
+    path = recordings.work_folder(spark, "raw")
+    _raw_files(spark, sf, path)
+    raw = recordings.good_rows(recordings.read_raw(spark, [path], name=r"source_file=([^/]+)")).drop("timestamp")
+    made = processed_recordings(raw.withColumn("xVelocity", F.coalesce("xVelocity", "speed"))).withColumn("dataset_name", F.lit("all"))
+    index = windows.window_index(made, "source_freq_hz")
+    return index.groupBy("source_file", "source_freq_hz").agg(F.count("*").alias("windows"), F.sum("start_frame").alias("starts"))
+
+
+def recording_report(spark, sf):
+    """What was read of each recording and why rows are bad, and one that was expected and is not there."""
+    path = recordings.work_folder(spark, "raw")
+    _raw_files(spark, sf, path)
+    raw = recordings.read_raw(spark, [path], name=r"source_file=([^/]+)")
+    expected = track_view(spark, sf).select("source_file").distinct().unionByName(spark.createDataFrame([("rec_lost",)], "source_file string"))
+    report = recordings.recording_report(raw, expected)
+    count = lambda c: F.coalesce(F.try_element_at("reasons", F.lit(c)), F.lit(0)).alias(f"bad_{c}")
+    return report.select("source_file", "status", "good_rows", "bad_rows", count("x"), count("fields"))
 
 
 def sink_round_trip(spark, sf):
@@ -186,7 +303,7 @@ def sink_round_trip(spark, sf):
 def input_quarantine(spark, sf):
     """Recordings written as CSV with a bad row beside every hundredth frame's, and what of them is good and bad."""
     path = recordings.work_folder(spark, "raw")
-    columns = [f.name for f in recordings.RAW]
+    columns = ["id", "frame", "x", "y", "xVelocity", "yVelocity", "laneId"]
     good = track_view(spark, sf).select("source_file", *[F.col(c).cast("string").alias(c) for c in columns])
     bad = good.where(F.col("frame") % 100 == 0).withColumn("x", F.lit("not a number"))
     good.unionByName(bad).write.partitionBy("source_file").option("header", True).csv(path)
@@ -229,4 +346,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalized_samples": normalized_samples,
     "sink_round_trip": sink_round_trip,
     "input_quarantine": input_quarantine,
+    "sample_rows": sample_rows,
+    "split_by_recording": split_by_recording,
+    "window_quality": window_quality,
+    "pipeline_info": pipeline_info,
+    "track_sink": track_sink,
+    "index_sink": index_sink,
+    "feature_sink": feature_sink,
+    "resumed_features": resumed_features,
+    "raw_recordings": raw_recordings,
+    "detected_recordings": detected_recordings,
+    "recording_report": recording_report,
 }

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import features, neighbors, resample, samples, smoothing, splits, windows
+from ..operators import features, frequency, neighbors, resample, samples, smoothing, splits, windows
 from ..operators.windows import Shape
+from ..sources.recordings import kept
+
+#: Rates that one run may hold; each is a plan of its own.
+MOST_RATES = 20
 
 
 def processed_tracks(tracks: DataFrame, source_hz: float, shape: Shape = Shape()) -> DataFrame:
@@ -15,6 +20,31 @@ def processed_tracks(tracks: DataFrame, source_hz: float, shape: Shape = Shape()
     return windows.segments(resample.standardised(resample.kinematics(thin, shape.hz)))
 
 
+def processed_recordings(tracks: DataFrame, rates: DataFrame | None = None, shape: Shape = Shape()) -> DataFrame:
+    """Tracks of recordings of different rates and columns as one table, with source_freq_hz and aligned kinematics.
+
+    rates(source_file, source_freq_hz) gives each recording's rate; without it, it is detected from the tracks. Recordings
+    without a rate are left out, as are those of rates that are no whole multiple of the shape's.
+    """
+    if rates is None:
+        found = frequency.rate_report(tracks)
+        rates = found.select("source_file", F.coalesce("known_freq_hz", "detected_freq_hz").alias("source_freq_hz"))
+    rates = kept(rates.where("source_freq_hz is not null").select("source_file", "source_freq_hz").distinct(), "rates")
+    known = [r[0] for r in rates.select("source_freq_hz").distinct().orderBy("source_freq_hz").limit(MOST_RATES + 1).collect()]
+    if len(known) > MOST_RATES:
+        raise ValueError(f"more than {MOST_RATES} rates")
+    parts = []
+    for hz in known:
+        if hz < shape.hz or abs(hz / shape.hz - round(hz / shape.hz)) > 1e-6:
+            continue
+        some = tracks.join(rates.where(F.col("source_freq_hz") == hz).select("source_file"), "source_file", "left_semi")
+        thin = resample.downsample(smoothing.smooth_positions(some, hz), hz, shape.hz)
+        parts.append(resample.kinematics(thin, shape.hz).withColumn("source_freq_hz", F.lit(float(hz))))
+    if not parts:
+        raise ValueError("no recording has a rate that can be thinned")
+    return windows.segments(resample.aligned([resample.standardised(p) for p in parts]))
+
+
 def tracks_to_windows(tracks: DataFrame, source_hz: float, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame]:
     processed = processed_tracks(tracks, source_hz, shape)
     return processed, windows.window_index(processed, source_hz, shape)
@@ -25,10 +55,13 @@ def windows_to_features(index: DataFrame, processed: DataFrame, done: DataFrame
     return features.window_features(todo, processed)
 
 
-def features_to_samples(index: DataFrame, processed: DataFrame, **params) -> DataFrame:
-    """Samples with their split; windows in dead zones are left out."""
-    split = splits.time_split(index)
-    slots = neighbors.slot_table(neighbors.surroundings(split, processed))
-    table = features.window_features(split, processed)
-    made = samples.samples(split, slots, table, processed, **params)
+def features_to_samples(index: DataFrame, processed: DataFrame, shape: Shape = Shape(), **params) -> DataFrame:
+    """Samples with their split; windows in dead zones are left out.
+
+    Surroundings and whole-track arrays are written once, as slots, features and both kinds of histories read them.
+    """
+    split = features.with_lane_changes(splits.time_split(index), processed, shape)
+    around = kept(neighbors.surroundings(split, processed), "surroundings")
+    arrays = kept(samples.track_arrays(processed), "arrays")
+    made = samples.samples(split, neighbors.slot_table(around), around, processed, shape, arrays=arrays, **params)
     return made.join(split.select("window_id", "split"), "window_id")

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW = T.StructType([T.StructField("id", T.LongType()), T.StructField("frame", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "xVelocity", "yVelocity")], T.StructField("laneId", T.LongType())])
+from .canonical import ALIASES
+
+#: Canonical columns of raw recordings; those that a recording lacks are NULL.
+RAW = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("id", "frame")]
+    + [T.StructField(c, T.DoubleType()) for c in ("timestamp", "x", "y", "xVelocity", "yVelocity", "speed", "xAcceleration", "yAcceleration")]
+    + [T.StructField("laneId", T.LongType())]
+)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, or in a local one where spark.checkpoint.dir is unset (tests)."""
+    """A new path in the folder that all executors share, or in a local one where spark.checkpoint.dir is unset and Spark is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -27,22 +39,75 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_raw(spark: SparkSession, paths: list[str], schema: T.StructType = RAW, name: str = r"([^/]+)\.csv$") -> DataFrame:
-    """All recordings in one DataFrame; source_file is what `name` finds in a row's path.
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, header: the first line of each file under paths; files that are missing or empty have no row."""
+    lines = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True).text(paths)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")).groupBy("file").agg(F.min_by("value", "place").alias("header"))
 
-    _bad names a row's columns that do not hold their type, NULL if all do; they are NULL themselves. Missing files are
-    skipped, so one lost recording does not stop the rest.
-    """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(text).option("header", True).option("ignoreMissingFiles", True).csv(paths)
-    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema}
-    failed = F.concat_ws(",", *[F.when(F.col(c).isNotNull() & v.isNull(), c) for c, v in typed.items()])
-    return raw.select(*[v.alias(c) for c, v in typed.items()], F.nullif(failed, F.lit("")).alias("_bad"), F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("source_file"))
+
+def _names(header: str) -> list[str]:
+    """Column names of a header; blank and repeated ones get their number."""
+    out: list[str] = []
+    for i, c in enumerate(next(csv.reader([header.lstrip("\ufeff")]), [])):
+        c = c.strip() or f"column_{i}"
+        out.append(c if c.lower() not in {o.lower() for o in out} else f"{c}_{i}")
+    return out
 
 
-def tagged(raw: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds dataset_name and source_freq_hz from rates(prefix, dataset_name, source_freq_hz), a few rows: the data set whose prefix the file's name has."""
-    return raw.join(F.broadcast(rates), raw["source_file"].startswith(rates["prefix"]), "left").drop("prefix")
+def read_raw(spark: SparkSession, paths: list[str], schema: T.StructType = RAW, name: str = r"([^/]+)\.csv$", keep: tuple[str, ...] = ()) -> DataFrame:
+    """All recordings in one DataFrame of the schema's columns; source_file is what `name` finds in a row's path.
+
+    Each file is read by its own header: files of one header are read together, columns are found by ALIASES whatever their
+    order, those that a file lacks are NULL and others are left out but for the names in `keep`, which stay as text. NaN is
+    NULL. _bad names a row's columns that do not hold their type, which are NULL themselves, and "fields" if the row has too
+    many or too few; it is NULL if all is well. Missing files are skipped, so one lost recording does not stop the rest. The
+    headers, one line a file, are gathered on the driver, as Spark's own list of files is.
+    """
+    by_header = defaultdict(list)
+    for r in headers(spark, paths).collect():
+        by_header[r["header"]].append(r["file"])
+    out = None
+    for header, files in sorted(by_header.items()):
+        part = _of_header(spark, header, sorted(files), schema, name, keep)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        empty = T.StructType([*schema.fields, *[T.StructField(c, T.StringType()) for c in (*keep, "_bad", "source_file")]])
+        return spark.createDataFrame([], empty)
+    return out
+
+
+def _of_header(spark, header: str, files: list[str], schema: T.StructType, name: str, keep: tuple[str, ...]) -> DataFrame:
+    names = _names(header)
+    corrupt = "_corrupt_record"
+    text = T.StructType([T.StructField(c, T.StringType()) for c in (*names, corrupt)])
+    raw = spark.read.schema(text).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt, columnPruning=False, ignoreMissingFiles=True, enforceSchema=True).csv(files)
+    typed, failed = [], [F.when(F.col(corrupt).isNotNull(), "fields")]
+    for f in schema:
+        found = next((c for c in ALIASES.get(f.name, (f.name,)) if c in names), None)
+        if found is None:
+            typed.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        value = F.trim(F.col(f"`{found}`")).try_cast(f.dataType)
+        failed.append(F.when(F.col(f"`{found}`").isNotNull() & value.isNull(), f.name))
+        typed.append((F.when(~F.isnan(value), value) if isinstance(f.dataType, T.DoubleType) else value).alias(f.name))
+    more = [(F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c) for c in keep]
+    file = F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("source_file")
+    return raw.select(*typed, *more, F.nullif(F.concat_ws(",", *failed), F.lit("")).alias("_bad"), file)
+
+
+def tagged(raw: DataFrame, rates: DataFrame, most: int = 10_000) -> DataFrame:
+    """Adds dataset_name and source_freq_hz from rates(prefix, dataset_name, source_freq_hz): of the prefixes that the file's name has, the longest.
+
+    The few rows of rates become one expression; more than `most` are refused. Files without a prefix have NULLs.
+    """
+    rows = rates.select("prefix", "dataset_name", "source_freq_hz").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"rates has more than {most} prefixes")
+    found = F.lit(None).cast("struct<dataset_name:string,source_freq_hz:double>")
+    for r in sorted(rows, key=lambda r: (len(r["prefix"]), r["prefix"])):
+        found = F.when(F.col("source_file").startswith(r["prefix"]), F.struct(F.lit(r["dataset_name"]).alias("dataset_name"), F.lit(r["source_freq_hz"]).cast("double").alias("source_freq_hz"))).otherwise(found)
+    return raw.select("*", found["dataset_name"].alias("dataset_name"), found["source_freq_hz"].alias("source_freq_hz"))
 
 
 def good_rows(raw: DataFrame) -> DataFrame:
@@ -62,6 +127,25 @@ def quarantine_report(raw: DataFrame) -> DataFrame:
     return raw.groupBy("source_file").agg(F.count_if(_good()).alias("good_rows"), F.count_if(~_good()).alias("bad_rows"))
 
 
+def recording_report(raw: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Per recording: status, good_rows, bad_rows, and reasons (how many rows each bad column has).
+
+    status is ok, partial (some bad rows), failed (no good row), or missing: expected(source_file) has it and no file does.
+    """
+    reason = F.explode(F.split(F.when(F.col("_bad").isNotNull(), F.col("_bad")).otherwise(F.lit("key")), ","))
+    reasons = quarantined(raw).select("source_file", reason.alias("reason")).groupBy("source_file", "reason").agg(F.count("*").alias("n"))
+    reasons = reasons.groupBy("source_file").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
+    rows = quarantine_report(raw)
+    if expected is not None:
+        rows = expected.select("source_file").distinct().join(rows, "source_file", "full")
+    good, bad = F.coalesce("good_rows", F.lit(0)).alias("good_rows"), F.coalesce("bad_rows", F.lit(0)).alias("bad_rows")
+    status = F.when(F.col("good_rows").isNull(), "missing").when(F.col("good_rows") == 0, "failed").when(F.col("bad_rows") > 0, "partial").otherwise("ok")
+    return rows.select("source_file", status.alias("status"), good, bad).join(reasons, "source_file", "left")
+
+
 def write_partitioned(df: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
-    """Snappy Parquet in a folder per value of the columns `by`; rows of a folder are brought together first, over several tasks."""
-    df.repartition(*by, F.pmod(F.xxhash64(*df.columns[:4]), F.lit(8))).write.mode(mode).option("compression", "snappy").partitionBy(*by).parquet(path)
+    """Snappy Parquet in a folder per value of the columns `by`.
+
+    Rows of a folder are brought together first; Spark splits folders of many rows over as many tasks as their size asks for.
+    """
+    df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).option("compression", "snappy").partitionBy(*by).parquet(path)

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions import savgol
-from roadloom.operators import frequency, neighbors, resample, samples, smoothing, splits, windows
-from roadloom.plans.workloads import tracks_to_windows
+from roadloom.operators import features, frequency, neighbors, resample, samples, smoothing, splits, windows
+from roadloom.plans.workloads import features_to_samples, processed_recordings, tracks_to_windows
 from roadloom.sources import recordings
 from roadloom.sources.canonical import canonical
 from roadloom.streaming.recordings import process_new
@@ -144,15 +144,66 @@ def test_canonical_names(spark):
 def test_raw_rows_and_tags(spark, tmp_path):
     (tmp_path / "us_1.csv").write_text("id,frame,x,y,xVelocity,yVelocity,laneId\n1,0,1.5,2,3,4,1\n1,oops,1,2,3,4,1\n")
     raw = recordings.read_raw(spark, [str(tmp_path)])
-    rates = spark.createDataFrame([("us", "us_data", 10.0)], "prefix string, dataset_name string, source_freq_hz double")
+    rates = spark.createDataFrame([("us", "us_data", 10.0), ("us_1", "longer", 25.0), ("u", "short", 30.0)], "prefix string, dataset_name string, source_freq_hz double")
     assert recordings.quarantine_report(raw).first().asDict() == {"source_file": "us_1", "good_rows": 1, "bad_rows": 1}
-    assert recordings.tagged(recordings.good_rows(raw), rates).first().dataset_name == "us_data"
+    tagged = recordings.tagged(recordings.good_rows(raw), rates).collect()
+    assert [(r.dataset_name, r.source_freq_hz) for r in tagged] == [("longer", 25.0)]
     assert recordings.quarantined(raw).first()._bad == "frame"
+    with pytest.raises(ValueError):
+        recordings.tagged(raw, rates, most=2)
+
+
+def test_columns_are_found_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("frame,id,y,x,width,xVelocity\n7,1,-3.5,10.25,1.8,20\n8,1,-3.5,NaN,1.8,fast\n9,1,-3.5\n10,1,2,3,4,5,6\n")
+    (tmp_path / "b.csv").write_text("v_Vel,Local_X,Vehicle_ID,Global_Time,Frame_ID,Frame_ID\n20.5,1,4,1118846979700,3,9\n")
+    (tmp_path / "c.csv").write_text("trackId,x\n1,2\n")
+    (tmp_path / "d.csv").write_text("")
+    raw = recordings.read_raw(spark, [str(tmp_path)], keep=("width",))
+    assert raw.columns == [*(f.name for f in recordings.RAW), "width", "_bad", "source_file"]
+    got = {(r.source_file, r.frame): r for r in raw.collect()}
+    r = got["a", 7]
+    assert (r.id, r.x, r.y, r.xVelocity, r.width, r._bad, r.speed) == (1, 10.25, -3.5, 20.0, "1.8", None, None)
+    assert got["a", 8].x is None and got["a", 8]._bad == "xVelocity" and got["a", 9]._bad == got["a", 10]._bad == "fields"
+    r = got["b", 3]
+    assert (r.id, r.x, r.speed, r.timestamp, r.xVelocity, r.laneId) == (4, 1.0, 20.5, 1118846979700.0, None, None)
+    expected = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "source_file string")
+    report = {r.source_file: (r.status, r.good_rows, r.bad_rows, r.reasons) for r in recordings.recording_report(raw, expected).collect()}
+    assert report == {"a": ("partial", 1, 3, {"xVelocity": 1, "fields": 2}), "b": ("ok", 1, 0, None), "c": ("failed", 0, 1, {"key": 1}), "d": ("missing", 0, 0, None), "e": ("missing", 0, 0, None)}
+    assert recordings.read_raw(spark, [str(tmp_path / "d.csv")]).count() == 0
+
+
+def test_recordings_of_several_rates_and_columns(spark):
+    rows = track(1, 90, file="slow") + track(2, 225, lambda p: 0.8 * p, file="fast")
+    df = spark.createDataFrame(rows, TRACK).withColumn("xVelocity", F.when(F.col("source_file") == "fast", F.col("xVelocity")))
+    rates = spark.createDataFrame([("slow", 10.0), ("fast", 25.0), ("odd", 7.0)], "source_file string, source_freq_hz double")
+    made = processed_recordings(df, rates)
+    assert {(r.source_file, r.source_freq_hz, r["count"]) for r in made.groupBy("source_file", "source_freq_hz").count().collect()} == {("slow", 10.0, 45), ("fast", 25.0, 45)}
+    slow = made.where("source_file = 'slow'").collect()
+    assert all(r.xVelocity == r.vx_recomputed for r in slow)
+    index = windows.window_index(made, "source_freq_hz", anchor=True).where("start_frame = 5").collect()
+    assert {(r.source_file, r.anchor_frame, r.anchor_time_sec) for r in index} == {("slow", 38, 3.8), ("fast", 95, 3.8)}
+    found = processed_recordings(spark.createDataFrame(track(1, 90, lambda p: 2.0 * p), TRACK))
+    assert found.first().source_freq_hz == 10.0
+    with pytest.raises(ValueError):
+        processed_recordings(df, rates.where("source_freq_hz = 7"))
 
 
-def test_samples_have_fixed_shapes(spark):
-    from roadloom.operators import features
+def test_standing_and_unknown_ego_are_counted(spark):
+    rows = [("d", "rec", i, 14, 10.0 * i, 0.0, v, 0.0, 1) for i, v in ((1, 10.0), (2, 0.0), (3, None))]
+    df = spark.createDataFrame(rows, TRACK).withColumn("pos", F.lit(14).cast("long"))
+    index = spark.createDataFrame([(f"w{i}", "rec", i, 0, 15) for i in (1, 2, 3)], "window_id string, source_file string, vehicle_id long, start_frame long, n_frames_hist int")
+    r = neighbors.window_quality(neighbors.surroundings(index, df)).first()
+    assert (r.windows, r.without_velocity, r.standing) == (3, 1, 1)
+
+
+def test_window_features_with_and_without_changes_in_the_index(spark):
+    processed, index = tracks_to_windows(spark.createDataFrame(track(1, 120, lane=1) + track(2, 120, y=lambda p: 3.0 + 0.05 * p), TRACK), 10.0)
+    more = windows.window_index(processed, 10.0, changes=True)
+    a, b = (sorted(map(tuple, features.window_features(i, processed).collect()), key=repr) for i in (index, more))
+    assert a == b and len(a) == index.count()
 
+
+def test_samples_have_fixed_shapes(spark):
     rows = track(1, 100) + track(2, 100, lambda p: 20.0 * p + 2, lambda p: 3.0) + track(3, 60, lambda p: 20.0 * p - 12, lambda p: 3.0)
     processed, index = tracks_to_windows(spark.createDataFrame(rows, TRACK), 10.0)
     slots = neighbors.slot_table(neighbors.surroundings(index, processed))
@@ -174,3 +225,13 @@ def test_stream_takes_each_recording_once(spark, tmp_path):
         process_new(spark, source, *out, 10.0).awaitTermination()
     index = spark.read.parquet(out[1])
     assert {(r.source_file, r["count"]) for r in index.groupBy("source_file").count().collect()} == {("rec_1", 2), ("rec_2", 2)}
+
+
+def test_samples_of_the_third_workload(spark):
+    rows = track(1, 900) + track(2, 900, lambda p: 20.0 * p + 2, lambda p: 3.0)
+    processed, index = tracks_to_windows(spark.createDataFrame(rows, TRACK), 10.0)
+    made = features_to_samples(index, processed)
+    kept = splits.time_split(index)
+    assert {(r.window_id, r.split) for r in made.select("window_id", "split").collect()} == {(r.window_id, r.split) for r in kept.select("window_id", "split").collect()}
+    r = made.where("split = 'train'").first()
+    assert np.array(r.interaction_feats).shape == (6, 15, 6) and r.source_freq == 10.0 and r.scene_density == 1 and not r.is_lane_change
