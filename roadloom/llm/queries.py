@@ -70,7 +70,7 @@ FROM d LEFT JOIN f ON f.digest = d.digest AND d.bytes >= 100"""
 #: Known roles have names of their own; a text with a control string has each of them escaped by one more code point.
 ORACLES["op1_chat_format"] = """WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
-sized AS (SELECT *, length('### ') + length(CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN role ELSE to_json(role) END) + length(': ') + length(text) + length(chr(10) || '</turn>' || chr(10))
+sized AS (SELECT *, length('### ') + length(CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN role ELSE CAST(to_json(role) AS VARCHAR) END) + length(': ') + length(text) + length(chr(10) || '</turn>' || chr(10))
   + len(regexp_extract_all(text, '###|</turn>')) AS chars FROM turns)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,

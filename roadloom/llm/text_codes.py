@@ -87,18 +87,24 @@ class Letters(CodeTable):
 
 #: Powers that name a word by its letters; longer words are cut into pieces of so many letters.
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
+#: Letters of a stem.
+STEM = 5
 
 
 def words(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of all words (runs of codes other than 0, cut at 64 letters), and the text each belongs to."""
+    """64-bit names of all words (runs of codes other than 0, cut at 64 letters) and then of the stems, the first STEM letters, of longer words; and the text each belongs to."""
     inside = codes != SPACE
     place = np.arange(len(codes))
     start = np.maximum.accumulate(np.where(inside, -1, place))  # of the space before; each text begins with one
-    place = place - start - 1
-    begins = np.flatnonzero(inside & (place % len(_POWERS) == 0))
+    place = (place - start - 1) % len(_POWERS)
+    begins = np.flatnonzero(inside & (place == 0))
     if not len(begins):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    part = np.where(inside, codes.astype(np.uint64) * _POWERS[place % len(_POWERS)], np.uint64(0))
+    part = np.where(inside, codes.astype(np.uint64) * _POWERS[place], np.uint64(0))
+    text = np.searchsorted(first, begins, side="right") - 1
+    longer = np.add.reduceat((inside & (place == STEM)).astype(np.int64), begins) > 0
     name = np.add.reduceat(part, begins)
+    stem = np.add.reduceat(np.where(place < STEM, part, np.uint64(0)), begins)[longer] ^ np.uint64(0x5BD1E995)
+    name = np.concatenate((name, stem))
     name ^= name >> np.uint64(29)
-    return (name * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), np.searchsorted(first, begins, side="right") - 1
+    return (name * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), np.concatenate((text, text[longer]))

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words (runs of letters) that between ``least_df`` labelled documents and ``widest`` of them hold; all
-terms of an example are indexed, of clean examples too. A term weighs (1 + ln tf) * idf, with document frequencies counted
+Terms are lower-cased words (runs of letters) and the first five letters of longer ones, so that a word's endings meet, as
+far as ``least_df`` labelled documents or more and no more than a share ``widest`` of them hold them; all terms of an
+example are indexed, of clean examples too. A term weighs (1 + ln tf) * idf, with document frequencies counted
 over all documents, times its relevance g / (g + ``doubt``), g being the log-likelihood ratio statistic of the term and
 the label in the training rows: words that tell nothing about the label weigh next to nothing, but no term is dropped for it.
 
@@ -32,7 +33,7 @@ BLOCK = 64
 
 
 class Vocabulary:
-    """Sorted names of words; finds the terms of texts."""
+    """Sorted names of terms; finds those of texts."""
 
     def __init__(self, names: np.ndarray):
         self.names = np.sort(names)

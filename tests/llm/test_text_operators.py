@@ -491,8 +491,11 @@ def test_words_of_texts():
     letters = toxicity.Letters()
     texts = ["The cat, the CAT!", None, "", "x" * 150 + " é9É", "12 3"]
     name, text = toxicity.words(*letters.encode(texts))
-    assert text.tolist() == [0] * 4 + [3] * 5
+    assert text.tolist() == [0] * 4 + [3] * 5 + [3] * 3  # the last three are stems
     assert name[0] == name[2] and name[1] == name[3] != name[0] and name[4] == name[5] != name[6] and name[7] == name[8]
+    assert name[9] == name[10] == name[11] != name[4]
+    stems = toxicity.words(*letters.encode(["abcdef abcdeg abcde"]))[0]
+    assert len(stems) == 5 and stems[3] == stems[4] != stems[2]
 
 
 def test_toxicity_against_brute_force(spark):
@@ -503,7 +506,7 @@ def test_toxicity_against_brute_force(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     label = {r.doc_id: r.toxic for r in labels.collect() if not held(r.doc_id)}
     apart = {r.doc_id for r in docs.where(F.xxhash64(F.lit("calibrates"), "doc_id") % 4 == 0).collect()}
-    bags = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    bags = {i: Counter(x for w in re.findall(r"[^\W\d_]+", t.lower()) for x in (w, *[w[:5] + "*"] * (len(w) > 5))) for i, t in texts.items()}
     df = Counter(w for b in bags.values() for w in b)
     inside = Counter(w for i in label for w in bags[i])
     terms = {w for w, n in inside.items() if 2 <= n <= 0.25 * len(label)}
@@ -558,7 +561,7 @@ def test_toxicity_held_out_and_odd_rows(spark, odd, empty):
     assert sum(r.predicted for r in bad) / len(bad) > 0.9 and sum(r.predicted for r in good) / len(good) < 0.03
     for lang in {r.lang for r in bad}:
         some = [r.predicted for r in bad if r.lang == lang]
-        assert sum(some) / len(some) > 0.8
+        assert sum(some) / len(some) >= 0.85, lang
     assert Counter(r.score for r in rows).most_common(1)[0][1] < 0.3 * len(rows)
     for lo, hi in ((0, 0.1), (0.1, 0.5), (0.5, 0.9), (0.9, 1.01)):  # calibrated: scores are shares of toxic documents
         some = [r for r in rows if lo <= r.score < hi]
