@@ -10,7 +10,7 @@ from compare import difference, duck
 from pyspark.sql import functions as F
 
 from roadloom.llm import ann, lattice, mixing, packing, warc
-from roadloom.llm.common import scratch
+from roadloom.llm.common import scratch, stored
 from roadloom.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -253,18 +253,20 @@ def test_records_are_told_apart(spark):
 
 
 def test_pipeline(spark):
+    """Stage by stage as run() does it; what run() itself returns is tested on odd rows below."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    after = {"": docs}
     seen = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        seen = stage(spark, seen, SF)
-        assert seen.columns == list(corpus_pipeline.COLUMNS), name
-    assert corpus_pipeline.run(spark, SF).count() > 0
-    known = corpus_pipeline.identified_language(spark, docs, SF)
-    assert known.count() == docs.count()
-    once = corpus_pipeline.one_of_near_duplicates(spark, docs, SF)
+    for name, stage in corpus_pipeline.STAGES:
+        seen = after[name] = stored(stage(spark, seen, SF), name)
+        assert name == "packing" or seen.columns == list(corpus_pipeline.COLUMNS), name
+    assert after["language"].count() == docs.count()
+    once = after["near_duplicates"]
     assert once.select("text").distinct().count() == once.count() <= docs.select("text").distinct().count()
+    assert after["secrets"].count() == once.count() and after["secrets"].where("text like '%[SECRET]%'").count() > 0
+    assert {r.doc_id for r in seen.select("doc_id").distinct().collect()} == {r.doc_id for r in after["mixture"].select("doc_id").distinct().collect()}
 
 
 def test_pipeline_on_odd_rows_and_empty_tables(spark, tmp_path):
