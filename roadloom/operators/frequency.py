@@ -50,13 +50,16 @@ def _to_seconds(gap: Column) -> Column:
 
 
 def rate_from_timestamp(tracks: DataFrame, time: str = "timestamp") -> DataFrame:
-    """source_file, mode_gap, confidence, detected_freq_hz, dt_seconds, by the median time of the commonest frame gap."""
+    """source_file, mode_gap, confidence, detected_freq_hz, dt_seconds, by the median time of the commonest frame gap.
+
+    bad_times tells recordings whose times do not rise, which have no rate, from those that hold none.
+    """
     modes = mode_gaps(tracks).select("source_file", "mode_gap", "confidence")
     pairs = steps(tracks, time).join(modes, "source_file").where(F.col("gap") == F.col("mode_gap"))
     dt = pairs.groupBy("source_file").agg(F.percentile(F.col(time) - F.col(f"{time}_before"), 0.5).alias("_dt"))
     per_frame = _to_seconds(F.col("_dt") / F.greatest("mode_gap", F.lit(1)))
     out = modes.join(dt, "source_file", "left").withColumn("detected_freq_hz", F.bround(F.try_divide(F.lit(1.0), per_frame), 2))
-    return out.select("source_file", "mode_gap", "confidence", "detected_freq_hz", F.try_divide(F.lit(1.0), "detected_freq_hz").alias("dt_seconds"))
+    return out.select("source_file", "mode_gap", "confidence", "detected_freq_hz", F.try_divide(F.lit(1.0), "detected_freq_hz").alias("dt_seconds"), F.coalesce(F.col("_dt") <= 0, F.lit(False)).alias("bad_times"))
 
 
 def rate_from_timestamp_only(tracks: DataFrame, time: str = "timestamp") -> DataFrame:

@@ -108,10 +108,14 @@ def lane_changes(segmented: DataFrame, shape: Shape = Shape(), lane_width: float
     return window_starts(changed, shape).select("source_file", "id", F.col("pos").alias("start_frame"), "is_lane_change")
 
 
-def index_summary(index: DataFrame) -> DataFrame:
-    """Windows, distinct vehicles, (file, vehicle) pairs and files, by data set, by file, and in all; NULL keys mark totals."""
+def index_summary(index: DataFrame, approximate: bool = False) -> DataFrame:
+    """Windows, distinct vehicles, (file, vehicle) pairs and files, by data set, by file, and in all; NULL keys mark totals.
+
+    approximate counts distinct values by sketches (5 % standard error), which shuffle a few kilobytes a group.
+    """
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     sets = index.groupingSets([[F.col("dataset_name")], [F.col("dataset_name"), F.col("source_file")], []], F.col("dataset_name"), F.col("source_file"))
-    return sets.agg(F.count("*").alias("windows"), F.count_distinct("vehicle_id").alias("vehicle_ids"), F.count_distinct(F.struct("source_file", "vehicle_id")).alias("vehicles"), F.count_distinct(F.concat("source_file", F.lit(""))).alias("files"))
+    return sets.agg(F.count("*").alias("windows"), distinct("vehicle_id").alias("vehicle_ids"), distinct(F.struct("source_file", "vehicle_id")).alias("vehicles"), distinct(F.concat("source_file", F.lit(""))).alias("files"))
 
 
 def segment_summary(segmented: DataFrame, shape: Shape = Shape()) -> DataFrame:

@@ -123,7 +123,7 @@ closing AS (SELECT *, CASE WHEN (evx - ovx) * dir > 0 AND dx / ((evx - ovx) * di
 ORACLES = {
     "canonical_columns": _sql(f"SELECT id, frame, CAST(global_time_ms AS DOUBLE) AS timestamp, {r('x')} AS x, {r('y')} AS y, {r('xVelocity')} AS xVelocity, {r('yVelocity')} AS yVelocity, concat(dataset_name, '_', lpad(regexp_extract(source_file, '[0-9]+'), 2, '0')) AS file_tag FROM tracks WHERE dataset_name = 'corridor_a'", TRACKS),
     "gap_histogram": _sql(f"SELECT source_file, gap, n, CAST(rank AS INTEGER) AS rank, {r('n / samples')} AS share FROM ranked_gaps WHERE rank <= 10", TRACKS, TRACK_STEPS),
-    "rate_from_timestamp": _sql(f"""SELECT source_file, mode_gap, {r('confidence')} AS confidence, round_even(1 / (d / 1000), 2) AS detected_freq_hz, {r('1 / round_even(1 / (d / 1000), 2)')} AS dt_seconds FROM (
+    "rate_from_timestamp": _sql(f"""SELECT source_file, mode_gap, {r('confidence')} AS confidence, round_even(1 / (d / 1000), 2) AS detected_freq_hz, {r('1 / round_even(1 / (d / 1000), 2)')} AS dt_seconds, d <= 0 AS bad_times FROM (
   SELECT m.source_file, any_value(m.mode_gap) AS mode_gap, any_value(m.confidence) AS confidence, quantile_cont(s.dt, 0.5) / any_value(m.mode_gap) AS d FROM mode_gap m JOIN stepped s ON s.source_file = m.source_file AND s.gap = m.mode_gap GROUP BY m.source_file)""", TRACKS, TRACK_STEPS),
     "rate_from_timestamp_only": _sql(f"""SELECT source_file, CAST(-1 AS BIGINT) AS mode_gap, {r('n / samples')} AS confidence, round_even(1 / (ms / CAST(1000 AS DOUBLE)), 2) AS detected_freq_hz, {r('ms / CAST(1000 AS DOUBLE)')} AS dt_seconds FROM (
   SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY n DESC, ms) AS k, sum(n) OVER (PARTITION BY source_file) AS samples FROM (SELECT source_file, CAST(round_even(dt, 0) AS BIGINT) AS ms, count(*) AS n FROM stepped WHERE dt IS NOT NULL GROUP BY ALL)) WHERE k = 1""", TRACKS, TRACK_STEPS),

@@ -129,6 +129,16 @@ def test_rates_by_each_way(spark):
     assert frequency.rate_report(df.drop("timestamp", "x")).first().detected_freq_hz is None
     assert frequency.sampled(df, 1).select("id").distinct().count() == 1
     assert frequency.mode_gaps(df).first().gap_distribution == {1: 158}
+    back = df.withColumn("timestamp", -F.col("timestamp"))
+    flags = [(r.detected_freq_hz, r.bad_times) for d in (df, back, df.withColumn("timestamp", F.lit(None).cast("double"))) for r in frequency.rate_from_timestamp(d).collect()]
+    assert flags == [(10.0, False), (None, True), (None, False)]
+
+
+def test_counts_by_sketches_are_near(spark):
+    index = spark.createDataFrame([("d", f"rec_{i % 3}", i % 50, i) for i in range(900)], "dataset_name string, source_file string, vehicle_id long, start_frame long")
+    exact, near = ({(r.dataset_name, r.source_file): r for r in windows.index_summary(index, a).collect()} for a in (False, True))
+    assert set(exact) == set(near) and len(exact) == 5
+    assert all(abs(near[k].vehicles - r.vehicles) <= 0.2 * r.vehicles and near[k].windows == r.windows for k, r in exact.items())
 
 
 def test_canonical_names(spark):
