@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words (runs of letters) and the first five letters of longer ones, so that a word's endings meet, as
-far as ``least_df`` labelled documents or more and no more than a share ``widest`` of them hold them; all terms of an
-example are indexed, of clean examples too. A term weighs (1 + ln tf) * idf, with document frequencies counted
+far as an indexed example, ``least_df`` labelled documents or more and no more than a share ``widest`` of them hold them;
+all terms of an example are indexed, of clean examples too. A term weighs (1 + ln tf) * idf, with document frequencies counted
 over all documents, times its relevance g / (g + ``doubt``), g being the log-likelihood ratio statistic of the term and
 the label in the training rows: words that tell nothing about the label weigh next to nothing, but no term is dropped for it.
 
@@ -12,8 +12,9 @@ bound reaches the k-th best cosine, so its neighbours are exact. Votes weigh by
 of toxic examples. A logistic curve turns a vote into a calibrated score: it is fitted on a quarter of the labelled rows by
 a model that has neither indexed them nor used them for relevance; the model that scores is then made from all of them.
 
-Labelled rows are a sample of about ``most_labelled``, of which at most ``most_examples`` are indexed, chosen by a hash of
-doc_id: the model's size does not grow with the corpus. All documents are scored from their whole texts.
+Labelled rows are a sample of about ``most_labelled``, of which at most ``most_examples`` are indexed, toxic ones up to half
+of these, and a quarter calibrate, chosen by a hash of doc_id: the model's size does not grow with the corpus. All documents are scored from their
+whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import extended, held_out, sample_order, stored
@@ -188,11 +189,11 @@ _COUNTS = ("bad", "good", "bad_apart", "good_apart")
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """name and toxic and other documents of the words of each batch, those that calibrate apart; columns text, toxic, apart."""
+    """name and toxic and other documents of the terms of each batch, those that calibrate apart, and indexed ones; columns text, toxic, apart, indexed."""
     letters = Letters()
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        toxic, apart = (batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (1, 2))
+        toxic, apart, indexed = (batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (1, 2, 3))
         for i, j in by_size(texts):
             name, text = words(*letters.encode(texts[i:j]))
             order = np.lexsort((text, name))
@@ -202,23 +203,27 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, at = np.unique(name[new], return_inverse=True)
             t, c = toxic[i:j][text[new]], apart[i:j][text[new]]
             count = lambda kind: pa.array(np.bincount(at[kind], minlength=len(names)))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(names), count(t & ~c), count(~t & ~c), count(t & c), count(~t & c)], names=["name", *_COUNTS])
+            yield pa.RecordBatch.from_arrays([pa.array(names), count(t & ~c), count(~t & ~c), count(t & c), count(~t & c), count(indexed[i:j][text[new]])], names=["name", *_COUNTS, "indexed"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_examples: int = 3_000, least_df: int = 2, widest: float = 0.25, **params) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_examples: int = 1_600, least_df: int = 2, widest: float = 0.25, **params) -> ToxicityModel:
     """docs(doc_id, text), labels(doc_id, toxic); rows of labels with a null doc_id or label are left out, of repeated ones the larger counts."""
     spark = docs.sparkSession
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_u", sample_order("doc_id"))
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic")).withColumn("_u", sample_order("doc_id"))
     total = marked.count()
     some = marked.where(F.col("_u") < min(1.0, most_labelled / max(total, 1)))
-    calibrates = (F.xxhash64(F.lit("calibrates"), "doc_id") % 4 == 0).alias("apart")
+    apart = F.xxhash64(F.lit("calibrates"), "doc_id") % 4 == 0
     # About most_labelled rows of 20 bytes: their number is set by that parameter.
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", (F.col("toxic") == 1).alias("toxic"), "_u", calibrates), "labelled")
+    some = stored(some.select("doc_id", "toxic", apart.alias("apart"), F.row_number().over(Window.partitionBy("toxic").orderBy("_u", "doc_id")).alias("place")), "marked")
+    bad = min(some.where("toxic").count(), most_examples // 2)
+    indexed = F.col("place") <= F.when(F.col("toxic"), bad).otherwise(most_examples - bad)
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("indexed", indexed), "labelled")
     sizes = np.array(rows.agg(*[F.count_if(F.expr(c)) for c in ("toxic and not apart", "not toxic and not apart", "toxic and apart", "not toxic and apart")]).first())
-    terms = rows.select("text", "toxic", "apart").mapInArrow(_term_counts, ", ".join(f"{c} long" for c in ("name", *_COUNTS))).groupBy("name").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    counted = rows.select("text", "toxic", "apart", "indexed").mapInArrow(_term_counts, ", ".join(f"{c} long" for c in ("name", *_COUNTS, "indexed")))
     df = sum((F.col(c) for c in _COUNTS), F.lit(0))
-    # Words of the sample's texts: as bounded as the sample is.
-    chosen = terms.where((df >= least_df) & (df <= max(widest * int(sizes.sum()), least_df))).orderBy("name").toPandas()
+    terms = counted.groupBy("name").agg(*[F.sum(c).alias(c) for c in (*_COUNTS, "indexed")])
+    # Terms of the indexed examples: as bounded as these are.
+    chosen = terms.where((F.col("indexed") > 0) & (df >= least_df) & (df <= max(widest * int(sizes.sum()), least_df))).drop("indexed").orderBy("name").toPandas()
     vocabulary = Vocabulary(chosen["name"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(vocabulary)
     v = len(vocabulary.names)
@@ -242,25 +247,40 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = [([], []) for _ in texts]
+            texts = batch.column(0).to_pylist()
+            terms, counts, sizes = [], [], np.zeros(len(texts), dtype=np.int64)
             for i, j in by_size(texts):
-                for x, t, c in zip(*(a.tolist() for a in shared.value.find(texts[i:j]))):
-                    out[i + x][0].append(t)
-                    out[i + x][1].append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "_u", "apart", "terms", "counts"])
-
-    vectored = stored(rows.select("doc_id", "text", "toxic", "_u", "apart").mapInArrow(vectors, "doc_id long, toxic boolean, _u double, apart boolean, terms array<long>, counts array<long>"), "examples")
-    examples = [(r["doc_id"], int(r["toxic"]), np.array(r["terms"], dtype=np.int64), np.array(r["counts"], dtype=np.int64), r["apart"]) for r in vectored.orderBy("_u", "doc_id").limit(most_examples).collect()]
+                text, term, count = shared.value.find(texts[i:j])
+                sizes[i:j] += np.bincount(text, minlength=j - i)
+                terms.append(term)
+                counts.append(count)
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int32))) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], names=["doc_id", "toxic", "apart", "indexed", "place", "terms", "counts"])
+
+    wanted = rows.where("indexed or apart").select("text", "doc_id", "toxic", "apart", "indexed", "place")
+    table = stored(wanted.mapInArrow(vectors, "doc_id long, toxic boolean, apart boolean, indexed boolean, place int, terms array<int>, counts array<int>"), "examples")
+    table = table.orderBy("toxic", "place", "doc_id").toArrow().combine_chunks()
+    lists = [zip(*(_cut(table.column(c).combine_chunks()) for c in ("terms", "counts")))]
+    examples = [(i, int(t), *x, a, k) for i, t, a, k, x in zip(*(table.column(c).to_pylist() for c in ("doc_id", "toxic", "apart", "indexed")), *lists)]
+    held = [e for e in examples if e[5]]
+    model = ToxicityModel.build(vocabulary, idf * whole, held, **params)
     check = [e for e in examples if e[4]]
-    model = ToxicityModel.build(vocabulary, idf * whole, examples, **params)
     if any(e[1] for e in check) and not all(e[1] for e in check):
-        without = ToxicityModel.build(vocabulary, idf * part, [e for e in examples if not e[4]], **params)
+        without = ToxicityModel.build(vocabulary, idf * part, [e for e in held if not e[4]], **params)
         votes = np.array([without.vote(e[2], e[3])[0] for e in check])
         model.slope, model.offset = logistic_fit(_logit(votes), np.array([e[1] for e in check], dtype=float))
     return model
 
 
+def _cut(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays of 64-bit numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    flat, ends = column.values.to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", least: float = 0.3) -> DataFrame:
     """docs with score, predicted and evidence (ids of the nearest examples) added in place of columns of those names; one pass, no shuffle.
 

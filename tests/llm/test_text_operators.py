@@ -510,6 +510,7 @@ def test_toxicity_against_brute_force(spark):
     df = Counter(w for b in bags.values() for w in b)
     inside = Counter(w for i in label for w in bags[i])
     terms = {w for w, n in inside.items() if 2 <= n <= 0.25 * len(label)}
+    assert len(label) < 1_600  # all are indexed
 
     def model(ids):
         bad = [i for i in ids if label[i] == 1]
