@@ -268,9 +268,12 @@ def read_ranges(spark: SparkSession, path: str, found: DataFrame, bytes_per_task
     """Records at found(archive, offset, length): page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Each archive that found names is opened once by the task that has its ranges, and only these are read, in order.
-    Opening is by pyarrow's file systems (local, HDFS, S3, GCS, Azure), so path must be in one of these stores.
+    Opening is by pyarrow's file systems (local, HDFS, S3, GCS, Azure); where path is in a store that only Spark can read,
+    the archives that found names are read whole.
     """
     found = stored(found.select("archive", "offset", "length"), "found")
+    if not _opens(path):
+        return _read_whole(spark, path, found)
     tasks = -(-(found.agg(F.sum("length")).first()[0] or 0) // bytes_per_task) or 1
     tasks = max(tasks, spark.sparkContext.defaultParallelism)
 
@@ -283,8 +286,7 @@ def read_ranges(spark: SparkSession, path: str, found: DataFrame, bytes_per_task
                 file.seek(run[0][0])
                 data = memoryview(file.read(sum(run[-1]) - run[0][0]))
                 rows += [read_record(zlib.decompress(data[at - run[0][0] : at - run[0][0] + n], 31)) for at, n in run]
-            page, _, size, digest, kind, refers = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(kind), pa.array(refers, pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            return _batch(rows)
 
         for batch in batches:
             for archive, at, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -299,7 +301,37 @@ def read_ranges(spark: SparkSession, path: str, found: DataFrame, bytes_per_task
             yield out()
 
     ordered = found.repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
-    return ordered.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return ordered.mapInArrow(read, _RECORD)
+
+
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _batch(records: list[tuple]) -> pa.RecordBatch:
+    page, _, size, digest, kind, refers = zip(*records)
+    columns = [pa.array(page, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(kind), pa.array(refers, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+def _opens(path: str) -> bool:
+    try:
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        return fs.get_file_info(base).type == pyarrow.fs.FileType.Directory
+    except (OSError, ValueError, NotImplementedError, ImportError):  # no such store, or its client library is not here
+        return False
+
+
+def _read_whole(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
+    """read_ranges() by Spark's own reader, which reads a file whole; archives that found does not name are dropped at once."""
+    per_archive = found.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+
+    def read(batches):
+        for batch in batches:
+            for content, ranges in zip(batch.column(0), batch.column(1).to_pylist()):
+                view = memoryview(content.as_buffer())
+                yield _batch([read_record(zlib.decompress(view[r["offset"] : r["offset"] + r["length"]], 31)) for r in ranges])
+
+    return archives(spark, path).join(per_archive, "archive").select("content", "ranges").mapInArrow(read, _RECORD)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

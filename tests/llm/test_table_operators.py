@@ -239,6 +239,14 @@ def test_look_up_reads_ranges_of_few_archives(spark, monkeypatch):
     assert warc.surt("https://www.Example.com:8080/a?b") == "com,example,www:8080)/a?b"
 
 
+def test_archives_in_a_store_that_only_spark_reads(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = sorted(map(tuple, warc.archive_pages(pages).collect()))
+    assert not warc._opens("viewfs://store/x") and not warc._opens("/no/such/folder")
+    monkeypatch.setattr(warc, "_opens", lambda path: False)
+    assert sorted(map(tuple, warc.archive_pages(pages).collect())) == want
+
+
 def test_records_are_told_apart(spark):
     root = scratch(spark, "warc-test")
     rows = [(1, "http://a", "same " * 40), (1, "http://a", "same " * 40), (2, "http://b", "same " * 40)]
