@@ -1,6 +1,7 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are quantised to int8 first: what is dealt into blocks and shuffled is a byte a component, a scale and the length of
+Of equal vectors, only the few of the smallest ids can be among a query's nearest, and the others are left out first, so
+that a vector that a third of all rows hold costs what one costs. Vectors are quantised to int8 first: what is dealt into blocks and shuffled is a byte a component, a scale and the length of
 what rounding leaves. Queries and candidates form blocks; each pair of blocks is one tile. In a tile, int8 products give
 cosines with a bound on their error; a pair survives if its upper bound reaches the query's k-th best lower bound. A heap
 per query merges the tiles' survivors, first within salted parts of a query's rows and then over all, and drops those below
@@ -12,13 +13,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, without
 from .vectors import dot, lists_to_rows, running_dot, scaled, usable
 
 #: Components whose int8 products a float32 adds exactly.
@@ -51,22 +53,35 @@ def bounds(q: Quantised, c: Quantised) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_steps(vectors: DataFrame) -> DataFrame:
-    """vectors(vec_id, v, is_query), v usable -> dim, vec_id, is_query, v, steps (binary), scale, error; no shuffle."""
+    """vectors(vec_id, v, is_query), v usable -> dim, vec_id, is_query, v, steps (binary), scale, error, digest; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = lists_to_rows(batch.column(1), np.float64)
             dims = np.array([len(r) for r in rows], dtype=np.int32)
             steps, scale, error = [b""] * len(rows), np.zeros(len(rows)), np.zeros(len(rows))
+            digests = [blake2b(r.tobytes(), digest_size=16).digest() for r in rows]
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 q = Quantised.of(np.stack([rows[i] for i in at]))
                 scale[at], error[at] = q.scale, q.error
                 for i, s in zip(at, q.steps):
                     steps[i] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(dims), *batch.select(["vec_id", "is_query", "v"]).columns, pa.array(steps, pa.binary()), pa.array(scale), pa.array(error)], names=["dim", "vec_id", "is_query", "v", "steps", "scale", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array(dims), *batch.select(["vec_id", "is_query", "v"]).columns, pa.array(steps, pa.binary()), pa.array(scale), pa.array(error), pa.array(digests, pa.binary())], names=["dim", "vec_id", "is_query", "v", "steps", "scale", "error", "digest"])
 
-    return vectors.select("vec_id", "v", "is_query").mapInArrow(run, "dim int, vec_id long, is_query boolean, v array<double>, steps binary, scale double, error double")
+    return vectors.select("vec_id", "v", "is_query").mapInArrow(run, "dim int, vec_id long, is_query boolean, v array<double>, steps binary, scale double, error double, digest binary")
+
+
+def beyond_the_first(rows: DataFrame, k: int) -> DataFrame:
+    """copy of rows(digest, vec_id, copy) that are nobody's k nearest, as equal vectors of smaller ids go before them.
+
+    A query leaves out its own id, so k + 1 ids of a vector stay, and of each id k rows.
+    """
+    by_id = Window.partitionBy("digest").orderBy("vec_id")
+    of_id = Window.partitionBy("digest", "vec_id").orderBy("copy")
+    kept = rows.select("digest", "vec_id", "copy").withColumn("n", F.row_number().over(of_id)).where(F.col("n") <= k)
+    kept = kept.withColumn("r", F.dense_rank().over(by_id)).where(F.col("r") <= k + 1).select("copy")
+    return rows.select("copy").join(kept, "copy", "left_anti")
 
 
 class Tile:
@@ -159,13 +174,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int =
     """
     rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", scaled("embedding").alias("v"), is_query.alias("is_query"))
     rows = stored(with_steps(rows).withColumn("copy", F.monotonically_increasing_id()), "vectors")
+    near = without(rows, stored(beyond_the_first(rows, k), "copies"), ["copy"])
     n, m = rows.agg(F.count("*"), F.count_if("is_query")).first()
     blocks, query_blocks = -(-n // block) or 1, -(-m // query_block) or 1
     spread = lambda column, number: F.pmod(F.xxhash64(column), F.lit(number)).cast("int")
     every = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
     asked = stored(rows.where("is_query").groupBy("dim", "vec_id").agg(F.min(F.struct("v", "steps", "scale", "error")).alias("q")).select("dim", "vec_id", "q.*"), "queries")
     queries = asked.select("dim", spread("vec_id", query_blocks).alias("qb"), every(blocks).alias("cb"), F.lit(0).alias("role"), "vec_id", F.lit(-1).cast("long").alias("copy"), "steps", "scale", "error")
-    candidates = rows.select("dim", every(query_blocks).alias("qb"), spread("copy", blocks).alias("cb"), F.lit(1).alias("role"), "vec_id", "copy", "steps", "scale", "error")
+    candidates = near.select("dim", every(query_blocks).alias("qb"), spread("copy", blocks).alias("cb"), F.lit(1).alias("role"), "vec_id", "copy", "steps", "scale", "error")
     tiles = queries.unionByName(candidates).repartition("dim", "qb", "cb").sortWithinPartitions("dim", "qb", "cb", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

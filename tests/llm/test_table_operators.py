@@ -172,6 +172,22 @@ def test_nearest_neighbours_are_exact(spark):
     assert ann.search_embeddings(df.limit(0)).count() == 0
 
 
+def test_equal_vectors_and_repeated_ids(spark):
+    """Against brute force over rows, where each row is a candidate and a query's id leaves out all rows of it."""
+    rng = np.random.default_rng(15)
+    same, other = rng.normal(size=8).tolist(), rng.normal(size=8).tolist()
+    rows = [(i, same) for i in range(40, 160)] + [(50, same)] * 9 + [(41, same)] * 4 + [(i, other) for i in range(300, 310)] + [(301, other)] * 7 + [(400 + i, rng.normal(size=8).tolist()) for i in range(30)] + [(300, same)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search_embeddings(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    queries = {i: min(v for j, v in rows if j == i) for i, _ in rows if i % 50 == 0}
+    assert set(got) == set(queries)
+    for q, v in queries.items():
+        want = sorted((-round(cosine(v, x), 12), i) for i, x in rows if i != q)[:5]
+        assert [(-round(s, 12), i) for _, i, s in sorted(got[q])] == want
+
+
 def test_tile_bounds_hold_in_any_dimension():
     rng = np.random.default_rng(4)
     for d in (1, 3, 64, 1024, 5000):
