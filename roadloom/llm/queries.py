@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, langid, lattice, mixing, packing, secrets, simhash, toxicity, warc
+from . import ann, centroids, chat, hardneg, langid, lattice, mixing, packing, quality, secrets, simhash, toxicity, warc
 
 
 def _table(name: str, columns: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": lambda s, d: secrets.scan_documents(_documents(s, d)),
     "op9_toxicity": lambda s, d: toxicity.score_documents(_documents(s, d), _labels(s, d)),
     "op10_warc": lambda s, d: warc.archive_pages(_table("pages", "page_id url html")(s, d)),
+    "op11_hard_negatives": lambda s, d: hardneg.mine_embeddings(_table("embeddings", "vec_id embedding label")(s, d)),
+    "op12_centroids": lambda s, d: centroids.cluster(_embeddings(s, d)),
+    "op13_quality_rules": lambda s, d: quality.assess(_documents(s, d)),
 }
 
 ORACLES: dict[str, str] = {}
@@ -76,3 +79,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
+
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_PRODUCT = "CAST(list_sum(list_transform(range(1, len({a}.v) + 1), lambda i: {a}.v[i] * {b}.v[i])) AS BIGINT)"
+
+ORACLES["op11_hard_negatives"] = f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE.format(factor=256)} AS v FROM embeddings WHERE label IS NOT NULL AND {_FINE}),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_PRODUCT.format(a='a', b='b')} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5),
+ranked AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5"""
+
+
+def _rounds(k: int, rounds: int, dims: int) -> str:
+    """Each round as SQL of its own: the nearest centroid by rank, and sums of components one by one."""
+    far = "CAST(list_sum(list_transform(range(1, {0}), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i]))) AS BIGINT)".format(dims + 1)
+    out = [f"""e AS MATERIALIZED (SELECT vec_id, {_WHOLE.format(factor=1024)} AS v FROM embeddings WHERE {_FINE} AND len(embedding) = {dims})""",
+           f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, v FROM (SELECT sha256(concat('3:', vec_id)) AS h, v FROM e ORDER BY h LIMIT {k}))"]
+    for t in range(rounds + 1):
+        out.append(f"a{t} AS MATERIALIZED (SELECT vec_id, v, c, d FROM (SELECT e.vec_id, e.v, c.c, {far} AS d, row_number() OVER (PARTITION BY e.vec_id ORDER BY {far}, c.c) AS k FROM e CROSS JOIN c{t} c) WHERE k = 1)")
+        if t < rounds:
+            out.append(f"""s{t} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t}) GROUP BY c, i),
+m{t} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{t} GROUP BY c),
+c{t + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{t} o LEFT JOIN m{t} m USING (c))""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_centroids"] = f"""WITH {_rounds(8, 10, 64)},
+inside AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a10 GROUP BY c)
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, i.cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a10) AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+FROM a10 a JOIN inside i ON i.c = a.c JOIN c10 ON c10.c = a.c"""
