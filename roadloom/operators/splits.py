@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
+#: A window's first and last time on the clock by which it was split.
+CLOCK = ("clock_start_sec", "clock_end_sec")
 
 
 def labelled(index: DataFrame, train: float = 0.7, val: float = 0.1, gap_s: float = 8.0, time_basis: str = "track") -> DataFrame:
     """index with split: train, val, test, or gap where a window comes within gap_s / 2 of a cut.
 
+    clock_start_sec and clock_end_sec hold the window's times on the clock that decided, for split_overlap() to check.
     time_basis 'track' takes a window's times within its vehicle's track; 'recording' places the window by anchor_time_sec,
     which window_index(anchor=True) gives: its history's end on the recording's clock. A recording of no length is all train.
     """
     if time_basis not in ("track", "recording"):
         raise ValueError(f"no time basis {time_basis}")
-    start, end = ("start_time_sec", "end_time_sec") if time_basis == "track" else ("_start", "_end")
+    start, end = CLOCK
     if time_basis == "recording":
         index = with_recording_times(index, start, end)
+    else:
+        index = index.withColumns({start: F.col("start_time_sec"), end: F.col("end_time_sec")})
     bounds = index.groupBy("source_file").agg(F.min(start).alias("_first"), F.max(end).alias("_last"))
     rows = index.join(bounds, "source_file")
     total, half = F.col("_last") - F.col("_first"), gap_s / 2
@@ -26,7 +31,7 @@ def labelled(index: DataFrame, train: float = 0.7, val: float = 0.1, gap_s: floa
     center = (F.col(start) + F.col(end)) / 2
     near = lambda cut: (F.col(start) < cut + half) & (F.col(end) > cut - half)
     split = F.when(total <= 0, "train").when(near(cut1) | near(cut2), "gap").when(center > cut2 + half, "test").when((center > cut1 + half) & (center <= cut2 - half), "val").otherwise("train")
-    return rows.withColumn("split", split).drop("_first", "_last", "_start", "_end")
+    return rows.withColumn("split", split).drop("_first", "_last")
 
 
 def with_recording_times(index: DataFrame, start: str = "start_time_sec", end: str = "end_time_sec") -> DataFrame:
@@ -50,18 +55,23 @@ def split_summary(kept: DataFrame, index: DataFrame) -> DataFrame:
     return both.select("*", (F.col("windows") - F.col("kept")).alias("dead_zone"), *[F.try_divide(F.col(s), F.col("kept")).alias(f"{s}_share") for s in SPLITS])
 
 
-def split_overlap(split: DataFrame) -> DataFrame:
+def split_overlap(split: DataFrame, slab_s: float = 600.0) -> DataFrame:
     """Per recording and split: distinct intervals, those that overlap another split's in time, and window ids in several splits.
 
-    Exact: intervals and the moments at which they end are swept in order of time, with the farthest end so far of each split.
+    Times are those of the clock that the split was made by, where it carries them, else the tracks' own. Exact: intervals
+    and the moments at which they end are swept in order of time, with the farthest end so far of each split. That end is
+    found within slabs of slab_s seconds and, over the slabs before, from one row per slab, so no recording is one task.
     """
-    spans = split.select("source_file", "split", F.col("start_time_sec").alias("s"), F.col("end_time_sec").alias("e")).distinct()
-    opens = spans.select("source_file", F.col("s").alias("t"), F.lit(1).alias("opens"), "split", "s", "e")
-    asks = spans.select("source_file", F.col("e").alias("t"), F.lit(0).alias("opens"), "split", "s", "e")
+    start, end = CLOCK if CLOCK[0] in split.columns else ("start_time_sec", "end_time_sec")
+    spans = split.select("source_file", "split", F.col(start).alias("s"), F.col(end).alias("e")).distinct()
     # An interval overlaps another if that one opens before it ends and ends after it starts; at one moment, questions come first.
-    sweep = Window.partitionBy("source_file").orderBy("t", "opens").rowsBetween(Window.unboundedPreceding, 0)
-    far = {x: F.max(F.when((F.col("opens") == 1) & (F.col("split") == x), F.col("e"))).over(sweep) for x in SPLITS}
-    swept = opens.unionByName(asks).withColumns({f"_{x}": v for x, v in far.items()})
+    moments = F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("opens")), F.struct(F.col("e").alias("t"), F.lit(0).alias("opens"))))
+    events = spans.select("source_file", "split", "s", "e", moments.alias("m")).select("source_file", "split", "s", "e", "m.t", "m.opens").withColumn("slab", F.floor(F.col("t") / slab_s))
+    ends = {x: F.when((F.col("opens") == 1) & (F.col("split") == x), F.col("e")) for x in SPLITS}
+    earlier = Window.partitionBy("source_file").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    slabs = events.groupBy("source_file", "slab").agg(*[F.max(v).alias(f"_{x}") for x, v in ends.items()]).select("source_file", "slab", *[F.max(f"_{x}").over(earlier).alias(f"_before_{x}") for x in SPLITS])
+    within = Window.partitionBy("source_file", "slab").orderBy("t", "opens").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.join(slabs, ["source_file", "slab"]).withColumns({f"_{x}": F.greatest(F.max(v).over(within), f"_before_{x}") for x, v in ends.items()})
     hit = F.lit(False)
     for x in SPLITS:
         hit = hit | ((F.col("split") != x) & F.coalesce(F.col(f"_{x}") > F.col("s"), F.lit(False)))

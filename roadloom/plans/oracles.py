@@ -128,7 +128,7 @@ ORACLES = {
     "rate_from_timestamp_only": _sql(f"""SELECT source_file, CAST(-1 AS BIGINT) AS mode_gap, {r('n / samples')} AS confidence, round_even(1 / (ms / CAST(1000 AS DOUBLE)), 2) AS detected_freq_hz, {r('ms / CAST(1000 AS DOUBLE)')} AS dt_seconds FROM (
   SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY n DESC, ms) AS k, sum(n) OVER (PARTITION BY source_file) AS samples FROM (SELECT source_file, CAST(round_even(dt, 0) AS BIGINT) AS ms, count(*) AS n FROM stepped WHERE dt IS NOT NULL GROUP BY ALL)) WHERE k = 1""", TRACKS, TRACK_STEPS),
     "rate_from_velocity": _sql(f"SELECT source_file, freq_hz AS detected_freq_hz, {r('residual')} AS residual, {r('greatest(least(1 - residual / greatest(second, CAST(0.00000001 AS DOUBLE)), 1), 0)')} AS confidence, samples, samples < 100 AS too_few FROM ordered WHERE k = 1", TRACKS, TRACK_STEPS, _VELOCITY),
-    "rate_report": _sql(f"SELECT source_file, 'velocity_consistency' AS method, freq_hz AS detected_freq_hz, {r('1 - residual / second')} AS confidence, 1 - residual / second < CAST(0.8 AS DOUBLE) AS low_confidence, CASE WHEN abs(freq_hz - 10) < CAST(0.5 AS DOUBLE) THEN CAST(10 AS DOUBLE) WHEN abs(freq_hz - 25) < CAST(0.5 AS DOUBLE) THEN CAST(25 AS DOUBLE) END AS known_freq_hz FROM ordered WHERE k = 1", TRACKS, TRACK_STEPS, _VELOCITY),
+    "rate_report": _sql(f"SELECT source_file, 'velocity_consistency' AS method, freq_hz AS detected_freq_hz, {r('1 - residual / second')} AS confidence, 1 - residual / second < CAST(0.8 AS DOUBLE) AS low_confidence, CASE WHEN abs(freq_hz - 10) < CAST(0.5 AS DOUBLE) THEN CAST(10 AS DOUBLE) WHEN abs(freq_hz - 25) < CAST(0.5 AS DOUBLE) THEN CAST(25 AS DOUBLE) END AS known_freq_hz, mode_gap FROM ordered JOIN mode_gap USING (source_file) WHERE k = 1", TRACKS, TRACK_STEPS, _VELOCITY),
     "track_quality": _sql("SELECT source_file, reason, count(*) AS tracks FROM (SELECT source_file, id, CASE WHEN count(*) < 3 THEN 'too_short' WHEN count(x) < count(*) OR count(y) < count(*) THEN 'not_finite' WHEN min(x) = max(x) OR min(y) = max(y) THEN 'constant' WHEN max(abs(x)) > 1e10 OR max(abs(y)) > 1e10 THEN 'too_far' ELSE 'processed' END AS reason FROM tracks GROUP BY source_file, id) GROUP BY ALL", TRACKS),
     "smooth_positions": _sql(f"SELECT source_file, id, frame, {r('x_smooth')} AS x_smooth, {r('y_smooth')} AS y_smooth FROM smoothed", TRACKS, NUMBERED, SMOOTHED),
     "smoothing_report": _sql("SELECT source_file, vehicles, " + ", ".join(f"{r(a, 4)} AS {b}" for a, b in [("vb", "vx_std_before"), ("va", "vx_std_after"), ("wb", "vy_std_before"), ("wa", "vy_std_after"), ("ab", "ax_std_before"), ("aa", "ax_std_after"), ("bb", "ay_std_before"), ("ba", "ay_std_after"), ("rvx", "vx_reduction"), ("rvy", "vy_reduction"), ("rax", "ax_reduction"), ("ray", "ay_reduction"), ("(rvx + rvy + rax + ray) / 4", "mean_reduction"), ("(rvx + rvy) / 2", "pipeline_reduction")]) + ", CASE WHEN (rvx + rvy + rax + ray) / 4 < CAST(0.05 AS DOUBLE) THEN 'weak' WHEN (rvx + rvy + rax + ray) / 4 > CAST(0.5 AS DOUBLE) THEN 'strong' ELSE 'ok' END AS effect, 5 AS window_length FROM cutback", TRACKS, NUMBERED, SMOOTHED, _SPREADS),
@@ -181,3 +181,39 @@ ORACLES["raw_recordings"] = _sql(f"""SELECT source_file, id, frame, CASE WHEN {_
 ORACLES["detected_recordings"] = _from_win("SELECT source_file, CAST(10 AS DOUBLE) AS source_freq_hz, count(*) AS windows, CAST(sum(start_frame) AS BIGINT) AS starts FROM win GROUP BY source_file")
 ORACLES["recording_report"] = _sql("""SELECT source_file, 'partial' AS status, count(*) AS good_rows, count_if(frame % 100 = 0) + count_if(frame % 150 = 0) AS bad_rows, count_if(frame % 100 = 0) AS bad_x, count_if(frame % 150 = 0) AS bad_fields FROM tracks GROUP BY source_file
   UNION ALL SELECT 'rec_lost', 'missing', 0, 0, 0, 0""", TRACKS)
+
+#: Evidence by recording, in turn: all, velocities, speeds, neither, times alone.
+_KIND = "CAST(regexp_extract(source_file, '[0-9]+') AS INTEGER) % 5"
+_EVIDENCE = f"""spoken AS (SELECT *, {_KIND} AS kind, sqrt(xVelocity * xVelocity + yVelocity * yVelocity) AS pace FROM tracks),
+paced AS (SELECT source_file, kind, frame - lag(frame) OVER t AS gap, x - lag(x) OVER t AS dx, CASE kind WHEN 2 THEN (pace + lag(pace) OVER t) / 2 ELSE (xVelocity + lag(xVelocity) OVER t) / 2 END AS v FROM spoken WINDOW t AS ({BY} ORDER BY frame)),
+tried2 AS (SELECT s.source_file, f.freq_hz, s.dx * f.freq_hz / m.mode_gap / s.v AS ratio FROM paced s JOIN mode_gap m ON m.source_file = s.source_file AND m.mode_gap = s.gap
+  CROSS JOIN (SELECT CAST(unnest([10, 25, 30, 50]) AS DOUBLE) AS freq_hz) f WHERE abs(s.v) > 1 AND s.kind IN (1, 2)),
+fits2 AS (SELECT source_file, freq_hz, quantile_cont(abs(ln(abs(ratio) + CAST(0.00000001 AS DOUBLE))), 0.5) AS residual FROM tried2 GROUP BY ALL),
+by_v AS (SELECT a.source_file, a.freq_hz AS hz, 1 - a.residual / min(b.residual) AS sure FROM fits2 a JOIN fits2 b ON b.source_file = a.source_file AND b.freq_hz <> a.freq_hz GROUP BY a.source_file, a.freq_hz, a.residual HAVING a.residual <= min(b.residual)),
+by_t AS (SELECT s.source_file, round_even(1 / (quantile_cont(s.dt, 0.5) / any_value(m.mode_gap) / 1000), 2) AS hz, any_value(m.confidence) AS sure FROM stepped s JOIN mode_gap m ON m.source_file = s.source_file AND m.mode_gap = s.gap GROUP BY s.source_file),
+by_ms AS (SELECT source_file, round_even(1 / (dt / 1000), 2) AS hz, n / total AS sure FROM (SELECT source_file, dt, count(*) AS n, sum(count(*)) OVER (PARTITION BY source_file) AS total, row_number() OVER (PARTITION BY source_file ORDER BY count(*) DESC, dt) AS k FROM stepped WHERE dt IS NOT NULL GROUP BY source_file, dt) WHERE k = 1),
+told AS (SELECT m.source_file, m.kind, CASE m.kind WHEN 0 THEN t.hz WHEN 4 THEN ms.hz WHEN 3 THEN NULL ELSE v.hz END AS hz, CASE m.kind WHEN 0 THEN t.sure WHEN 4 THEN ms.sure WHEN 3 THEN m.confidence ELSE v.sure END AS sure, m.mode_gap
+  FROM (SELECT *, {_KIND} AS kind FROM mode_gap) m LEFT JOIN by_t t USING (source_file) LEFT JOIN by_ms ms USING (source_file) LEFT JOIN by_v v USING (source_file))"""
+_KNOWN = "CASE WHEN abs(hz - 10) < CAST(0.5 AS DOUBLE) THEN CAST(10 AS DOUBLE) WHEN abs(hz - 25) < CAST(0.5 AS DOUBLE) THEN CAST(25 AS DOUBLE) END"
+ORACLES["rate_evidence"] = _sql(f"""SELECT source_file, CASE WHEN kind IN (0, 4) THEN 'timestamp_column' WHEN kind = 3 THEN 'frame_column' ELSE 'velocity_consistency' END AS method, hz AS detected_freq_hz, {r('sure')} AS confidence,
+  hz IS NULL OR sure < CAST(0.8 AS DOUBLE) AS low_confidence, {_KNOWN} AS known_freq_hz, CASE WHEN kind = 4 THEN CAST(-1 AS BIGINT) ELSE mode_gap END AS mode_gap FROM told""", TRACKS, TRACK_STEPS, _EVIDENCE)
+ORACLES["rate_report_of_sample"] = _sql("SELECT source_file, freq_hz AS detected_freq_hz, 1 - residual / second < CAST(0.8 AS DOUBLE) AS low_confidence, mode_gap, (SELECT least(3, count(DISTINCT t.id)) FROM tracks t WHERE t.source_file = ordered.source_file) AS vehicles FROM ordered JOIN mode_gap USING (source_file) WHERE k = 1", TRACKS, TRACK_STEPS, _VELOCITY)
+#: A least-squares parabola by orthogonal polynomials 1, s, s^2 - s2 / m over the places s = -h .. h of m rows.
+_AT_RATES = f"""given AS (SELECT *, [10, 25, 30, 50][CAST(regexp_extract(source_file, '[0-9]+') AS INTEGER) % 4 + 1] AS hz FROM tracks),
+numbered AS (SELECT *, row_number() OVER ({BY} ORDER BY frame) - 1 AS p, count(*) OVER ({BY}) AS n, CASE hz WHEN 10 THEN 5 WHEN 50 THEN 15 ELSE 9 END AS m, CAST(hz / 5 AS INTEGER) AS step FROM given),
+cut AS (SELECT *, least(greatest(p, m // 2), n - 1 - m // 2) AS c FROM numbered WHERE p % step = 0),
+sums AS (SELECT m, CAST(sum(s * s) AS DOUBLE) AS s2, CAST(sum(s * s * s * s) AS DOUBLE) AS s4 FROM (SELECT m, unnest(range(-(m // 2), m // 2 + 1)) AS s FROM (VALUES (5), (9), (15)) v(m)) GROUP BY m),
+fitted AS (SELECT a.source_file, a.id, a.frame, sum(b.x * w) AS x_smooth, sum(b.y * w) AS y_smooth FROM (
+  SELECT a.source_file, a.id, a.frame, a.c + i.s AS at, 1 / CAST(a.m AS DOUBLE) + (a.p - a.c) * i.s / q.s2 + ((a.p - a.c) * (a.p - a.c) - q.s2 / a.m) * (i.s * i.s - q.s2 / a.m) / (q.s4 - q.s2 * q.s2 / a.m) AS w
+  FROM cut a JOIN sums q ON q.m = a.m JOIN range(-7, 8) i(s) ON abs(i.s) <= a.m // 2) a
+  JOIN numbered b ON b.source_file = a.source_file AND b.id = a.id AND b.p = a.at GROUP BY ALL),
+down AS (SELECT c.* EXCLUDE (p, n, m, c), CAST(c.p // c.step AS BIGINT) AS pos, f.x_smooth, f.y_smooth FROM cut c JOIN fitted f USING (source_file, id, frame))"""
+ORACLES["many_rates"] = _sql(f"SELECT source_file, id, frame, pos, {r('x_smooth')} AS x_smooth, {r('y_smooth')} AS y_smooth, {r('vx_recomputed')} AS vx_recomputed, {r('ax_recomputed')} AS xAcceleration, segment_id, CAST(hz AS DOUBLE) AS source_freq_hz FROM seg", TRACKS, _AT_RATES, KIN, SEG)
+ORACLES["unfit_recordings"] = _sql("""SELECT source_file, CAST([10, 7, 1000, NULL, 25][k + 1] AS DOUBLE) AS source_freq_hz, CAST([2, NULL, NULL, NULL, 5][k + 1] AS INTEGER) AS step, CAST([5, NULL, NULL, NULL, 9][k + 1] AS INTEGER) AS length,
+  [NULL, 'no_whole_step', 'window_too_long', 'no_rate', NULL][k + 1] AS problem FROM (SELECT DISTINCT source_file, CAST(regexp_extract(source_file, '[0-9]+') AS INTEGER) % 5 AS k FROM tracks)""", TRACKS)
+_PLANTED_CLOCK = _PLANTED.replace("'val', start_time_sec, end_time_sec FROM kept WHERE split = 'train' AND start_frame % 50 = 0", "'train', start_time_sec, end_time_sec FROM kept WHERE split = 'test' AND anchor_frame % 40 = 0")
+ORACLES["split_overlap_by_recording"] = _from_win("SELECT h.source_file, h.split, intervals, overlapping, coalesce(shared_ids, 0) AS shared_ids FROM hits h LEFT JOIN ids i ON i.source_file = h.source_file AND i.split = h.split", _CLOCK, SPLIT.replace("FROM win", "FROM clocked"), _PLANTED_CLOCK)
+_FAMILIES = """given AS (SELECT concat('rec_', s_suppkey) AS prefix, concat('site_', s_nationkey) AS dataset_name, CAST(s_suppkey % 5 * 5 + 5 AS DOUBLE) AS source_freq_hz FROM supplier UNION ALL SELECT 'rec', 'other', CAST(10 AS DOUBLE)),
+counted AS (SELECT source_file, count(*) + count_if(frame % 100 = 0) + count_if(frame % 150 = 0) AS rows FROM tracks GROUP BY source_file),
+matched AS (SELECT c.source_file, c.rows, g.dataset_name, g.source_freq_hz, row_number() OVER (PARTITION BY c.source_file ORDER BY length(g.prefix) DESC) AS k FROM counted c JOIN given g ON starts_with(c.source_file, g.prefix))"""
+ORACLES["tagged_recordings"] = _sql("SELECT source_file, dataset_name, source_freq_hz, rows FROM matched WHERE k = 1", TRACKS, _FAMILIES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, frequency, neighbors, resample, samples, smoothing, splits, windows
@@ -12,7 +12,7 @@ from ..sources import recordings
 from ..sources.canonical import canonical, of_dataset
 from ..sources.track_view import track_view
 from .oracles import ORACLES
-from .workloads import features_to_samples, processed_recordings, processed_tracks, windows_to_features
+from .workloads import features_to_samples, processed_recordings, processed_tracks, recording_rates, split_windows, windows_to_features
 
 HZ = 10.0
 __all__ = ["ORACLES", "QUERIES"]
@@ -136,6 +136,14 @@ def split_overlap(spark, sf):
     return splits.split_overlap(kept.unionByName(planted))
 
 
+def split_overlap_by_recording(spark, sf):
+    """A split along the recordings' clock, checked on that clock, with windows planted that leak on it."""
+    index = windows.window_index(_processed(spark, sf), HZ, anchor=True)
+    kept = split_windows(index, time_basis="recording")
+    planted = kept.where("split = 'test' and anchor_frame % 40 = 0").withColumn("split", F.lit("train"))
+    return splits.split_overlap(kept.unionByName(planted), slab_s=30.0)
+
+
 def _states(df: DataFrame, array: str, *keys: str) -> DataFrame:
     long = df.select(*keys, F.posexplode(array).alias("t", "s"))
     return long.select(*keys, F.col("t").cast("long").alias("t"), *[F.get("s", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))])
@@ -274,15 +282,64 @@ def raw_recordings(spark, sf):
 
 
 def detected_recordings(spark, sf):
-    """As raw_recordings, with rates detected from the rows: how many windows each recording gives."""
+    """As raw_recordings, with each recording's rate told from its own rows: times in some files, velocities in others."""
     path = recordings.work_folder(spark, "raw")
     _raw_files(spark, sf, path)
-    raw = recordings.good_rows(recordings.read_raw(spark, [path], name=r"source_file=([^/]+)")).drop("timestamp")
-    made = processed_recordings(raw.withColumn("xVelocity", F.coalesce("xVelocity", "speed"))).withColumn("dataset_name", F.lit("all"))
+    raw = recordings.good_rows(recordings.read_raw(spark, [path], name=r"source_file=([^/]+)"))
+    made = processed_recordings(raw).withColumn("dataset_name", F.lit("all"))
     index = windows.window_index(made, "source_freq_hz")
     return index.groupBy("source_file", "source_freq_hz").agg(F.count("*").alias("windows"), F.sum("start_frame").alias("starts"))
 
 
+def _number() -> Column:
+    return F.regexp_extract("source_file", r"(\d+)", 1).cast("int")
+
+
+def rate_evidence(spark, sf):
+    """Rates of recordings that differ in what they hold: frames and times, velocities, speeds, neither, or times alone."""
+    kind = F.pmod(_number(), F.lit(5))
+    rows = canonical(track_view(spark, sf)).withColumn("speed", F.when(kind == 2, F.sqrt(F.col("xVelocity") * F.col("xVelocity") + F.col("yVelocity") * F.col("yVelocity"))))
+    rows = rows.withColumns({"timestamp": F.when(kind.isin(0, 4), F.col("timestamp")), "xVelocity": F.when(kind.isin(0, 1), F.col("xVelocity")), "frame": F.when(kind != 4, F.col("frame"))})
+    return _rounded(frequency.rate_report(rows))
+
+
+def rate_report_of_sample(spark, sf):
+    """As rate_report, from three vehicles of each recording, and which these are."""
+    rows = canonical(track_view(spark, sf).drop("global_time_ms"))
+    some = frequency.sampled(rows, 3).groupBy("source_file").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    found = frequency.rate_report(rows, vehicles=3).select("source_file", "detected_freq_hz", "low_confidence", "mode_gap")
+    return found.join(some, "source_file").select("source_file", "detected_freq_hz", "low_confidence", "mode_gap", F.size("ids").cast("long").alias("vehicles"))
+
+
+def _given_rates(spark, sf, *rates):
+    """Recordings in turn with the given rates, as a table."""
+    which = F.get(F.array(*[F.lit(r).cast("double") for r in rates]), F.pmod(_number(), F.lit(len(rates))))
+    return track_view(spark, sf).select("source_file").distinct().select("source_file", which.alias("source_freq_hz"))
+
+
+def many_rates(spark, sf):
+    """Recordings of four rates through one plan: smoothed over 5, 9, 9 and 15 rows, every 2nd, 5th, 6th or 10th row kept."""
+    made = processed_recordings(track_view(spark, sf), _given_rates(spark, sf, 10.0, 25.0, 30.0, 50.0))
+    return _rounded(made.select("source_file", "id", "frame", "pos", "x_smooth", "y_smooth", "vx_recomputed", "xAcceleration", "segment_id", "source_freq_hz"))
+
+
+def unfit_recordings(spark, sf):
+    """What is done to each recording at its rate, or why it can't be: one rate is no whole multiple, one is too high, one unknown."""
+    return recording_rates(track_view(spark, sf), _given_rates(spark, sf, 10.0, 7.0, 1000.0, None, 25.0))
+
+
+def tagged_recordings(spark, sf):
+    """Files of several families tagged by the longest prefix of their names, from a table of as many prefixes as suppliers."""
+    path = recordings.work_folder(spark, "raw")
+    _raw_files(spark, sf, path)
+    name = r"source_file=([^/]+)"
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet")
+    family = suppliers.select(F.concat(F.lit("rec_"), F.col("s_suppkey").cast("string")).alias("prefix"), F.concat(F.lit("site_"), F.col("s_nationkey").cast("string")).alias("dataset_name"), (F.col("s_suppkey") % 5 * 5 + 5).cast("double").alias("source_freq_hz"))
+    rates = family.unionByName(spark.createDataFrame([("rec", "other", 10.0)], "prefix string, dataset_name string, source_freq_hz double"))
+    rows = recordings.tagged(recordings.read_raw(spark, [path], name=name), rates, recordings.recordings_of(spark, [path], name))
+    return rows.groupBy("source_file", "dataset_name", "source_freq_hz").agg(F.count("*").alias("rows"))
+
+
 def recording_report(spark, sf):
     """What was read of each recording and why rows are bad, and one that was expected and is not there."""
     path = recordings.work_folder(spark, "raw")
@@ -341,6 +398,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_split": time_split,
     "split_summary": split_summary,
     "split_overlap": split_overlap,
+    "split_overlap_by_recording": split_overlap_by_recording,
     "ego_arrays": ego_arrays,
     "neighbor_history": neighbor_history,
     "interaction_features": interaction_features,
@@ -358,4 +416,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_recordings": raw_recordings,
     "detected_recordings": detected_recordings,
     "recording_report": recording_report,
+    "rate_evidence": rate_evidence,
+    "rate_report_of_sample": rate_report_of_sample,
+    "many_rates": many_rates,
+    "unfit_recordings": unfit_recordings,
+    "tagged_recordings": tagged_recordings,
 }

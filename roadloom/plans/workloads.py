@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features, frequency, neighbors, resample, samples, smoothing, splits, windows
+from ..operators import rates as plans
 from ..operators.windows import Shape
 from ..sources.recordings import kept
 
-#: Rates that one run may hold; each is a plan of its own.
-MOST_RATES = 20
-
-
 def processed_tracks(tracks: DataFrame, source_hz: float, shape: Shape = Shape()) -> DataFrame:
     """Smoothed, thinned to the shape's rate, with recomputed kinematics and sub-tracks. One shuffle, by (source_file, id)."""
     smooth = smoothing.smooth_positions(tracks, source_hz)
@@ -20,29 +17,28 @@ def processed_tracks(tracks: DataFrame, source_hz: float, shape: Shape = Shape()
     return windows.segments(resample.standardised(resample.kinematics(thin, shape.hz)))
 
 
-def processed_recordings(tracks: DataFrame, rates: DataFrame | None = None, shape: Shape = Shape()) -> DataFrame:
-    """Tracks of recordings of different rates and columns as one table, with source_freq_hz and aligned kinematics.
+def recording_rates(tracks: DataFrame, rates: DataFrame | None = None, shape: Shape = Shape()) -> DataFrame:
+    """rates.rate_plan() of every recording of tracks, written once: how it will be smoothed and thinned, or why it can't be.
 
-    rates(source_file, source_freq_hz) gives each recording's rate; without it, it is detected from the tracks. Recordings
-    without a rate are left out, as are those of rates that are no whole multiple of the shape's.
+    rates(source_file, source_freq_hz) gives each recording's rate; without it, it is detected from the recording's rows. A
+    recording that rates lacks, or whose rate can't be told, has the problem no_rate.
     """
     if rates is None:
         found = frequency.rate_report(tracks)
         rates = found.select("source_file", F.coalesce("known_freq_hz", "detected_freq_hz").alias("source_freq_hz"))
-    rates = kept(rates.where("source_freq_hz is not null").select("source_file", "source_freq_hz").distinct(), "rates")
-    known = [r[0] for r in rates.select("source_freq_hz").distinct().orderBy("source_freq_hz").limit(MOST_RATES + 1).collect()]
-    if len(known) > MOST_RATES:
-        raise ValueError(f"more than {MOST_RATES} rates")
-    parts = []
-    for hz in known:
-        if hz < shape.hz or abs(hz / shape.hz - round(hz / shape.hz)) > 1e-6:
-            continue
-        some = tracks.join(rates.where(F.col("source_freq_hz") == hz).select("source_file"), "source_file", "left_semi")
-        thin = resample.downsample(smoothing.smooth_positions(some, hz), hz, shape.hz)
-        parts.append(resample.kinematics(thin, shape.hz).withColumn("source_freq_hz", F.lit(float(hz))))
-    if not parts:
-        raise ValueError("no recording has a rate that can be thinned")
-    return windows.segments(resample.aligned([resample.standardised(p) for p in parts]))
+    there = tracks.select("source_file").distinct()
+    return kept(plans.rate_plan(there.join(rates.select("source_file", "source_freq_hz"), "source_file", "left"), shape.hz), "rates")
+
+
+def processed_recordings(tracks: DataFrame, rates: DataFrame | None = None, shape: Shape = Shape(), plan: DataFrame | None = None) -> DataFrame:
+    """Tracks of recordings of different rates and columns as one table, with source_freq_hz and standard kinematics.
+
+    plan is recording_rates(), made here if not given; recordings with a problem in it are left out, so ask it which these
+    are. ValueError if none is left. One scan of the tracks and one shuffle by (source_file, id), whatever the rates.
+    """
+    plan = recording_rates(tracks, rates, shape) if plan is None else plan
+    thin = plans.smoothed_and_thinned(tracks, plan)
+    return windows.segments(plans.standardised_by_track(resample.kinematics(thin, shape.hz)))
 
 
 def tracks_to_windows(tracks: DataFrame, source_hz: float, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame]:
@@ -55,12 +51,21 @@ def windows_to_features(index: DataFrame, processed: DataFrame, done: DataFrame
     return features.window_features(todo, processed)
 
 
-def features_to_samples(index: DataFrame, processed: DataFrame, shape: Shape = Shape(), **params) -> DataFrame:
-    """Samples with their split; windows in dead zones are left out.
+def split_windows(index: DataFrame, check: bool = True, **params) -> DataFrame:
+    """splits.time_split(), written once, after a check on its own clock that no two splits share time or windows (ValueError)."""
+    split = kept(splits.time_split(index, **params), "split")
+    if check:
+        splits.assert_no_overlap(split)
+    return split
+
+
+def features_to_samples(index: DataFrame, processed: DataFrame, shape: Shape = Shape(), time_basis: str = "track", **params) -> DataFrame:
+    """Samples with their split; windows in dead zones are left out. The split is checked for overlaps first.
 
-    Surroundings and whole-track arrays are written once, as slots, features and both kinds of histories read them.
+    time_basis is that of splits.labelled(). Surroundings and track arrays are written once, as slots, features and both
+    kinds of histories read them.
     """
-    split = features.with_lane_changes(splits.time_split(index), processed, shape)
+    split = features.with_lane_changes(split_windows(index, time_basis=time_basis), processed, shape)
     around = kept(neighbors.surroundings(split, processed), "surroundings")
     arrays = kept(samples.track_arrays(processed), "arrays")
     made = samples.samples(split, neighbors.slot_table(around), around, processed, shape, arrays=arrays, **params)

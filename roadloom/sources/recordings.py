@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import csv
+import os
+import re
 import tempfile
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +44,70 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, header: the first line of each file under paths; files that are missing or empty have no row."""
+#: Rows of a table of recordings, or of groups of them, that is broadcast; a longer one is joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
+def joined_by_size(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a written table, which is broadcast if it has MOST_BROADCAST rows at most."""
+    return rows.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, keys, how)
+
+
+#: Bytes of a file that are read at a time until its header ends.
+HEAD_BYTES = 64 << 10
+
+
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, length of each file under paths; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("file"), "length")
+
+
+def headers(spark: SparkSession, paths: list[str], head: int = HEAD_BYTES) -> DataFrame:
+    """file, header: the first line of each file under paths; files that are missing or empty have no row.
+
+    Tasks open the listed files and read `head` bytes of each, and more only of a file whose first line is longer, so what
+    is read grows with the number of files and not with their size. Where the files are in a store that only Spark's readers
+    open, their lines are read instead.
+    """
+    if not all(_opens(path) for path in paths):
+        return _headers_by_lines(spark, paths)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for file in batch.column(0).to_pylist():
+                try:
+                    found.append((file, _first_line(file, head)))
+                except FileNotFoundError:  # lost since it was listed
+                    continue
+            names, lines = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lines, pa.string())], names=["file", "header"])
+
+    return listed(spark, paths).where("length > 0").select("file").mapInArrow(read, "file string, header string")
+
+
+def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path) if ":" in path else f"file://{os.path.abspath(path)}")
+
+
+def _opens(path: str) -> bool:
+    try:
+        fs, base = _opened(path)
+        return fs.get_file_info(base).type != pyarrow.fs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def _first_line(file: str, head: int) -> str:
+    fs, base = _opened(file)
+    data = b""
+    with fs.open_input_stream(base) as stream:
+        while b"\n" not in data and (more := stream.read(head)):
+            data += more
+    return data.split(b"\n", 1)[0].removesuffix(b"\r").decode("utf-8", "replace")
+
+
+def _headers_by_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     lines = spark.read.option("ignoreMissingFiles", True).option("recursiveFileLookup", True).text(paths)
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     return lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")).groupBy("file").agg(F.min_by("value", "place").alias("header"))
@@ -96,18 +163,32 @@ def _of_header(spark, header: str, files: list[str], schema: T.StructType, name:
     return raw.select(*typed, *more, F.nullif(F.concat_ws(",", *failed), F.lit("")).alias("_bad"), file)
 
 
-def tagged(raw: DataFrame, rates: DataFrame, most: int = 10_000) -> DataFrame:
-    """Adds dataset_name and source_freq_hz from rates(prefix, dataset_name, source_freq_hz): of the prefixes that the file's name has, the longest.
+def tags(names: DataFrame, rates: DataFrame) -> DataFrame:
+    """source_file, dataset_name, source_freq_hz of names(source_file): of the prefixes in rates that a name has, the longest one's.
 
-    The few rows of rates become one expression; more than `most` are refused. Files without a prefix have NULLs.
+    Each name is spread over its prefixes, which meet those of rates in an equality join, so any number of prefixes will do.
+    A prefix that rates holds twice counts with the larger (dataset_name, source_freq_hz). Names without a prefix have no row.
     """
-    rows = rates.select("prefix", "dataset_name", "source_freq_hz").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"rates has more than {most} prefixes")
-    found = F.lit(None).cast("struct<dataset_name:string,source_freq_hz:double>")
-    for r in sorted(rows, key=lambda r: (len(r["prefix"]), r["prefix"])):
-        found = F.when(F.col("source_file").startswith(r["prefix"]), F.struct(F.lit(r["dataset_name"]).alias("dataset_name"), F.lit(r["source_freq_hz"]).cast("double").alias("source_freq_hz"))).otherwise(found)
-    return raw.select("*", found["dataset_name"].alias("dataset_name"), found["source_freq_hz"].alias("source_freq_hz"))
+    starts = names.select("source_file").distinct().select("source_file", F.explode(F.sequence(F.lit(0), F.length("source_file"))).alias("_n"))
+    given = rates.select("prefix", "dataset_name", F.col("source_freq_hz").cast("double").alias("source_freq_hz"))
+    hits = starts.withColumn("prefix", F.left("source_file", F.col("_n"))).join(given, "prefix")
+    best = hits.groupBy("source_file").agg(F.max(F.struct("_n", "dataset_name", "source_freq_hz")).alias("_best"))
+    return best.select("source_file", "_best.dataset_name", "_best.source_freq_hz")
+
+
+def tagged(raw: DataFrame, rates: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """raw with dataset_name and source_freq_hz by tags(); files without a prefix have NULLs.
+
+    names(source_file) is the list of recordings, as recordings_of() gives it; without it raw is read once more for them.
+    """
+    found = kept(tags(raw if names is None else names, rates), "tags")
+    out = joined_by_size(raw.drop("dataset_name", "source_freq_hz"), found, ["source_file"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in raw.columns if c not in ("dataset_name", "source_freq_hz")], "dataset_name", "source_freq_hz")
+
+
+def recordings_of(spark: SparkSession, paths: list[str], name: str = r"([^/]+)\.csv$") -> DataFrame:
+    """source_file of each file under paths, as read_raw() names them; no content is read."""
+    return listed(spark, paths).select(F.regexp_extract("file", name, 1).alias("source_file")).distinct()
 
 
 def good_rows(raw: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import savgol
 from roadloom.operators import features, frequency, neighbors, resample, samples, smoothing, splits, windows
-from roadloom.plans.workloads import features_to_samples, processed_recordings, tracks_to_windows
+from roadloom.operators.medians import exact_medians
+from roadloom.plans.workloads import features_to_samples, processed_recordings, processed_tracks, recording_rates, split_windows, tracks_to_windows
 from roadloom.sources import recordings
 from roadloom.sources.canonical import canonical
 from roadloom.streaming.recordings import process_new
@@ -120,6 +121,81 @@ def test_split_rules_and_overlap(spark):
     assert splits.time_split(alone).first().split == "train"
 
 
+def test_overlap_is_checked_on_the_clock_that_split(spark):
+    # Vehicles enter one after the other, so that a window's time in its track says little about the recording's clock.
+    rows = [(f"w{v}_{i}", "d", "rec", float(i), i + 7.8, 15, 5.0, 60.0 * v + i + 2.8) for v in range(12) for i in range(50)]
+    index = spark.createDataFrame(rows, "window_id string, dataset_name string, source_file string, start_time_sec double, end_time_sec double, n_frames_hist int, target_freq_hz double, anchor_time_sec double")
+    kept = split_windows(index, time_basis="recording")
+    assert {r.split for r in kept.select("split").distinct().collect()} == {"train", "val", "test"}
+    with pytest.raises(ValueError):  # on the tracks' own clock the same windows overlap
+        splits.assert_no_overlap(kept.drop(*splits.CLOCK))
+    leak = kept.where("split = 'test'").orderBy("window_id").limit(1).withColumns({"split": F.lit("train"), "window_id": F.lit("other")})
+    with pytest.raises(ValueError):
+        splits.assert_no_overlap(kept.unionByName(leak))
+    far = leak.withColumns({splits.CLOCK[0]: F.lit(9000.0), splits.CLOCK[1]: F.lit(9007.8)})
+    splits.assert_no_overlap(kept.unionByName(far))
+
+
+def test_slabs_find_what_one_sweep_finds(spark):
+    rng = np.random.default_rng(5)
+    rows = [("rec", f"w{i}", ("train", "val", "test")[rng.integers(3)], float(s), float(s + d)) for i, (s, d) in enumerate(zip(rng.integers(0, 3000, 300), rng.choice([1, 3, 40, 900], 300, p=[0.5, 0.3, 0.19, 0.01])))]
+    df = spark.createDataFrame(rows, "source_file string, window_id string, split string, start_time_sec double, end_time_sec double")
+    spans = {(r[2], r[3], r[4]) for r in rows}
+    want = {x: sum(any(b[0] != x and b[1] < a[2] and b[2] > a[1] for b in spans) for a in spans if a[0] == x) for x in splits.SPLITS}
+    for slab in (1.0, 50.0, 1e9):
+        assert {r.split: r.overlapping for r in splits.split_overlap(df, slab).collect()} == want
+
+
+def test_medians_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=5001), "b": np.exp(rng.normal(size=4000) * 40), "c": rng.choice([1.0, 2.0, 1e9], 3000), "d": np.array([3.0]), "e": np.repeat([1.0, 2.0], 1500), "f": np.full(2500, 7.0), "g": -np.arange(2000.0) ** 3}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("a", float("nan")), ("h", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for few, cells in ((10, 4), (100, 64), (10_000, 256)):
+        got = {r.k: (r.n, r.median) for r in exact_medians(df, ["k"], "v", few, cells).collect()}
+        assert got == {k: (len(x), float(np.median(x))) for k, x in groups.items()}
+
+
+def test_rates_by_each_recordings_own_evidence(spark):
+    kinds = {"all": (1, 1, 1, 0), "moving": (1, 0, 1, 0), "speed": (1, 0, 0, 1), "none": (1, 0, 0, 0), "times": (0, 1, 0, 0), "back": (1, -1, 1, 0)}
+    rows = [(f, v, p if k[0] else None, 2.0 * p + v, 20.0 if k[2] else None, 20.0 if k[3] else None, k[1] * (1000.0 + 100 * p) if k[1] else None) for f, k in kinds.items() for v in (1, 2) for p in range(80)]
+    df = spark.createDataFrame(rows, "source_file string, id long, frame long, x double, xVelocity double, speed double, timestamp double")
+    got = {r.source_file: (r.method, r.detected_freq_hz, r.low_confidence) for r in frequency.rate_report(df).collect()}
+    times, moving = ("timestamp_column", 10.0, False), ("velocity_consistency", 10.0, False)
+    assert got == {"all": times, "times": times, "moving": moving, "speed": moving, "none": ("frame_column", None, True), "back": ("timestamp_column", None, True)}
+
+
+def test_one_scan_and_one_shuffle_for_all_rates(spark, tmp_path):
+    hz = {"a": 10.0, "b": 25.0, "c": 50.0, "d": 7.0, "e": 30.0}
+    spark.createDataFrame([r for f in hz for r in track(1, 90, lambda p: p + (p % 3) * 0.5, file=f) + track(2, 4, file=f) + track(3, 2, file=f)], TRACK).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    rates = spark.createDataFrame(list(hz.items()), "source_file string, source_freq_hz double")
+    plan = recording_rates(df, rates)
+    assert {(r.source_file, r.step, r.length, r.problem) for r in plan.collect()} == {("a", 2, 5, None), ("b", 5, 9, None), ("c", 10, 15, None), ("d", None, None, "no_whole_step"), ("e", 6, 9, None)}
+    made = processed_recordings(df, plan=plan)
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(source_file") == 1 and text.count("Exchange hashpartitioning") == 1 and text.count(str(tmp_path)) == 1
+    for f, rate in hz.items():
+        if f != "d":
+            alone = processed_tracks(df.where(F.col("source_file") == f), rate)
+            columns = ("id", "frame", "pos", "segment_id", "x_smooth", "y_smooth", "vx_recomputed", "xAcceleration")
+            a, b = (np.array(sorted(map(tuple, t.select(*columns).collect()))) for t in (alone, made.where(F.col("source_file") == f)))
+            assert a.shape == b.shape and np.allclose(a, b)
+
+
+def test_headers_are_read_by_position(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "long.csv").write_text("id,frame," + ",".join(f"c{i}" for i in range(400)) + "\r\n1,2\r\n")
+    (tmp_path / "bare.csv").write_text("id,frame")
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "zipped.csv.gz", "wt") as f:
+        f.write("frame,id\n1,2\n")
+    got = {r.file.rsplit("/", 1)[-1]: r.header for r in recordings.headers(spark, [str(tmp_path)], head=64).collect()}
+    assert got == {r.file.rsplit("/", 1)[-1]: r.header for r in recordings._headers_by_lines(spark, [str(tmp_path)]).collect()}
+    assert set(got) == {"long.csv", "bare.csv", "zipped.csv.gz"} and got["long.csv"].endswith("c399") and got["zipped.csv.gz"] == "frame,id"
+
+
 def test_rates_by_each_way(spark):
     rows = [("rec", v, p, 2.0 * p + v, 20.0, 1000.0 + 100 * p) for v in (1, 2) for p in range(80)]
     df = spark.createDataFrame(rows, "source_file string, id long, frame long, x double, xVelocity double, timestamp double")
@@ -159,8 +235,9 @@ def test_raw_rows_and_tags(spark, tmp_path):
     tagged = recordings.tagged(recordings.good_rows(raw), rates).collect()
     assert [(r.dataset_name, r.source_freq_hz) for r in tagged] == [("longer", 25.0)]
     assert recordings.quarantined(raw).first()._bad == "frame"
-    with pytest.raises(ValueError):
-        recordings.tagged(raw, rates, most=2)
+    many = rates.unionByName(spark.range(10_000).select(F.concat(F.lit("us_"), F.col("id").cast("string"), F.lit("x")).alias("prefix"), F.lit("other").alias("dataset_name"), F.lit(1.0).alias("source_freq_hz")))
+    assert [(r.dataset_name, r.source_freq_hz) for r in recordings.tagged(raw, many, recordings.recordings_of(spark, [str(tmp_path)])).collect()] == [("longer", 25.0)] * 2
+    assert recordings.tagged(raw, rates.where("prefix = 'none'")).first().dataset_name is None
 
 
 def test_columns_are_found_by_header(spark, tmp_path):
@@ -243,5 +320,7 @@ def test_samples_of_the_third_workload(spark):
     made = features_to_samples(index, processed)
     kept = splits.time_split(index)
     assert {(r.window_id, r.split) for r in made.select("window_id", "split").collect()} == {(r.window_id, r.split) for r in kept.select("window_id", "split").collect()}
-    r = made.where("split = 'train'").first()
-    assert np.array(r.interaction_feats).shape == (6, 15, 6) and r.source_freq == 10.0 and r.scene_density == 1 and not r.is_lane_change
+    train = made.where("split = 'train'").collect()
+    assert all(np.array(r.interaction_feats).shape == (6, 15, 6) and r.source_freq == 10.0 and r.scene_density == 1 for r in train)
+    # The first vehicle drifts by 7.8 m a window, the second keeps its lane.
+    assert {(r.window_id.split("_")[1], r.is_lane_change) for r in train} == {("1", True), ("2", False)}
