@@ -171,18 +171,17 @@ def interaction_features(spark, sf):
 def _samples(spark, sf):
     processed, index = _kept(spark, sf)
     around = recordings.kept(neighbors.surroundings(index, processed), "surroundings")
-    arrays = recordings.kept(samples.track_arrays(processed), "arrays")
-    return samples.samples(index, neighbors.slot_table(around), around, processed, arrays=arrays)
+    return samples.samples(index, neighbors.slot_table(around), around, processed, chunks=samples.kept_chunks(processed))
 
 
 def normalized_samples(spark, sf):
     """Sums over time of each agent's normalised states; agent 0 is ego, -1 its future."""
-    total = lambda a, i: F.aggregate(F.transform(a, lambda s: F.round(s[i].cast("double"), 3)), F.lit(0.0), lambda x, y: x + y)
-    made = recordings.kept(_samples(spark, sf).select("window_id", "fut", "hist"), "samples").select("window_id", "fut", F.posexplode("hist").alias("agent", "h"))
-    agents = made.select("window_id", "agent", *[total("h", i).alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))])
-    none = F.lit(None).cast("double")
-    future = made.where("agent = 0").select("window_id", F.lit(-1).alias("agent"), total("fut", 0).alias("x"), total("fut", 1).alias("y"), none.alias("vx"), none.alias("vy"))
-    return _rounded(agents.unionByName(future), 3)
+    made = _samples(spark, sf)
+    none = F.lit(None).cast("float")
+    future = F.transform("fut", lambda s: F.array(s[0], s[1], none, none))
+    each = made.select("window_id", F.posexplode(F.concat(F.array(future), "hist")).alias("place", "h"))
+    total = lambda i: F.aggregate("h", F.lit(0.0), lambda sum, s: sum + F.round(s[i].cast("double"), 3))
+    return _rounded(each.select("window_id", (F.col("place") - 1).alias("agent"), *[total(i).alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))]), 3)
 
 
 def sample_rows(spark, sf):

@@ -67,6 +67,6 @@ def features_to_samples(index: DataFrame, processed: DataFrame, shape: Shape = S
     """
     split = features.with_lane_changes(split_windows(index, time_basis=time_basis), processed, shape)
     around = kept(neighbors.surroundings(split, processed), "surroundings")
-    arrays = kept(samples.track_arrays(processed), "arrays")
-    made = samples.samples(split, neighbors.slot_table(around), around, processed, shape, arrays=arrays, **params)
+    chunks = samples.kept_chunks(processed, shape)
+    made = samples.samples(split, neighbors.slot_table(around), around, processed, shape, chunks=chunks, **params)
     return made.join(split.select("window_id", "split"), "window_id")

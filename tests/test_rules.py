@@ -304,6 +304,18 @@ def test_samples_have_fixed_shapes(spark):
             assert all(not hist[i + 1].any() for i, m in enumerate(r.mask_fixed6) if not m)
 
 
+def test_long_tracks_lie_in_bounded_chunks(spark):
+    long = spark.range(20_000).select(F.lit("rec").alias("source_file"), F.lit(1).cast("long").alias("id"), F.col("id").alias("pos"), *[(F.col("id") * k).cast("double").alias(c) for k, c in enumerate(("x_smooth", "y_smooth", "xVelocity", "yVelocity"), 1)])
+    chunks = samples.track_chunks(long, rows=100)
+    sizes = chunks.states.agg(F.max(F.size("states")), F.count("*"), F.min(F.size("states"))).first()
+    assert tuple(sizes) == (139, 200, 100)
+    index = long.where("pos % 5 = 0 and pos <= 19960").select(F.col("pos").cast("string").alias("window_id"), "source_file", F.col("id").alias("vehicle_id"), F.col("pos").alias("start_frame"))
+    rows = samples.ego_arrays(index, long, chunks=chunks).collect()
+    assert len(rows) == 3993 and all([h[0] for h in r.ego_hist] == list(range(int(r.window_id), int(r.window_id) + 15)) and r.ego_fut[-1] == [int(r.window_id) + 39, 2 * (int(r.window_id) + 39)] for r in rows)
+    with pytest.raises(ValueError):
+        samples.track_chunks(long, rows=20)
+
+
 def test_stream_takes_each_recording_once(spark, tmp_path):
     source = str(tmp_path / "in")
     out = [str(tmp_path / x) for x in ("tracks", "index", "state")]
