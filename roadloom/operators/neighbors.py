@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tracks import ALONGSIDE_M, LANE_TOLERANCE_M, direction, headway, same_direction, time_to_collision
+from ..sources.recordings import bucketed
+from .windows import STATE
 
 SLOTS = tuple(f"{side}_{place}" for side in ("left", "right") for place in ("preceding", "alongside", "following"))
-_STATE = ("x", "y", "xVelocity", "yVelocity", "laneId")
 
 
 def direction_groups(tracks: DataFrame) -> DataFrame:
@@ -24,18 +25,22 @@ def _carried(index: DataFrame) -> list[str]:
 def anchors(index: DataFrame, tracks: DataFrame) -> DataFrame:
     """window_id and ego's state (e_...) at the window's last history row; windows whose end lies beyond the track have none.
 
-    is_lane_change is carried along where the index has it.
+    is_lane_change is carried along where the index has it. An index with ego_at_anchor holds the state already.
     """
     more = _carried(index)
-    rows = tracks.select(F.col("source_file").alias("_file"), F.col("id").alias("e_id"), F.col("pos").alias("_pos"), F.col("frame").alias("e_frame"), *[F.col(c).alias(f"e_{c}") for c in _STATE])
+    if "ego_at_anchor" in index.columns:
+        e = F.col("ego_at_anchor")
+        state = [e["frame"].alias("e_frame"), *[e[c].alias(f"e_{c}") for c in STATE]]
+        return index.select("window_id", "source_file", *more, F.col("vehicle_id").alias("e_id"), *state, direction(e["xVelocity"]).alias("e_dir"))
+    rows = tracks.select(F.col("source_file").alias("_file"), F.col("id").alias("e_id"), F.col("pos").alias("_pos"), F.col("frame").alias("e_frame"), *[F.col(c).alias(f"e_{c}") for c in STATE])
     place = index.select("window_id", "source_file", "vehicle_id", *more, (F.col("start_frame") + F.col("n_frames_hist") - 1).alias("_at"))
     joined = place.join(rows, (F.col("source_file") == F.col("_file")) & (F.col("vehicle_id") == F.col("e_id")) & (F.col("_at") == F.col("_pos")))
-    return joined.select("window_id", "source_file", *more, "e_id", "e_frame", *[f"e_{c}" for c in _STATE], direction(F.col("e_xVelocity")).alias("e_dir"))
+    return joined.select("window_id", "source_file", *more, "e_id", "e_frame", *[f"e_{c}" for c in STATE], direction(F.col("e_xVelocity")).alias("e_dir"))
 
 
 def scenes(index: DataFrame, tracks: DataFrame) -> DataFrame:
     """Each anchor with every vehicle of its recording and frame (o_...), ego among them, and places as seen from ego."""
-    others = tracks.select("source_file", F.col("frame").alias("e_frame"), F.col("id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in _STATE])
+    others = tracks.select("source_file", F.col("frame").alias("e_frame"), F.col("id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in STATE])
     pairs = anchors(index, tracks).join(others, ["source_file", "e_frame"])
     return pairs.withColumns({
         "dx": (F.col("o_x") - F.col("e_x")) * F.col("e_dir"),
@@ -49,9 +54,16 @@ def _nearest(when: Column, distance: Column) -> Column:
     return F.min(F.when(when, state))
 
 
+def stored_scenes(tracks: DataFrame, buckets: int) -> DataFrame:
+    """tracks with what scenes() needs, stored in buckets by (source_file, frame), so that anchors meet them where they lie."""
+    return bucketed(tracks.select("source_file", "frame", "id", *STATE), "scenes", ["source_file", "frame"], buckets)
+
+
 def surroundings(index: DataFrame, tracks: DataFrame) -> DataFrame:
     """One row per window: a struct per slot (NULL if empty), own_lead, scene_density, ego's state, and source_file.
 
+    With an index that has ego_at_anchor, tracks may be stored_scenes(), and no track is shuffled.
+
     The nearest vehicle of a slot is a conditional minimum, so partial aggregation shrinks the scenes before the shuffle;
     ties of distance fall to the lowest id. Ego without a velocity has no direction, no neighbours and density 0.
     """
@@ -60,7 +72,7 @@ def surroundings(index: DataFrame, tracks: DataFrame) -> DataFrame:
     sides = {"left": dy < -LANE_TOLERANCE_M, "right": dy > LANE_TOLERANCE_M}
     places = {"preceding": dx > ALONGSIDE_M, "alongside": F.abs(dx) <= ALONGSIDE_M, "following": dx < -ALONGSIDE_M}
     slots = [_nearest(other & sides[s.split("_")[0]] & places[s.split("_")[1]], F.abs(dx)).alias(s) for s in SLOTS]
-    ego = F.first(F.struct(*[F.col(f"e_{c}").alias(c) for c in ("id", *_STATE, "dir")])).alias("ego")
+    ego = F.first(F.struct(*[F.col(f"e_{c}").alias(c) for c in ("id", *STATE, "dir")])).alias("ego")
     more = [F.first(c).alias(c) for c in ("source_file", *_carried(index))]
     density = F.greatest(F.count_if(F.col("same_direction")) - 1, F.lit(0)).cast("int").alias("scene_density")
     lead = _nearest(other & (F.abs(dy) <= LANE_TOLERANCE_M) & (dx > 0), F.abs(dx)).alias("own_lead")

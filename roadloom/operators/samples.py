@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.recordings import kept
+from ..sources.recordings import bucketed, kept
 from .neighbors import SLOTS
 from .windows import Shape
 
@@ -52,10 +52,12 @@ def track_chunks(tracks: DataFrame, shape: Shape = Shape(), rows: int = CHUNK_RO
     return Chunks(states, lengths, rows)
 
 
-def kept_chunks(tracks: DataFrame, shape: Shape = Shape(), rows: int = CHUNK_ROWS) -> Chunks:
-    """track_chunks(), written once, for ego and neighbours to read."""
+def kept_chunks(tracks: DataFrame, shape: Shape = Shape(), rows: int = CHUNK_ROWS, buckets: int | None = None) -> Chunks:
+    """track_chunks(), written once, for ego and neighbours to read; with buckets, so that neither shuffles a chunk."""
     made = track_chunks(tracks, shape, rows)
-    return Chunks(kept(made.states, "chunks"), kept(made.lengths, "lengths"), rows)
+    if buckets is None:
+        return Chunks(kept(made.states, "chunks"), kept(made.lengths, "lengths"), rows)
+    return Chunks(bucketed(made.states, "chunks", ["_file", "_id", "_chunk"], buckets), kept(made.lengths, "lengths"), rows)
 
 
 def ego_arrays(index: DataFrame, tracks: DataFrame, shape: Shape = Shape(), chunks: Chunks | None = None) -> DataFrame:

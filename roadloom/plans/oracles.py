@@ -217,3 +217,8 @@ _FAMILIES = """given AS (SELECT concat('rec_', s_suppkey) AS prefix, concat('sit
 counted AS (SELECT source_file, count(*) + count_if(frame % 100 = 0) + count_if(frame % 150 = 0) AS rows FROM tracks GROUP BY source_file),
 matched AS (SELECT c.source_file, c.rows, g.dataset_name, g.source_freq_hz, row_number() OVER (PARTITION BY c.source_file ORDER BY length(g.prefix) DESC) AS k FROM counted c JOIN given g ON starts_with(c.source_file, g.prefix))"""
 ORACLES["tagged_recordings"] = _sql("SELECT source_file, dataset_name, source_freq_hz, rows FROM matched WHERE k = 1", TRACKS, _FAMILIES)
+ORACLES["merged_summary"] = _from_win("""SELECT dataset_name, source_file, CAST(sum(n) AS BIGINT) AS windows, CAST(count(*) AS BIGINT) AS vehicles, count(DISTINCT file) AS files, true AS ids_near
+  FROM (SELECT dataset_name, source_file, source_file AS file, vehicle_id, count(*) AS n FROM win GROUP BY ALL) GROUP BY GROUPING SETS ((dataset_name), (dataset_name, source_file), ())""")
+ORACLES["recording_manifest"] = _from_win("""SELECT s.source_file, CASE WHEN k IN (1, 2) THEN 'failed' ELSE 'ok' END AS first_status, CASE k WHEN 1 THEN 'no_rate' WHEN 2 THEN 'torn' END AS first_reason, 'ok' AS status, CAST(CASE WHEN k IN (1, 2) THEN 2 ELSE 1 END AS INTEGER) AS attempt, n AS tracks,
+  coalesce(w.windows, 0) AS windows, n AS stored FROM (SELECT source_file, CAST(regexp_extract(source_file, '[0-9]+') AS INTEGER) % 5 AS k, count(*) AS n FROM seg GROUP BY ALL) s LEFT JOIN (SELECT source_file, count(*) AS windows FROM win GROUP BY ALL) w USING (source_file)""")
+ORACLES["stored_features"], ORACLES["stored_histories"] = ORACLES["window_features"], ORACLES["ego_arrays"]

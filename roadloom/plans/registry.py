@@ -11,6 +11,7 @@ from ..operators import features, frequency, neighbors, resample, samples, smoot
 from ..sources import recordings
 from ..sources.canonical import canonical, of_dataset
 from ..sources.track_view import track_view
+from . import resumable
 from .oracles import ORACLES
 from .workloads import features_to_samples, processed_recordings, processed_tracks, recording_rates, split_windows, windows_to_features
 
@@ -109,6 +110,26 @@ def window_features(spark, sf):
     return _rounded(features.window_features(index, processed))
 
 
+def _stored(spark, sf, buckets: int = 16):
+    """Index with the vehicles' states at their anchors, scenes and chunks in buckets."""
+    processed = recordings.kept(_processed(spark, sf), "tracks")
+    index = recordings.kept(windows.window_index(processed, HZ, changes=True, ego=True), "index")
+    return index, neighbors.stored_scenes(processed, buckets), samples.kept_chunks(processed, buckets=buckets)
+
+
+def stored_features(spark, sf):
+    """window_features from tables in buckets: windows are shuffled, tracks are not."""
+    index, scenes, _ = _stored(spark, sf)
+    return _rounded(features.window_features(index, scenes))
+
+
+def stored_histories(spark, sf):
+    """ego_arrays from chunks in buckets, which are not shuffled."""
+    index, _, chunks = _stored(spark, sf)
+    made = samples.ego_arrays(index, None, chunks=chunks).select("window_id", F.concat("ego_hist", "ego_fut").alias("w"))
+    return _rounded(_states(made, "w", "window_id"), 3)
+
+
 def feature_summary(spark, sf):
     processed, index = _kept(spark, sf)
     return features.feature_summary(features.window_features(index, processed), index)
@@ -327,6 +348,44 @@ def unfit_recordings(spark, sf):
     return recording_rates(track_view(spark, sf), _given_rates(spark, sf, 10.0, 7.0, 1000.0, None, 25.0))
 
 
+def merged_summary(spark, sf):
+    """Summaries of one data set's recordings stored, those of the other added, and merged on read; ids are near the exact count."""
+    index = recordings.kept(_both(spark, sf)[1], "index")
+    path = recordings.work_folder(spark, "summaries")
+    for part in ("dataset_name = 'corridor_a'", "dataset_name <> 'corridor_a'"):
+        windows.recording_summaries(index.where(part)).write.mode("append").parquet(path)
+    merged, exact = windows.merged_summary(spark.read.parquet(path)), windows.index_summary(index)
+    same = lambda c: F.col(f"m.{c}").eqNullSafe(F.col(f"e.{c}"))
+    both = merged.alias("m").join(exact.alias("e"), same("dataset_name") & same("source_file"))
+    return both.select(*[F.col(f"m.{c}").alias(c) for c in ("dataset_name", "source_file", "windows", "vehicles", "files")], (F.abs(F.col("m.vehicle_ids") - F.col("e.vehicle_ids")) <= 0.05 * F.col("e.vehicle_ids")).alias("ids_near"))
+
+
+def recording_manifest(spark, sf):
+    """The first workload by recordings: one has no rate, one breaks off in processing; then both are mended and the run resumed.
+
+    What the manifest says of each recording, and how many rows lie in the outputs.
+    """
+    out, manifest = recordings.work_folder(spark, "out"), recordings.work_folder(spark, "manifest")
+    tracks = recordings.kept(track_view(spark, sf), "view")
+    number = F.pmod(_number(), F.lit(5))
+
+    def make(broken):
+        def outputs(some):
+            x = F.when(F.lit(broken) & (number == 2), F.raise_error(F.lit("sensor file is torn")).cast("double")).otherwise(F.col("x"))
+            processed = processed_tracks(some.withColumn("x", x), HZ)
+            return {"tracks": processed.select("source_file", "id", "frame", "pos", "x_smooth"), "index": windows.window_index(processed, HZ).select("source_file", "window_id")}
+
+        return outputs
+
+    names = tracks.select("source_file").distinct()
+    first = resumable.run(tracks, names.withColumn("problem", F.when(number == 1, "no_rate")), make(True), out, manifest)
+    first = recordings.kept(first.select("source_file", F.col("status").alias("first_status"), F.when(F.col("reason") == "no_rate", "no_rate").when(F.contains("reason", F.lit("sensor file is torn")), "torn").alias("first_reason")), "first")
+    then = resumable.run(tracks, names, make(False), out, manifest)
+    stored = spark.read.parquet(f"{out}/tracks").groupBy("source_file").agg(F.count("*").alias("stored"))
+    made = then.join(first, "source_file").join(stored, "source_file")
+    return made.select("source_file", "first_status", "first_reason", "status", "attempt", F.col("rows")["tracks"].alias("tracks"), F.col("rows")["index"].alias("windows"), "stored")
+
+
 def tagged_recordings(spark, sf):
     """Files of several families tagged by the longest prefix of their names, from a table of as many prefixes as suppliers."""
     path = recordings.work_folder(spark, "raw")
@@ -420,4 +479,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "many_rates": many_rates,
     "unfit_recordings": unfit_recordings,
     "tagged_recordings": tagged_recordings,
+    "stored_features": stored_features,
+    "stored_histories": stored_histories,
+    "merged_summary": merged_summary,
+    "recording_manifest": recording_manifest,
 }

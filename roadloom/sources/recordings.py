@@ -53,6 +53,19 @@ def joined_by_size(rows: DataFrame, table: DataFrame, keys: list[str], how: str
     return rows.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, keys, how)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """df written once in the shared folder as a table of so many buckets by the keys, each sorted by them, and read back.
+
+    A join or an aggregate by the keys then reads the table as it lies, and only the other side of a join is shuffled. Choose
+    buckets so that one fits an executor's memory when it is sorted; a hot key stays in one bucket.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 #: Bytes of a file that are read at a time until its header ends.
 HEAD_BYTES = 64 << 10
 

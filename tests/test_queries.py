@@ -7,7 +7,7 @@ from roadloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: The smallest size has one recording only; these tell recordings apart.
-SEVERAL = ("rate_evidence", "many_rates", "unfit_recordings", "rate_report_of_sample")
+SEVERAL = ("rate_evidence", "many_rates", "unfit_recordings", "rate_report_of_sample", "tagged_recordings", "merged_summary", "recording_manifest")
 #: DuckDB 2.0.0 stops with an internal error (dictionary caching) on this SQL at the smallest size.
 LARGER = {"normalized_samples": "/root/testdata/sf0.01"} | dict.fromkeys(SEVERAL, "/root/testdata/sf0.01")
 

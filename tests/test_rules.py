@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import savgol
 from roadloom.operators import features, frequency, neighbors, resample, samples, smoothing, splits, windows
 from roadloom.operators.medians import exact_medians
+from roadloom.plans import resumable
 from roadloom.plans.workloads import features_to_samples, processed_recordings, processed_tracks, recording_rates, split_windows, tracks_to_windows
 from roadloom.sources import recordings
 from roadloom.sources.canonical import canonical
@@ -316,6 +317,75 @@ def test_long_tracks_lie_in_bounded_chunks(spark):
         samples.track_chunks(long, rows=20)
 
 
+def _shuffled(df, table):
+    """Whether a scan of the table is exchanged before it is joined."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    found = False
+    for i, line in enumerate(lines):
+        if table not in line:
+            continue
+        found, at = True, depth(line)
+        for above in reversed(lines[:i]):
+            if depth(above) < at:
+                at = depth(above)
+                if "Join" in above:
+                    break
+                if "Exchange" in above:
+                    return True
+    assert found
+    return False
+
+
+def test_tracks_in_buckets_are_not_shuffled(spark, tmp_path):
+    df = spark.createDataFrame([r for v in range(6) for r in track(v, 200, lambda p, v=v: 20.0 * p + 3 * v, lambda p, v=v: 3.0 * v)], TRACK)
+    processed = recordings.kept(processed_tracks(df, 10.0), "t")
+    plain = recordings.kept(windows.window_index(processed, 10.0, changes=True), "i")
+    index = recordings.kept(windows.window_index(processed, 10.0, changes=True, ego=True), "i")
+    scenes, chunks = neighbors.stored_scenes(processed, 5), samples.kept_chunks(processed, buckets=5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made, ego = features.window_features(index, scenes), samples.ego_arrays(index, None, chunks=chunks)
+        near = samples.neighbor_histories(index, neighbors.slot_table(recordings.kept(neighbors.surroundings(index, scenes), "a")), None, chunks=chunks)
+        assert not _shuffled(made, "spark_catalog.default.scenes_") and not _shuffled(ego, "spark_catalog.default.chunks_") and not _shuffled(near, "spark_catalog.default.chunks_")
+        assert _shuffled(features.window_features(plain, processed), "FileScan parquet [source_file")
+        rows = lambda t: sorted(map(tuple, t.collect()), key=repr)
+        assert rows(made) == rows(features.window_features(plain, processed)) and rows(ego) == rows(samples.ego_arrays(plain, processed))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_run_goes_on_after_a_crash(spark, tmp_path):
+    out, manifest = str(tmp_path / "out"), str(tmp_path / "manifest")
+    df = spark.createDataFrame([r for i in range(5) for r in track(1, 10 + i, file=f"rec_{i}")], TRACK)
+    names = df.select("source_file").distinct()
+    calls = []
+
+    def make(torn, lost=False):
+        def outputs(some):
+            calls.append(some)
+            x = F.when(F.col("source_file") == torn, F.raise_error(F.lit("torn")).cast("double")).otherwise(F.col("x"))
+            made = some.select("source_file", "id", "frame", x.alias("x"))
+            if lost:
+                made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file").parquet(f"{out}/tracks")
+                raise KeyboardInterrupt
+            return {"tracks": made}
+
+        return outputs
+
+    with pytest.raises(KeyboardInterrupt):  # the driver dies after its data and before its manifest
+        resumable.run(df, names, make(None, lost=True), out, manifest)
+    assert spark.read.parquet(f"{out}/tracks").count() == 60 and resumable.history(spark, manifest).count() == 0
+    got = {r.source_file: (r.attempt, r.status, r.rows) for r in resumable.run(df, names, make("rec_2"), out, manifest, batch=10).collect()}
+    assert got == {f"rec_{i}": (1, "failed", None) if i == 2 else (1, "ok", {"tracks": 10 + i}) for i in range(5)}
+    assert "torn" in resumable.state_of(spark, manifest).where("status = 'failed'").first().reason
+    calls.clear()
+    got = {r.source_file: (r.attempt, r.status) for r in resumable.run(df, names, make(None), out, manifest).collect()}
+    assert got == {f"rec_{i}": (2 if i == 2 else 1, "ok") for i in range(5)} and len(calls) == 1 and calls[0].count() == 12
+    assert spark.read.parquet(f"{out}/tracks").count() == 60 and resumable.history(spark, manifest).count() == 6
+
+
 def test_stream_takes_each_recording_once(spark, tmp_path):
     source = str(tmp_path / "in")
     out = [str(tmp_path / x) for x in ("tracks", "index", "state")]
