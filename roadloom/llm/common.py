@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,3 +84,21 @@ def extended(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of df with more fields; types as DDL names."""
     more = T.StructType.fromDDL(", ".join(f"`{c}` {k}" for c, k in kinds.items()))
     return T.StructType([*df.schema.fields, *more.fields])
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which maps Arrow batches, with what it has freed given back to the system at its end.
+
+    Python workers live on from task to task, and an executor's memory counts what they keep.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
+                trim(0)
+
+    return wrapped

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import releasing, stored
 
 #: A node of more edges than this is a hub, and no task gathers its edges; there are so many hubs at most.
 LEAST_HUB, MOST_HUBS = 200, 100_000
@@ -73,7 +73,7 @@ def _stars(edges: DataFrame) -> DataFrame:
         rows = [(x, find(x)) for x in root if root[x] != x]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+    return edges.select("u", "v").mapInArrow(releasing(run), "u long, v long")
 
 
 def _with(rows: DataFrame, table: DataFrame, hub: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, held_out, sample_order
+from .common import extended, held_out, releasing, sample_order
 from .text_codes import SPACE, CodeTable, by_size
 
 UNDETERMINED = "und"
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             langs, scores = held.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def predict_documents(docs: DataFrame, **params) -> DataFrame:

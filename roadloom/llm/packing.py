@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import releasing, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -241,7 +241,7 @@ def token_pieces(docs: DataFrame, paths: tuple[str, str] | None = None, window:
                 arrays = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:5]], *[pa.array(c, pa.binary()) for c in cols[5:]]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), schema)
 
 
 def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, window: int = WINDOW) -> DataFrame:

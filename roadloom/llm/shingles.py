@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import extended, matching, sample_order, stored
+from .common import extended, matching, releasing, sample_order, stored
 from .components import connected_components
 
 #: 64-bit words of the parities of a set's hashes, and of their short form.
@@ -73,7 +73,7 @@ def common_shingles(docs: DataFrame, width: int, share: float = 0.04, least: int
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(text.as_py(), width).astype(np.int64))], names=["h"])
 
-    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
+    counts = sample.mapInArrow(releasing(run), "h long").groupBy("h").count().where(F.col("count") >= least)
     found = stored(counts, "common", TEXTS_PER_BATCH).orderBy(F.desc("count"), "h").limit(most).select("h").toArrow()
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -118,7 +118,7 @@ def with_sets(docs: DataFrame, common: np.ndarray, similarity: float, width: int
                 rest = part.drop_columns([text])
                 yield pa.RecordBatch.from_arrays([*rest.columns, *more], names=[*rest.schema.names, "node", "fp", "size", "prefix", "parity"])
 
-    return docs.mapInArrow(run, extended(docs.drop(text), node="long", fp="long", size="int", prefix="array<long>", parity="array<long>"))
+    return docs.mapInArrow(releasing(run), extended(docs.drop(text), node="long", fp="long", size="int", prefix="array<long>", parity="array<long>"))
 
 
 def possible_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -149,7 +149,7 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
 
 
 def _may_be_similar(similarity: float, a: str = "a", b: str = "b"):

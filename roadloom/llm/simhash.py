@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, fresh, matching, stored, without
+from .common import extended, fresh, matching, releasing, stored, without
 from .components import connected_components
 from .shingles import TEXTS_PER_BATCH, common_shingles, majority, possible_pairs, shingle_hashes, similar_components, similar_pairs, with_sets
 
@@ -38,7 +38,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp", widt
             fps = pa.array([fingerprint(t.as_py(), width) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, extended(docs, **{out: "long"}))
+    return docs.mapInArrow(releasing(run), extended(docs, **{out: "long"}))
 
 
 def variant_keys(fp: str = "fp"):
