@@ -4,7 +4,8 @@ The state is a table of vectors, each with its exact integer product with every
 changes by the vector's components times the centroid's changes, and only where these are not zero: a round reads the last
 table, adds those terms, takes the nearest centroid by |x|^2 - 2 x.c + |c|^2, and writes the next table. Clusters' sums are
 added up by an aggregate that combines before its shuffle; so many rows as there are clusters come to the driver, which
-holds the centroids and nothing else. A table in the shared folder ends the lineage of each round.
+holds the centroids and nothing else. A table in the shared folder ends the lineage of each round; two tables take turns, as
+a round needs the last one only.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 #: A component beyond this would let a squared distance leave 64 bits.
 FARTHEST = 1 << 26
@@ -96,8 +97,11 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, fa
     if not len(centroids):
         return spark.createDataFrame([], RESULT)
     changes, state = centroids, None
+    turns = [scratch(spark, "products") for _ in range(2)]
     for done in range(rounds + 1):
-        state = stored(_products(rows if state is None else state, changes, (centroids * centroids).sum(axis=1), state is None), "products")
+        new_state = _products(rows if state is None else state, changes, (centroids * centroids).sum(axis=1), state is None)
+        new_state.write.mode("overwrite").parquet(turns[done % 2])
+        state = spark.read.schema(new_state.schema).parquet(turns[done % 2])
         if done == rounds:
             break
         new = _moved(state, centroids)
