@@ -136,12 +136,18 @@ class TextEncoder:
         self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, i in ranks.items():
             self.size[i] = len(token)
-        self.slow = Tokenizer.from_file(json_path)
-        self.special = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
+        # The whole tokenizer is needed for texts with special tokens only, and is read again for the first of them.
+        self.file = json_path
+        self.slow: Tokenizer | None = None
+        self.special = tuple(t.content for t in Tokenizer.from_file(json_path).get_added_tokens_decoder().values())
 
     def whole(self, text: str) -> np.ndarray:
         """Ids of one text."""
         if any(s in text for s in self.special):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.file)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
@@ -197,7 +203,7 @@ def encoder(json_path: str, ranks_path: str) -> TextEncoder:
     return TextEncoder(json_path, ranks_path)
 
 
-def _ranges_of(ends: np.ndarray, size: int = 8_000_000):
+def _ranges_of(ends: np.ndarray, size: int = 2_000_000):
     """Ranges of rows of about `size` bytes, given running sums; a larger row is a range of its own."""
     i, n = 0, len(ends)
     while i < n:
@@ -250,4 +256,4 @@ def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, window
     Texts are tokenised once; the pieces are written to the shared folder without their ids. Repeated rows are documents of
     their own. An empty table gives an empty result.
     """
-    return pack(stored(token_pieces(docs, paths, window), "pieces"), window)
+    return pack(stored(token_pieces(docs, paths, window), "pieces", rows_per_batch=1_000), window)
