@@ -6,8 +6,8 @@ reference tells texts of symbols, of capitals, of no function words or of anothe
 from any reference by chance, so guards of least length hold, and of the words' divergence what chance alone is expected to
 give, one less than the bins by 8 n ln 2 for n words, is taken off.
 
-DataFrame functions only. Texts are never shuffled: a task counts a document's words before its shuffle, which carries one
-row of numbers per document.
+DataFrame functions only. Texts are never shuffled: to find common words a task sums what its documents weigh by word, and
+counts of a document's words shuffle as one row of numbers per document.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_order, stored
+from .common import stored
+from .mixing import word_count
 
 SPACES = " \t\n\x0b\x0c\r"
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "ascii", "other")
 #: Languages with a reference of their own, those of most documents; common words of each.
 MOST_LANGUAGES, COMMON = 256, 32
-#: Documents of a language in which its common words are looked for; they are then counted in all.
-SAMPLE, LEAST_SAMPLED = 500, 200
+#: Words from which on a document weighs no more in the choice of common words; characters of the longest word that is kept as it is.
+FULL_WEIGHT, LONGEST_NAME = 200, 100
 #: Distances beyond these fail a document, and the least characters in words, or words, for the test to count.
 MOST_CHARACTERS_DISTANCE, LEAST_CHARACTERS = 0.3, 200
 MOST_WORDS_DISTANCE, LEAST_WORDS = 0.25, 50
@@ -109,24 +110,28 @@ def js_divergence(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
     return F.when((of_a > 0) & (of_b > 0), F.greatest(total / 2, F.lit(0.0)))
 
 
-def common_words(documents: DataFrame, sizes: dict[int, int], common: int, sample: int) -> DataFrame:
+def name_of(word: Column) -> Column:
+    """word, or the digest of a long one, so that a text without spaces isn't shuffled."""
+    return F.when(F.length(word) <= LONGEST_NAME, word).otherwise(F.sha2(word, 256))
+
+
+def common_words(documents: DataFrame, weights: dict[int, int], common: int) -> DataFrame:
     """language, place (from 0), word: up to `common` words, in lower case, of each language, those that most of its documents hold.
 
-    Words that half of the documents or fewer hold are left out, so that passages or texts which many documents share don't
-    count as the language's. About `sample` documents of a language are looked at, chosen by a hash, those of LEAST_SAMPLED words
-    or more; sizes has how many there are of each language. Ties go in order of the words.
+    All documents count. One weighs as much as it has words, up to FULL_WEIGHT: short texts hold few words of any kind, and no
+    long one stands for a language. weights has what the documents of each language weigh. Words that half of it or less holds are
+    left out, so that passages or texts which many documents share don't count as the language's. Ties go in order of the words.
     """
-    share = F.create_map(*[F.lit(x) for language, n in sizes.items() for x in (language, sample / n)])
-    some = documents.where((F.col("language") > 0) & (sample_order("doc_id", "text") < F.try_element_at(share, "language")))
-    some = some.select("language", words_of(F.lower("text")).alias("words")).where(F.size("words") >= LEAST_SAMPLED)
-    docs = some.groupBy("language").agg(F.count("*").alias("docs"))
-    held = some.select("language", F.explode(F.array_distinct("words")).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("language").orderBy(F.col("n").desc(), "word")
-    ranked = held.join(F.broadcast(docs), "language").where(2 * F.col("n") > F.col("docs")).withColumn("place", F.row_number().over(order) - 1)
+    words = documents.where(F.col("language") > 0).select("language", words_of(F.lower("text")).alias("words"))
+    held = words.select("language", F.least(F.size("words"), F.lit(FULL_WEIGHT)).alias("weight"), F.explode(F.array_distinct("words")).alias("word"))
+    held = held.groupBy("language", name_of(F.col("word")).alias("word")).agg(F.sum("weight").alias("held"))
+    weight = F.create_map(*[F.lit(x) for item in weights.items() for x in item])
+    order = Window.partitionBy("language").orderBy(F.col("held").desc(), "word")
+    ranked = held.where(2 * F.col("held") > F.try_element_at(weight, "language")).withColumn("place", F.row_number().over(order) - 1)
     return stored(ranked.where(F.col("place") < common).select("language", "place", "word"), "common-words")
 
 
-def assess(documents: DataFrame, common: int = COMMON, languages: int = MOST_LANGUAGES, sample: int = SAMPLE) -> DataFrame:
+def assess(documents: DataFrame, common: int = COMMON, languages: int = MOST_LANGUAGES) -> DataFrame:
     """documents(doc_id, text, lang) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     characters_distance, words_distance: one row per document.
 
@@ -140,12 +145,13 @@ def assess(documents: DataFrame, common: int = COMMON, languages: int = MOST_LAN
     doc_ids, and equal texts, are rows of their own. Other columns are left out; an empty table gives an empty result.
     """
     lang = F.col("lang").cast("string")
-    most = documents.where("lang is not null").groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
-    number, sizes = F.lit(0), {}
+    figures = (F.count("*").alias("n"), F.sum(F.least(word_count("text"), F.lit(FULL_WEIGHT))).alias("weight"))
+    most = documents.where("lang is not null").groupBy(lang.alias("lang")).agg(*figures).orderBy(F.col("n").desc(), "lang").limit(languages)
+    number, weights = F.lit(0), {}
     for i, r in enumerate(most.collect(), 1):
-        number, sizes[i] = F.when(lang == r["lang"], i).otherwise(number), r["n"]
+        number, weights[i] = F.when(lang == r["lang"], i).otherwise(number), r["weight"]
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), number.alias("language"))
-    words = common_words(docs, sizes, common, sample) if sizes else None
+    words = common_words(docs, weights, common) if weights else None
 
     measured = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "language", words_of(F.col("text")).alias("words"))
     measured = measured.select("row", "doc_id", "language", "words", character_classes(F.col("text")).alias("c"), duplicate_lines(F.col("text")).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"))
@@ -158,7 +164,7 @@ def assess(documents: DataFrame, common: int = COMMON, languages: int = MOST_LAN
     else:
         # languages * common rows at most, and no word that is longer than all of them need be looked up.
         longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-        lower = F.lower("word")
+        lower = name_of(F.lower("word"))
         table = table.withColumn("key", F.when(F.length(lower) <= longest, F.xxhash64("language", lower)))
         table = table.join(F.broadcast(words.select(F.xxhash64("language", "word").alias("key"), "place")), "key", "left")
     # Of the words that are not common, the first is kept, so that no document is lost.

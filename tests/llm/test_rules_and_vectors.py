@@ -143,3 +143,50 @@ def test_quality_of_odd_rows(spark):
     assert not any(r.kept for r in got)
     assert quality.assess(df.limit(0)).count() == 0
     assert quality.assess(df.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows)
+
+
+def _words_distances(rows):
+    """What words_distance must be: common words chosen and counted over all documents of a language."""
+    out = {}
+    for lang in {lang for *_, lang in rows}:
+        texts = {i: Counter(WORD.findall((t or "").lower())) for i, t, g in rows if g == lang}
+        weight = {i: min(sum(c.values()), 200) for i, c in texts.items()}
+        held, every = Counter(), Counter()
+        for i, c in texts.items():
+            held.update(dict.fromkeys(c, weight[i]))
+            every.update(c)
+        total = sum(weight.values())
+        bins = sorted((w for w in held if 2 * held[w] > total), key=lambda w: (-held[w], w))[:32]
+        histogram = lambda c: np.array([*(c[w] for w in bins), sum(c.values()) - sum(c[w] for w in bins)], float)
+        q = histogram(every)
+        q /= q.sum()
+        for i, c in texts.items():
+            n = sum(c.values())
+            if not n:
+                continue
+            p = histogram(c) / n
+            kl = lambda x, m: float(np.sum(x[x > 0] * np.log2(x[x > 0] / m[x > 0])))
+            js = (kl(p, (p + q) / 2) + kl(q, (p + q) / 2)) / 2
+            out[i] = math.sqrt(max(max(js, 0.0) - len(bins) / (8 * n * math.log(2)), 0.0))
+    return out
+
+
+def test_common_words_are_chosen_over_all_documents(spark):
+    rng = np.random.default_rng(5)
+    rows, often = [], np.linspace(0.42, 0.66, 60)
+
+    def text(share, filler):
+        words = [f"w{k}" for k in np.flatnonzero(rng.random(60) < share)] + [f"f{rng.integers(10**9)}" for _ in range(filler)]
+        return " ".join(words[k] for k in rng.permutation(len(words)))
+
+    # About half of the documents hold each word: of 1,500 long ones; of short ones only; of a few long ones among many short ones.
+    rows += [(i, text(often, 220), "de") for i in range(1500)]
+    rows += [(2000 + i, text(often, 40), "en") for i in range(200)]
+    rows += [(3000 + i, text(often / 20, 7), "fr") for i in range(300)] + [(4000 + i, text(often + 0.3, 250), "fr") for i in range(40)]
+    long = "x" * 5000
+    rows += [(5000 + i, f"{long} AÄ {i} {text(often, 30)}", "es") for i in range(20)] + [(6000, None, "es"), (6001, "", "de"), (6002, " \n", "en"), (6003, "odd " * 9000, "en"), (6004, "none", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    want = _words_distances(rows)
+    got = {r.doc_id: r.words_distance for r in quality.assess(df).collect()}
+    assert len(got) == len(rows) and len(want) == len(rows) - 3  # three texts without a word
+    assert all(got[i] is not None and abs(got[i] - want[i]) < 1e-9 for i in want)
