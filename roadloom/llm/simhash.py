@@ -57,7 +57,8 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     if not 0 <= max_bits <= 2:
         raise ValueError("deletion variants of two segments find at most two differing bits")
     keyed = distinct.select(F.col("fp"), F.explode(variant_keys("fp")).alias("key"))
-    left, right = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
+    # Spark sizes keyed as if distinct were not exploded, and would broadcast its 36 rows a fingerprint.
+    left, right = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b")).hint("merge")
     return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
 
 

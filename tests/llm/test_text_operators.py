@@ -116,6 +116,11 @@ def test_variants_find_all_pairs_of_two_bits(spark):
         simhash.linked_fingerprints(df, 3)
 
 
+def test_variants_are_never_broadcast(spark):
+    df = common.stored(spark.createDataFrame([(k,) for k in range(1, 50)], "fp long"), "fps")
+    assert "Broadcast" not in simhash.linked_fingerprints(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_documents(odd).collect()]
     assert len(got) == len(ODD) and {c for d, f, c in got if f == "0" * 16} == {1}
