@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tracks import ALONGSIDE_M, LANE_TOLERANCE_M, direction, headway, same_direction, time_to_collision
-from ..sources.recordings import bucketed
+from ..sources.recordings import bucketed, shuffled
 from .windows import STATE
 
 SLOTS = tuple(f"{side}_{place}" for side in ("left", "right") for place in ("preceding", "alongside", "following"))
@@ -34,14 +34,14 @@ def anchors(index: DataFrame, tracks: DataFrame) -> DataFrame:
         return index.select("window_id", "source_file", *more, F.col("vehicle_id").alias("e_id"), *state, direction(e["xVelocity"]).alias("e_dir"))
     rows = tracks.select(F.col("source_file").alias("_file"), F.col("id").alias("e_id"), F.col("pos").alias("_pos"), F.col("frame").alias("e_frame"), *[F.col(c).alias(f"e_{c}") for c in STATE])
     place = index.select("window_id", "source_file", "vehicle_id", *more, (F.col("start_frame") + F.col("n_frames_hist") - 1).alias("_at"))
-    joined = place.join(rows, (F.col("source_file") == F.col("_file")) & (F.col("vehicle_id") == F.col("e_id")) & (F.col("_at") == F.col("_pos")))
+    joined = shuffled(place).join(rows, (F.col("source_file") == F.col("_file")) & (F.col("vehicle_id") == F.col("e_id")) & (F.col("_at") == F.col("_pos")))
     return joined.select("window_id", "source_file", *more, "e_id", "e_frame", *[f"e_{c}" for c in STATE], direction(F.col("e_xVelocity")).alias("e_dir"))
 
 
 def scenes(index: DataFrame, tracks: DataFrame) -> DataFrame:
     """Each anchor with every vehicle of its recording and frame (o_...), ego among them, and places as seen from ego."""
     others = tracks.select("source_file", F.col("frame").alias("e_frame"), F.col("id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in STATE])
-    pairs = anchors(index, tracks).join(others, ["source_file", "e_frame"])
+    pairs = shuffled(anchors(index, tracks)).join(others, ["source_file", "e_frame"])
     return pairs.withColumns({
         "dx": (F.col("o_x") - F.col("e_x")) * F.col("e_dir"),
         "dy": (F.col("o_y") - F.col("e_y")) * F.col("e_dir"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.recordings import bucketed, kept
+from ..sources.recordings import bucketed, by_size, kept, shuffled
 from .neighbors import SLOTS
 from .windows import Shape
 
@@ -36,7 +36,7 @@ class Chunks:
         rows = wanted.withColumns({"_first": first, "_length": F.lit(length) if isinstance(length, int) else length}).withColumn("_chunk", F.floor(F.col("_first") / self.rows))
         states = self.states.select(F.col("_file").alias("source_file"), F.col("_id").alias(track), "_chunk", "states")
         place = (F.col("_first") - F.col("_chunk") * self.rows + 1).cast("int")
-        return rows.join(states, ["source_file", track, "_chunk"]).withColumn("s", F.slice("states", place, F.col("_length").cast("int"))).drop("states", "_first", "_length", "_chunk")
+        return shuffled(rows).join(states, ["source_file", track, "_chunk"]).withColumn("s", F.slice("states", place, F.col("_length").cast("int"))).drop("states", "_first", "_length", "_chunk")
 
 
 def track_chunks(tracks: DataFrame, shape: Shape = Shape(), rows: int = CHUNK_ROWS) -> Chunks:
@@ -55,9 +55,10 @@ def track_chunks(tracks: DataFrame, shape: Shape = Shape(), rows: int = CHUNK_RO
 def kept_chunks(tracks: DataFrame, shape: Shape = Shape(), rows: int = CHUNK_ROWS, buckets: int | None = None) -> Chunks:
     """track_chunks(), written once, for ego and neighbours to read; with buckets, so that neither shuffles a chunk."""
     made = track_chunks(tracks, shape, rows)
+    lengths = by_size(kept(made.lengths, "lengths"))
     if buckets is None:
-        return Chunks(kept(made.states, "chunks"), kept(made.lengths, "lengths"), rows)
-    return Chunks(bucketed(made.states, "chunks", ["_file", "_id", "_chunk"], buckets), kept(made.lengths, "lengths"), rows)
+        return Chunks(kept(made.states, "chunks"), lengths, rows)
+    return Chunks(bucketed(made.states, "chunks", ["_file", "_id", "_chunk"], buckets), lengths, rows)
 
 
 def ego_arrays(index: DataFrame, tracks: DataFrame, shape: Shape = Shape(), chunks: Chunks | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def neighbor_histories(index: DataFrame, slots: DataFrame, tracks: DataFrame, sh
     chunks = chunks or track_chunks(tracks, shape)
     more = [c for c in ("f",) if c in slots.columns]
     filled = slots.where("mask = 1 and id is not null").select("window_id", "slot_no", F.col("id").alias("_nid"), *more)
-    wanted = filled.join(index.select("window_id", "source_file", "vehicle_id", "start_frame", "end_frame"), "window_id")
+    wanted = shuffled(filled).join(index.select("window_id", "source_file", "vehicle_id", "start_frame", "end_frame"), "window_id")
     if align == "frame":
         at = tracks.select("source_file", F.col("id").alias("_nid"), F.col("frame").alias("_fr"), F.col("pos").alias("_np"))
         ego = tracks.select("source_file", F.col("id").alias("vehicle_id"), F.col("pos").alias("_ep"), F.col("frame").alias("_fr"))
@@ -115,7 +116,7 @@ def samples(index: DataFrame, slots: DataFrame, features: DataFrame, tracks: Dat
     per_window = near.groupBy("window_id").agg(F.map_from_entries(F.collect_list(F.struct("slot_no", F.struct("hist", "f")))).alias("m"))
     zeros = lambda n, k: F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), k), n)
     slot = lambda i: F.try_element_at(F.col("m"), F.lit(i))
-    rows = ego.join(per_window, "window_id", "left").select(
+    rows = shuffled(ego).join(per_window, "window_id", "left").select(
         "window_id", "ego_fut",
         F.array("ego_hist", *[F.coalesce(slot(i)["hist"], zeros(shape.hist, 4)) for i in range(len(SLOTS))]).alias("hist"),
         F.array(*[F.when(slot(i).isNotNull(), 1.0).otherwise(0.0).cast("float") for i in range(len(SLOTS))]).alias("mask_fixed6"),
@@ -124,7 +125,7 @@ def samples(index: DataFrame, slots: DataFrame, features: DataFrame, tracks: Dat
     if normalise:
         rows = _normalised(rows, zero_masked, shape)
     extras = features.select("window_id", "is_lane_change", "scene_density")
-    joined = rows.join(extras, "window_id", "left").join(index.select("window_id", "source_freq_hz"), "window_id")
+    joined = rows.join(shuffled(extras), "window_id", "left").join(shuffled(index.select("window_id", "source_freq_hz")), "window_id")
     return joined.select(
         "window_id", F.col("hist").cast("array<array<array<float>>>").alias("hist"), F.col("ego_fut").cast(STATES).alias("fut"), "mask_fixed6",
         F.transform("_f", lambda f: F.array_repeat(f, shape.hist)).alias("interaction_feats"), F.transform("_f", lambda f: f[4]).alias("valid_ttc_mask"),

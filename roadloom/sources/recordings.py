@@ -50,7 +50,21 @@ MOST_BROADCAST = 100_000
 
 def joined_by_size(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """rows joined with a written table, which is broadcast if it has MOST_BROADCAST rows at most."""
-    return rows.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, keys, how)
+    return rows.join(by_size(table), keys, how)
+
+
+def by_size(table: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast if it has MOST_BROADCAST rows at most, else shuffled."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else shuffled(table)
+
+
+def shuffled(table: DataFrame) -> DataFrame:
+    """table for a join that shuffles both sides, whatever their size.
+
+    Spark sizes a table by its files and a few columns by their share of the width. Windows' ids and places take five bytes
+    a row there and over a hundred in memory, so that a table of windows would be broadcast by far too large.
+    """
+    return table.hint("merge")
 
 
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:

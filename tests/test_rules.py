@@ -317,6 +317,25 @@ def test_long_tracks_lie_in_bounded_chunks(spark):
         samples.track_chunks(long, rows=20)
 
 
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def _few_windows(spark):
+    df = spark.createDataFrame([r for v in range(6) for r in track(v, 200, lambda p, v=v: 20.0 * p + 3 * v, lambda p, v=v: 3.0 * v)], TRACK)
+    processed = recordings.kept(processed_tracks(df, 10.0), "t")
+    return processed, recordings.kept(windows.window_index(processed, 10.0, changes=True), "i")
+
+
+def test_tables_of_windows_are_not_broadcast_to_samples(spark):
+    processed, index = _few_windows(spark)
+    assert _broadcasts(neighbors.surroundings(index, processed)) == 0
+    around = recordings.kept(neighbors.surroundings(index, processed), "a")
+    made = samples.samples(index, neighbors.slot_table(around), around, processed, chunks=samples.kept_chunks(processed))
+    assert _broadcasts(made) == 1, "the tracks' lengths only, which are counted"
+    assert made.count() == index.count() > 0
+
+
 def _shuffled(df, table):
     """Whether a scan of the table is exchanged before it is joined."""
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
