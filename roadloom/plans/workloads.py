@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features, frequency, neighbors, resample, samples, smoothing, splits, windows
 from ..operators import rates as plans
 from ..operators.windows import Shape
-from ..sources.recordings import kept
+from ..sources.recordings import kept, shuffled
 
 def processed_tracks(tracks: DataFrame, source_hz: float, shape: Shape = Shape()) -> DataFrame:
     """Smoothed, thinned to the shape's rate, with recomputed kinematics and sub-tracks. One shuffle, by (source_file, id)."""
@@ -69,4 +69,4 @@ def features_to_samples(index: DataFrame, processed: DataFrame, shape: Shape = S
     around = kept(neighbors.surroundings(split, processed), "surroundings")
     chunks = samples.kept_chunks(processed, shape)
     made = samples.samples(split, neighbors.slot_table(around), around, processed, shape, chunks=chunks, **params)
-    return made.join(split.select("window_id", "split"), "window_id")
+    return made.join(shuffled(split.select("window_id", "split")), "window_id")

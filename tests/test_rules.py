@@ -336,6 +336,11 @@ def test_tables_of_windows_are_not_broadcast_to_samples(spark):
     assert made.count() == index.count() > 0
 
 
+def test_splits_of_windows_are_not_broadcast_to_samples(spark):
+    processed, index = _few_windows(spark)
+    assert _broadcasts(features_to_samples(index, processed)) == 1, "the tracks' lengths only, which are counted"
+
+
 def _shuffled(df, table):
     """Whether a scan of the table is exchanged before it is joined."""
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
