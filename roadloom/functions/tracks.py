@@ -33,9 +33,10 @@ def finite(c: str | Column) -> Column:
 
 def gradient(c: str, dt: float) -> Column:
     """Central differences inside a track, one-sided at its ends, 0 for a single row."""
-    before, after, here = F.lag(c).over(in_order()), F.lead(c).over(in_order()), F.col(c)
-    n, p = F.count("*").over(whole_track()), F.row_number().over(in_order())
-    return F.when(n < 2, 0.0).when(p == 1, (after - here) / dt).when(p == n, (here - before) / dt).otherwise((after - before) / (2 * dt))
+    track = f"PARTITION BY {', '.join(KEYS)}"
+    before, after, p = (f"{f} OVER ({track} ORDER BY frame)" for f in (f"lag({c})", f"lead({c})", "row_number()"))
+    n = f"count(*) OVER ({track})"
+    return F.expr(f"CASE WHEN {n} < 2 THEN 0.0D WHEN {p} = 1 THEN ({after} - {c}) / {dt!r}D WHEN {p} = {n} THEN ({c} - {before}) / {dt!r}D ELSE ({after} - {before}) / {2 * dt!r}D END")
 
 
 def direction(vx: Column) -> Column:

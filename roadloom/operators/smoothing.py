@@ -13,9 +13,9 @@ FARTHEST = 1e10
 
 def unsafe_reason(c: str) -> Column:
     """Why a track's coordinate must not be smoothed, over the whole track: missing, constant or far values; NULL if none."""
-    x = F.col(c)
-    missing = F.count(F.when(x.isNotNull() & ~F.isnan(x), 1)).over(whole_track()) < F.count("*").over(whole_track())
-    largest, spread = F.max(F.abs(x)).over(whole_track()), F.min(x).over(whole_track()) == F.max(x).over(whole_track())
+    x, track = F.col(c), whole_track()
+    missing = F.count(F.when(x.isNotNull() & ~F.isnan(x), 1)).over(track) < F.count("*").over(track)
+    largest, spread = F.max(F.abs(x)).over(track), F.min(x).over(track) == F.max(x).over(track)
     return F.when(missing | (largest == float("inf")), "not_finite").when(spread, "constant").when(largest > FARTHEST, "too_far")
 
 
@@ -28,29 +28,22 @@ def smooth_positions(tracks: DataFrame, hz: float, seconds: float = 0.3, polyord
     """
     full = checked_length(length or window_length(hz, seconds, polyorder), polyorder)
     reach = full - 1
-    axes = ("x", "y")
-    near = {f"_{c}{k}": (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(in_order()) for c in axes for k in range(-reach, reach + 1) if k}
-    n, p = F.col("_n"), F.col("_p")
+    axes, order = ("x", "y"), in_order()
+    near = {f"_{c}{k}": (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(order) for c in axes for k in range(-reach, reach + 1) if k}
     rows = tracks.withColumns({"_n": F.count("*").over(whole_track()), "_p": F.row_number().over(in_order()) - 1, "_safe": F.coalesce(unsafe_reason("x"), unsafe_reason("y")).isNull(), **near})
 
     def smoothed(c: str) -> Column:
-        out = F.col(c)
+        """As SQL text: columns made one by one take thousands of calls to the JVM, which cost more than a small recording's job."""
+        out = c
         for size in range(3, full + 1, 2):
             h, table = size // 2, weights(size, polyorder)
-            fits = (n >= size) if size == full else (n == size) | (n == size + 1)
-
-            def value(r: int) -> Column:
-                terms = [F.lit(float(table[r][j])) * F.col(c if j == r else f"_{c}{j - r}") for j in range(size)]
-                total = terms[0]
-                for t in terms[1:]:
-                    total = total + t
-                return total
-
+            fits = f"_n >= {size}" if size == full else f"(_n = {size} OR _n = {size + 1})"
+            value = lambda r: " + ".join(f"{float(table[r][j])!r}D * `{c if j == r else f'_{c}{j - r}'}`" for j in range(size))  # noqa: B023, E731
             inner = value(h)
             for r in range(h):
-                inner = F.when(p == r, value(r)).when(n - 1 - p == r, value(size - 1 - r)).otherwise(inner)
-            out = F.when(F.col("_safe") & fits, inner).otherwise(out)
-        return out
+                inner = f"CASE WHEN _p = {r} THEN {value(r)} WHEN _n - 1 - _p = {r} THEN {value(size - 1 - r)} ELSE {inner} END"
+            out = f"CASE WHEN _safe AND {fits} THEN {inner} ELSE {out} END"
+        return F.expr(out)
 
     return rows.withColumns({f"{c}_smooth": smoothed(c) for c in axes}).select(*[F.col(f"`{c}`") for c in tracks.columns if c not in ("x_smooth", "y_smooth")], "x_smooth", "y_smooth")
 

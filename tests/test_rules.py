@@ -410,6 +410,24 @@ def test_a_run_goes_on_after_a_crash(spark, tmp_path):
     assert spark.read.parquet(f"{out}/tracks").count() == 60 and resumable.history(spark, manifest).count() == 6
 
 
+def test_bad_recordings_are_found_in_few_rounds(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([r for i in range(40) for r in track(1, 10 + i, file=f"rec_{i}")] + track(1, 5, file=""), TRACK)
+    names, bad = df.select("source_file").distinct().where("source_file <> ''"), {f"rec_{i}" for i in range(0, 40, 5)}
+
+    def make(some):
+        x = F.when(F.col("source_file").isin(*bad), F.raise_error(F.lit("torn")).cast("double")).otherwise(F.col("x"))
+        return {"tracks": some.select("source_file", "id", "frame", x.alias("x")), "none": some.where("x < -1").select("source_file", "id")}
+
+    for rows in (resumable.ROWS_PER_TASK, 0):  # in one task each, and by shuffles
+        monkeypatch.setattr(resumable, "ROWS_PER_TASK", rows)
+        out, manifest = tmp_path / f"out{rows}", tmp_path / f"manifest{rows}"
+        got = {r.source_file: (r.attempt, r.status, r.rows) for r in resumable.run(df, names, make, str(out), str(manifest)).collect()}
+        assert got == {f: (1, "failed", None) if f in bad else (1, "ok", {"tracks": 10 + int(f[4:]), "none": 0}) for f in (f"rec_{i}" for i in range(40))}
+        assert len(list(manifest.glob("*.parquet"))) == 2, "parts of two or three recordings, then single ones"
+        stored = {r.source_file: r["count"] for r in spark.read.parquet(f"{out}/tracks").groupBy("source_file").count().collect()}
+        assert {f: n for f, n in stored.items() if f not in bad} == {f"rec_{i}": 10 + i for i in range(40) if f"rec_{i}" not in bad}
+
+
 def test_stream_takes_each_recording_once(spark, tmp_path):
     source = str(tmp_path / "in")
     out = [str(tmp_path / x) for x in ("tracks", "index", "state")]
